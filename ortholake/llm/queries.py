@@ -14,6 +14,21 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    """The place of a public vocabulary file; operators take it as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from ortholake.llm.token_counts import histogram, suffix_sums
+
+    return suffix_sums(histogram(_documents(spark, sf_dir), _vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ortholake.llm.quality_rules import quality
 
@@ -55,9 +70,15 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 """
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ortholake.llm.packing import pack
+
+    return pack(_documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"), capacity=2048, end_id=0)
+
+
 def queries() -> dict[str, Query]:
     """Each of the ten operators by its query."""
-    return {f.__name__: f for f in (op4_quality_rules,)}
+    return {f.__name__: f for f in (op1_token_counts, op4_quality_rules, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
