@@ -29,6 +29,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_sums(histogram(_documents(spark, sf_dir), _vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ortholake.llm.ngram_join import ngram_components
+
+    return ngram_components(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "class_id", "class_size")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ortholake.llm.quality_rules import quality
 
@@ -78,7 +84,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Each of the ten operators by its query."""
-    return {f.__name__: f for f in (op1_token_counts, op4_quality_rules, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op3_ngram_jaccard_join, op4_quality_rules, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
