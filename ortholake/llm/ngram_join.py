@@ -29,28 +29,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ortholake.llm._exchange import PACKED, PACKED_ARROW, by_part, bytes_table, key_groups, mix, number_of_parts, rows_of, squeeze, table_bytes, unsqueeze
 from ortholake.llm._graph import connected_components
 from ortholake.llm._store import materialize
 from ortholake.llm._text import slices, split_words, text_column
 
 SLICE_BYTES = 8 << 20
-PACKED = "part int, g long, kind int, a binary, b binary, c binary"
 SETS = "doc_id long, n_shingles long, s1 long, s2 long, members binary, prefix array<long>"
 LEAF, FAN = 16, 4
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads every bit."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     """For each text the sorted hashes of its distinct shingles of ``width`` words."""
     import pyarrow.compute as pc
@@ -74,35 +66,6 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     return sets
 
 
-def _squeeze(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.diff(x, prepend=0).astype(np.int32).tobytes())
-
-
-def _unsqueeze(x: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.int32), dtype=np.int64)
-
-
-def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-
-_PACKED = pa.schema([("part", pa.int32()), ("g", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
-
-
-def by_part(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(part, positions in order) for each part that ``keys`` fall into."""
-    part = ((keys >> np.uint64(33)) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
-    order = np.argsort(part, kind="stable")
-    which, first = np.unique(part[order], return_index=True)
-    for p, own in zip(which.tolist(), np.split(order, first[1:]), strict=True):
-        yield p, own
-
-
-def number_of_parts(df: DataFrame) -> int:
-    """Hash ranges for packed exchanges: with the input's partitions, so that each stays of the same size."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * df.rdd.getNumPartitions())
-
-
 def _send(df: DataFrame, width: int, parts: int) -> DataFrame:
     """Sets packed by hash range; one row more for each slice of texts holds ids, sizes and hashes of the sets."""
 
@@ -117,13 +80,10 @@ def _send(df: DataFrame, width: int, parts: int) -> DataFrame:
                 own = [k for k, d in enumerate(digests) if first.setdefault(d, k) == k]
                 members = np.concatenate([sets[k] for k in own])
                 doc = np.repeat(np.array(own, np.int64), [len(sets[k]) for k in own])
-                rows = [(p, g, 0, members[at].tobytes(), _squeeze(doc[at]), None) for p, at in by_part(members, parts)]
+                rows = [(p, g, 0, members[at].tobytes(), squeeze(doc[at]), None) for p, at in by_part(members, parts)]
                 meta = pa.table({"doc_id": ids.slice(i, j - i).cast(pa.int64()), "n": pa.array([len(x) for x in sets], pa.int64()), "digest": pa.array(digests, pa.binary(16))})
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, meta.schema) as out:
-                    out.write_table(meta)
-                rows.append((g % parts, g, 1, sink.getvalue().to_pybytes(), None, None))
-                yield _rows(_PACKED, rows)
+                rows.append((g % parts, g, 1, table_bytes(meta), None, None))
+                yield rows_of(PACKED_ARROW, rows)
                 g += 1
 
     return df.mapInArrow(send, PACKED)
@@ -146,8 +106,8 @@ def _count(table: pa.Table) -> pa.Table:
             own = slice(at, at + len(r["a"]) // 8)
             at = own.stop
             if (more := found[own] > 1).any():
-                out.append((0, r["g"], 0, members[own][more].tobytes(), _squeeze(_unsqueeze(r["b"])[more]), found[own][more].astype(np.int32).tobytes()))
-    return pa.Table.from_batches([_rows(_PACKED, out)] if out else [], schema=_PACKED)
+                out.append((0, r["g"], 0, members[own][more].tobytes(), squeeze(unsqueeze(r["b"])[more]), found[own][more].astype(np.int32).tobytes()))
+    return pa.Table.from_batches([rows_of(PACKED_ARROW, out)] if out else [], schema=PACKED_ARROW)
 
 
 _SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("members", pa.binary()), ("prefix", pa.list_(pa.int64()))])
@@ -157,10 +117,10 @@ def _gather(percent: int):
     def gather(table: pa.Table) -> pa.Table:
         """Of one slice of texts: a row for each, with the members found elsewhere where these could make a link."""
         rows = table.to_pylist()
-        meta = pa.ipc.open_stream(next(r["a"] for r in rows if r["kind"] == 1)).read_all()
+        meta = bytes_table(next(r["a"] for r in rows if r["kind"] == 1))
         came = [r for r in rows if r["kind"] == 0]
         members = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["a"], np.uint64) for r in came)])
-        doc = np.concatenate([np.zeros(0, np.int64), *(_unsqueeze(r["b"]) for r in came)])
+        doc = np.concatenate([np.zeros(0, np.int64), *(unsqueeze(r["b"]) for r in came)])
         found = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(r["c"], np.int32) for r in came)])
         order = np.lexsort((members, found, doc))
         members, doc = members[order], doc[order]
@@ -256,26 +216,6 @@ def link_set(nodes: np.ndarray, sizes: np.ndarray, members: list[np.ndarray], pe
     return links
 
 
-def key_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Tables of rows with equal keys, from batches that are sorted by them."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in keys])
-        starts = np.concatenate([[0], np.flatnonzero((np.diff(columns, axis=1) != 0).any(0)) + 1, [batch.num_rows]])
-        for a, b in zip(starts[:-1], starts[1:], strict=True):
-            key = columns[:, a].tolist()
-            if held and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = key
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _link(members: DataFrame, keys: list[str], percent: int) -> DataFrame:
     """Links (a, b) within each group of ``members``: keys, node, n, members, label, side (null: all pairs count)."""
 
