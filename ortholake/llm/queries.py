@@ -76,6 +76,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 """
 
 
+def op5_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ortholake.llm.ppm import lm_scores
+
+    return lm_scores(_documents(spark, sf_dir))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ortholake.llm.suffix_dedup import remove_repeats
 
@@ -90,7 +96,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Each of the ten operators by its query."""
-    return {f.__name__: f for f in (op1_token_counts, op3_ngram_jaccard_join, op4_quality_rules, op8_suffix_dedup, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op3_ngram_jaccard_join, op4_quality_rules, op5_ppm_scoring, op8_suffix_dedup, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
