@@ -82,6 +82,12 @@ def op5_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_documents(spark, sf_dir))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ortholake.llm.language_id import language_ids
+
+    return language_ids(_documents(spark, sf_dir))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ortholake.llm.suffix_dedup import remove_repeats
 
@@ -96,7 +102,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Each of the ten operators by its query."""
-    return {f.__name__: f for f in (op1_token_counts, op3_ngram_jaccard_join, op4_quality_rules, op5_ppm_scoring, op8_suffix_dedup, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op3_ngram_jaccard_join, op4_quality_rules, op5_ppm_scoring, op6_language_id, op8_suffix_dedup, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
