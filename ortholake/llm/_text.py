@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 
 def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.LargeStringArray:
@@ -53,38 +55,62 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class WordIds:
     """Ids by a tokenizer that never joins text across white space, so that each distinct word is encoded once.
 
-    The cache is of bounded size and is begun anew when full; long words are not kept.
+    Words are known by 96 bits of hash, in sorted arrays that take some 40 bytes a word; the cache is of bounded size
+    and begun anew when full.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most_words: int = 1_500_000, most_ids: int = 12_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.most = most
+        self.most_words, self.most_ids = most_words, most_ids
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        self.old, self.young = none, none
         self.starts, self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _add(self, words: list[str]) -> None:
+    @staticmethod
+    def _merged(*parts: tuple) -> tuple:
+        keys, checks, numbers = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(keys)
+        return keys[order], checks[order], numbers[order]
+
+    def _find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        found = np.full(len(keys), -1, np.int64)
+        for known, check, numbers in (self.old, self.young):
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = (known[at] == keys) & (check[at] == checks)
+                found[hit] = numbers[at[hit]]
+        return found
+
+    def _add(self, words: list[str], keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
         found = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum()))
+        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
+        numbers = len(self.starts) + np.arange(len(words))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
         self.lengths, self.ids = np.concatenate([self.lengths, lengths]), np.concatenate([self.ids, ids])
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.young = self._merged(self.young, (keys, checks, numbers))
+        if len(self.young[0]) > 50_000 + len(self.old[0]) // 4:
+            self.old, self.young = self._merged(self.old, self.young), tuple(x[:0] for x in self.young)
+        return numbers
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts together, and where each text begins."""
         words, at, dictionary = split_words(texts)
-        own = dictionary.to_pylist()
-        if len(self.known) + len(own) > self.most:
+        if len(self.starts) + len(dictionary) > self.most_words or len(self.ids) > self.most_ids:
             self.clear()
-        if new := [w for w in own if w not in self.known]:
-            self._add(new)
-        number = np.fromiter((self.known[w] for w in own), np.int64, len(own))[words] if own else np.zeros(0, np.int64)
+        hashes = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w.as_buffer()) for w in dictionary]), [("key", "<u8"), ("check", "<u4"), ("rest", "<u4")])
+        keys, checks = hashes["key"].copy(), hashes["check"].copy()
+        number = self._find(keys, checks)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            number[new] = self._add(dictionary.take(pa.array(new)).to_pylist(), keys[new], checks[new])
+        number = number[words]
         lengths = self.lengths[number]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         return self.ids[ragged(self.starts[number], lengths)], ends[at]
