@@ -94,6 +94,47 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_documents(spark, sf_dir)).drop("starts", "ends")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ortholake.llm.line_dedup import dedup_lines
+
+    kept = dedup_lines(_documents(spark, sf_dir))
+    return kept.select(
+        "doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+occurrence AS (
+  SELECT doc_id, i, line FROM (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM d) WHERE len(line) >= 10
+), line AS (
+  SELECT line, min({'d': doc_id, 'i': i}) AS place, len(line) AS n FROM occurrence GROUP BY line
+), half AS (
+  SELECT line, place, n, h, unnest([{'side': 0, 'part': left(line, h)}, {'side': 1, 'part': right(line, h)}]) AS k
+  FROM (SELECT *, unnest(list_distinct([n // 2, (n - 1) // 2])) AS h FROM line)
+), pair AS (
+  SELECT DISTINCT a.line AS a, b.line AS b, a.n AS n
+  FROM half a JOIN half b ON a.h = b.h AND a.k = b.k AND b.place < a.place AND abs(a.n - b.n) <= 1
+), common AS (
+  SELECT a, b, least(len(a), len(b)) AS low, greatest(len(a), len(b)) AS high,
+         list_position(list_transform(range(1, greatest(len(a), len(b)) + 1), lambda i: a[i] <> b[i] OR i > least(len(a), len(b))), true) - 1 AS head,
+         list_position(list_transform(range(1, greatest(len(a), len(b)) + 1), lambda i: a[-i] <> b[-i] OR i > least(len(a), len(b))), true) - 1 AS tail
+  FROM pair
+), near AS (
+  SELECT DISTINCT a AS line FROM common WHERE head + tail >= high - 1
+), gone AS (
+  SELECT o.doc_id, o.i FROM occurrence o JOIN line USING (line) LEFT JOIN near ON near.line = o.line
+  WHERE near.line IS NOT NULL OR place <> {'d': o.doc_id, 'i': o.i}
+), dropped AS (
+  SELECT doc_id, list(i) AS g FROM gone GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(g), 0) AS BIGINT) AS n_dropped,
+       sha256(CASE WHEN g IS NULL THEN text ELSE coalesce(array_to_string(
+         list_transform(list_filter(range(len(l)), lambda i: NOT list_contains(g, i)), lambda i: l[i + 1]), chr(10)), '') END) AS kept_sha256
+FROM d LEFT JOIN dropped ON dropped.doc_id = d.doc_id
+"""
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ortholake.llm.packing import pack
 
@@ -102,9 +143,9 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Each of the ten operators by its query."""
-    return {f.__name__: f for f in (op1_token_counts, op3_ngram_jaccard_join, op4_quality_rules, op5_ppm_scoring, op6_language_id, op8_suffix_dedup, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op3_ngram_jaccard_join, op4_quality_rules, op5_ppm_scoring, op6_language_id, op8_suffix_dedup, op9_line_dedup, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the rows of the queries that SQL can express."""
-    return {"op4_quality_rules": OP4_SQL}
+    return {"op4_quality_rules": OP4_SQL, "op9_line_dedup": OP9_SQL}
