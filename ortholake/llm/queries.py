@@ -88,6 +88,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_ids(_documents(spark, sf_dir))
 
 
+def op7_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ortholake.llm.ann import nearest
+
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ortholake.llm.suffix_dedup import remove_repeats
 
@@ -143,7 +149,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Each of the ten operators by its query."""
-    return {f.__name__: f for f in (op1_token_counts, op3_ngram_jaccard_join, op4_quality_rules, op5_ppm_scoring, op6_language_id, op8_suffix_dedup, op9_line_dedup, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op3_ngram_jaccard_join, op4_quality_rules, op5_ppm_scoring, op6_language_id, op7_multi_index_hashing, op8_suffix_dedup, op9_line_dedup, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
