@@ -52,21 +52,20 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
-class WordIds:
-    """Ids by a tokenizer that never joins text across white space, so that each distinct word is encoded once.
+class WordCache:
+    """Ids of words that are encoded apart from one another, so that each distinct word is encoded once.
 
     Words are known by 96 bits of hash, in sorted arrays that take some 40 bytes a word; the cache is of bounded size
     and begun anew when full.
     """
 
-    def __init__(self, path: str, most_words: int = 1_500_000, most_ids: int = 12_000_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, most_words: int = 1_500_000, most_ids: int = 12_000_000):
         self.most_words, self.most_ids = most_words, most_ids
         self.clear()
 
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        raise NotImplementedError
+
     def clear(self) -> None:
         none = (np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64))
         self.old, self.young = none, none
@@ -88,7 +87,7 @@ class WordIds:
         return found
 
     def _add(self, words: list[str], keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        found = self.encode_words(words)
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         ids = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
         numbers = len(self.starts) + np.arange(len(words))
@@ -99,9 +98,8 @@ class WordIds:
             self.old, self.young = self._merged(self.old, self.young), tuple(x[:0] for x in self.young)
         return numbers
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts together, and where each text begins."""
-        words, at, dictionary = split_words(texts)
+    def ids_of(self, words: np.ndarray, at: np.ndarray, dictionary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts together, and where each text begins: words by number, where texts begin among them."""
         if len(self.starts) + len(dictionary) > self.most_words or len(self.ids) > self.most_ids:
             self.clear()
         hashes = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w.as_buffer()) for w in dictionary]), [("key", "<u8"), ("check", "<u4"), ("rest", "<u4")])
@@ -116,6 +114,24 @@ class WordIds:
         return self.ids[ragged(self.starts[number], lengths)], ends[at]
 
 
+class WordIds(WordCache):
+    """Ids by a tokenizer that never joins text across white space."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        super().__init__()
+
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts together, and where each text begins."""
+        return self.ids_of(*split_words(texts))
+
+
 _READY: dict[tuple, object] = {}
 
 

@@ -29,6 +29,19 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_sums(histogram(_documents(spark, sf_dir), _vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ortholake.llm.sentencepiece_codec import decode, encode
+
+    model = _vocabulary("piece_bpe_32k.model")
+    coded = decode(encode(_documents(spark, sf_dir), model), model)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_ids"),
+        "ids_crc32",
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ortholake.llm.ngram_join import ngram_components
 
@@ -149,7 +162,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Each of the ten operators by its query."""
-    return {f.__name__: f for f in (op1_token_counts, op3_ngram_jaccard_join, op4_quality_rules, op5_ppm_scoring, op6_language_id, op7_multi_index_hashing, op8_suffix_dedup, op9_line_dedup, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_ngram_jaccard_join, op4_quality_rules, op5_ppm_scoring, op6_language_id, op7_multi_index_hashing, op8_suffix_dedup, op9_line_dedup, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
