@@ -109,11 +109,10 @@ def dropped_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return gone.groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("dropped"))
 
 
-def dedup_lines(df: DataFrame, min_chars: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, text without the lines that go, n_lines, n_dropped."""
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    docs = docs.withColumn("th", F.xxhash64("text"))
-    found = materialize(dropped_lines(docs, min_chars), "dropped")
+def dedup_lines(df: DataFrame, min_chars: int = 10, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, text without the lines that go, n_lines, n_dropped, and the columns in ``carry``."""
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"), F.struct(F.lit(0).alias("_"), *carry).alias("carried"))
+    found = materialize(dropped_lines(docs.select("doc_id", "text", "th"), min_chars), "dropped")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("dropped")), lambda i: F.get(F.col("lines"), i))
     return (
         docs.join(found, ["doc_id", "th"], "left")
@@ -123,5 +122,6 @@ def dedup_lines(df: DataFrame, min_chars: int = 10, id_col: str = "doc_id", text
             F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
             F.coalesce(F.size("lines"), F.lit(0)).alias("n_lines"),
             F.coalesce(F.size("dropped"), F.lit(0)).alias("n_dropped"),
+            *(F.col("carried")[c].alias(c) for c in carry),
         )
     )

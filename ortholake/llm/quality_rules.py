@@ -23,14 +23,14 @@ SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
 
 #: Rule names in the order of their bits, with the condition under which a document fails, over the measurements.
-RULES: dict[str, str] = {
-    "too_few_words": "n_words < 10",
-    "repeated_windows": "100 * n_repeat_words > 20 * n_words",
-    "symbols": "10 * n_symbols > n_words",
-    "word_length": "word_chars < 2 * n_words OR word_chars > 12 * n_words",
-    "repeated_lines": "100 * n_dup_lines > 50 * n_lines",
-    "upper_case": "100 * n_upper > 60 * n_letters",
-    "few_letters": "10 * n_letters < 4 * word_chars",
+RULES: dict[str, Callable[[Column], Column]] = {
+    "too_few_words": lambda m: m["n_words"] < 10,
+    "repeated_windows": lambda m: 100 * m["n_repeat_words"] > 20 * m["n_words"],
+    "symbols": lambda m: 10 * m["n_symbols"] > m["n_words"],
+    "word_length": lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 12 * m["n_words"]),
+    "repeated_lines": lambda m: 100 * m["n_dup_lines"] > 50 * m["n_lines"],
+    "upper_case": lambda m: 100 * m["n_upper"] > 60 * m["n_letters"],
+    "few_letters": lambda m: 10 * m["n_letters"] < 4 * m["word_chars"],
 }
 BITS: dict[str, int] = {name: 1 << i for i, name in enumerate(RULES)}
 
@@ -84,9 +84,8 @@ def _repeat_words(words: Column) -> Column:
     return _let(_let(F.transform(words, lambda w: F.xxhash64(w)), windows), count)
 
 
-def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: the id, the measurements and ``failure_bits``."""
-    base = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def measures(text: Column) -> Column:
+    """A struct of all measurements of a text."""
 
     def of_words(words: Column) -> Column:
         return F.struct(
@@ -101,23 +100,34 @@ def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         )
 
-    text = F.col("text")
+    def flat(m: Column) -> Column:
+        words = [m["w"][c].alias(c) for c in ("n_words", "word_chars", "n_repeat_words")]
+        return F.struct(*words, *(m["l"][c].alias(c) for c in ("n_lines", "n_dup_lines")), *(m[c].alias(c) for c in ("n_symbols", "n_upper", "n_letters")))
+
+    text = F.coalesce(text, F.lit(""))
     words = F.filter(F.split(text, WORD_BREAK), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    measured = base.select(
-        "doc_id",
-        _let(words, of_words).alias("w"),
-        _let(lines, of_lines).alias("l"),
-        F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
-        F.regexp_count(text, F.lit(r"\p{L}")).cast("long").alias("n_letters"),
-    ).select(
-        "doc_id", "w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines", "n_upper", "n_letters"
-    )
+    counts = [F.regexp_count(text, F.lit(p)).cast("long").alias(c) for c, p in (("n_symbols", SYMBOLS), ("n_upper", r"\p{Lu}"), ("n_letters", r"\p{L}"))]
+    return _let(F.struct(_let(words, of_words).alias("w"), _let(lines, of_lines).alias("l"), *counts), flat)
+
+
+def failure_bits(m: Column) -> Column:
+    """The bits of the rules that fail, from the measurements."""
     bits = F.lit(0).cast("long")
-    for name, condition in RULES.items():
-        bits = bits.bitwiseOR(F.when(F.expr(condition), F.lit(BITS[name]).cast("long")).otherwise(F.lit(0).cast("long")))
-    return measured.withColumn("failure_bits", bits)
+    for name, fails in RULES.items():
+        bits = bits.bitwiseOR(F.when(fails(m), F.lit(BITS[name]).cast("long")).otherwise(F.lit(0).cast("long")))
+    return bits
+
+
+def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: the id, the measurements and ``failure_bits``."""
+    measured = df.select(F.col(id_col).alias("doc_id"), measures(F.col(text_col)).alias("m"))
+    return measured.select("doc_id", "m.*", failure_bits(F.col("m")).alias("failure_bits"))
+
+
+def kept_documents(df: DataFrame, policy: str | tuple[str, ...] = "v1", text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, with all of its columns, that no rule of the policy rejects."""
+    return df.where(_let(measures(F.col(text_col)), lambda m: failure_bits(m).bitwiseAND(F.lit(policy_mask(policy)).cast("long")) == 0))
 
 
 def apply_policy(book: DataFrame, policy: str | tuple[str, ...] = "v1", out: str = "kept") -> DataFrame:

@@ -33,6 +33,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ortholake.llm._exchange import PACKED, PACKED_ARROW, by_part, bytes_table, mix, number_of_parts, rows_of, squeeze, squeeze_long, table_bytes, unsqueeze, unsqueeze_long
 from ortholake.llm._store import materialize
@@ -262,9 +263,10 @@ def _compress(df: DataFrame) -> DataFrame:
         small = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             z = pa.array([small.compress(x.as_buffer()) for x in text_column(batch)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), z], names=["doc_id", "h", "z"])
+            yield batch.set_column(batch.schema.get_field_index("text"), pa.field("z", pa.binary()), z)
 
-    return df.select("doc_id", "h", "text").mapInArrow(compress, "doc_id long, h long, z binary")
+    schema = StructType([StructField("z", BinaryType()) if f.name == "text" else f for f in df.schema])
+    return df.mapInArrow(compress, schema)
 
 
 def _contexts(depth: int, parts: int):
@@ -395,19 +397,22 @@ def _apply(keep_text: bool):
                 row = (doc, len(text), len(text) - len(kept), len(begin), hashlib.sha256(kept).hexdigest(), begin, end)
                 out.append((*row, kept.decode(errors="ignore")) if keep_text else row)
             if out:
-                yield rows_of(schema, out)
+                rows = rows_of(schema, out)
+                yield pa.RecordBatch.from_arrays([*rows.columns, batch.column("carried")], names=[*schema.names, "carried"])
 
     return apply
 
 
-def remove_repeats(df: DataFrame, depth: int = 50, gram: int = 24, hot_contexts: int = 2048, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(df: DataFrame, depth: int = 50, gram: int = 24, hot_contexts: int = 2048, keep_text: bool = False, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts and ends of the removed runs.
 
     An anchor with more than ``hot_contexts`` contexts is dealt out window by window; that changes no result.
     ``keep_text`` adds ``text``, what is left as text; bytes of a character that was cut in two are left out of it.
+    The columns in ``carry`` are added.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    docs = docs.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    carried = F.struct(F.lit(0).alias("_"), *carry).alias("carried")
+    every = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("h"), carried)
+    docs = every.select("doc_id", "text", "h")
     parts = number_of_parts(docs)
     sent = _send(docs.where(F.col("doc_id").isNotNull()), depth, gram, parts)
     found = materialize(sent.groupBy("part").applyInArrow(_classify(hot_contexts), PACKED).groupBy("g").applyInArrow(_gather(depth), FOUND), "anchors")
@@ -418,4 +423,6 @@ def remove_repeats(df: DataFrame, depth: int = 50, gram: int = 24, hot_contexts:
     cuts = found.where(F.col("starts").isNotNull()).select("doc_id", "h", "starts", "ends").union(compared)
     cuts = cuts.groupBy("doc_id", "h").agg(F.collect_list(F.struct("starts", "ends")).alias("cuts"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>" + ", text string" * keep_text
-    return moved.join(cuts, ["doc_id", "h"], "left").select("doc_id", "z", "cuts").mapInArrow(_apply(keep_text), schema)
+    schema = StructType([*StructType.fromDDL(schema), StructField("carried", every.schema["carried"].dataType)])
+    done = _compress(every).join(cuts, ["doc_id", "h"], "left").select("doc_id", "z", "cuts", "carried").mapInArrow(_apply(keep_text), schema)
+    return done.select(*(c for c in done.columns if c != "carried"), *(F.col("carried")[c].alias(c) for c in carry))
