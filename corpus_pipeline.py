@@ -1,27 +1,75 @@
-"""A corpus pipeline: each stage takes all documents that the one before it kept."""
+"""A corpus pipeline: quality rules, line dedup, near duplicates, repeated passages, packing.
+
+Each stage takes every document that the one before it kept, and its decisions take effect in what it returns. All
+stages but the last return the columns of ``documents``; ``n_chars`` follows the text where a stage changes it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ortholake.llm._store import materialize
+from ortholake.llm.line_dedup import dedup_lines
+from ortholake.llm.ngram_join import ngram_components
+from ortholake.llm.packing import pack
+from ortholake.llm.quality_rules import kept_documents
+from ortholake.llm.suffix_dedup import remove_repeats
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
 
-from ortholake.llm.quality_rules import quality
+def _rewritten(docs: DataFrame) -> DataFrame:
+    """The columns of documents after a change of texts; documents whose text is left empty go."""
+    rows = docs.where(F.length("text") > 0)
+    return rows.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    kept = quality(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    return kept_documents(docs, "v1").select(*COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier line nearly equals go."""
+    return _rewritten(dedup_lines(docs, carry=("lang", "source")))
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays."""
+    kept = ngram_components(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 bytes or more that a smaller document has too go."""
+    return _rewritten(remove_repeats(docs, keep_text=True, carry=("lang", "source")))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of at most 2048 ids."""
+    import public_tokenizers
+
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
-STAGES = [("quality_rules", quality_rules)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("ngram_jaccard", ngram_jaccard),
+    ("suffix_dedup", suffix_dedup),
+    ("best_fit_packing", best_fit_packing),
+]
 
 #: The last stage encodes texts, which SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
+    """All stages over the documents of ``sf_dir``, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, f"stage-{name}")
     return docs
