@@ -162,7 +162,19 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Each of the ten operators by its query."""
-    return {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_ngram_jaccard_join, op4_quality_rules, op5_ppm_scoring, op6_language_id, op7_multi_index_hashing, op8_suffix_dedup, op9_line_dedup, op10_best_fit_packing)}
+    every = (
+        op1_token_counts,
+        op2_sentencepiece,
+        op3_ngram_jaccard_join,
+        op4_quality_rules,
+        op5_ppm_scoring,
+        op6_language_id,
+        op7_multi_index_hashing,
+        op8_suffix_dedup,
+        op9_line_dedup,
+        op10_best_fit_packing,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
