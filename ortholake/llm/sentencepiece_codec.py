@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ortholake.llm._text import WordCache, once, slices, text_column
 
@@ -222,7 +223,7 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
 
 def decode(df: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
     """``df`` with ``decoded``, the text of its ids."""
-    schema = df.schema.add("decoded", "string")
+    schema = StructType([*df.schema.fields, StructField("decoded", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = once(Codec.load, model)
