@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -132,6 +134,33 @@ class WordIds(WordCache):
         return self.ids_of(*split_words(texts))
 
 
+def tidy() -> None:
+    """Give back what Arrow and the C library keep of freed memory; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, tidied up after each and at the end."""
+    for batch in batches:
+        yield batch
+        del batch
+        tidy()
+
+
+def folding(fold: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """``fold``, tidied up after."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = fold(table)
+        del table
+        tidy()
+        return out
+
+    return run
+
+
 _READY: dict[tuple, object] = {}
 
 

@@ -24,7 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ortholake.llm._text import as_bytes, slices, text_column
+from ortholake.llm._store import small_batches
+from ortholake.llm._text import as_bytes, slices, text_column, tidied
 
 SLICE_BYTES = 1 << 20
 BLOCK = 1 << 17
@@ -116,7 +117,7 @@ def fit(df: DataFrame, sample_per_language: int = 2000, most_languages: int = 50
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[int, np.ndarray] = {}
-        for batch in batches:
+        for batch in tidied(batches):
             lang = np.array([number[x] for x in batch.column("lang").to_pylist()])
             for i, j, data, offsets in _slices(batch):
                 for hashed, at in features(data, offsets, log2_features):
@@ -152,7 +153,7 @@ def predict(df: DataFrame, model: Model | None, ambiguous_below: float = 0.1) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in tidied(batches):
             n = batch.num_rows
             lettered = pc.match_substring_regex(text_column(batch), r"\p{L}").to_numpy(zero_copy_only=False)
             best, score, lead = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
@@ -171,6 +172,7 @@ def predict(df: DataFrame, model: Model | None, ambiguous_below: float = 0.1) ->
 
 def language_ids(df: DataFrame, folds: int = 4, held_fold: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_language: int = 2000) -> DataFrame:
     """One row per document; learns from those whose crc32 of the id, as text, isn't ``held_fold`` modulo ``folds``."""
+    small_batches(df.sparkSession)
     held_out = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == held_fold, F.lit(False))
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), held_out.alias("held_out"))
     return predict(docs, fit(docs.where(~F.col("held_out")), sample_per_language))

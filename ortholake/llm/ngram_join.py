@@ -35,10 +35,10 @@ from pyspark.sql import functions as F
 
 from ortholake.llm._exchange import PACKED, PACKED_ARROW, by_part, bytes_table, key_groups, mix, number_of_parts, rows_of, squeeze, table_bytes, unsqueeze
 from ortholake.llm._graph import connected_components
-from ortholake.llm._store import materialize
-from ortholake.llm._text import slices, split_words, text_column
+from ortholake.llm._store import materialize, small_batches
+from ortholake.llm._text import folding, slices, split_words, text_column, tidied
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 SETS = "doc_id long, n_shingles long, s1 long, s2 long, members binary, prefix array<long>"
 LEAF, FAN = 16, 4
 
@@ -71,7 +71,7 @@ def _send(df: DataFrame, width: int, parts: int) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = TaskContext.get().partitionId() << 32
-        for batch in batches:
+        for batch in tidied(batches):
             texts, ids = text_column(batch), batch.column("doc_id")
             for i, j in slices(texts, SLICE_BYTES):
                 sets = shingle_sets(texts.slice(i, j - i), width)
@@ -146,9 +146,10 @@ def _gather(percent: int):
 
 def sets_with_prefixes(df: DataFrame, width: int, percent: int) -> DataFrame:
     """SETS of (doc_id, text): ``members`` and ``prefix`` only where a link is possible."""
+    small_batches(df.sparkSession)
     parts = number_of_parts(df)
-    counted = _send(df, width, parts).groupBy("part").applyInArrow(_count, PACKED)
-    return counted.groupBy("g").applyInArrow(_gather(percent), SETS)
+    counted = _send(df, width, parts).groupBy("part").applyInArrow(folding(_count), PACKED)
+    return counted.groupBy("g").applyInArrow(folding(_gather(percent)), SETS)
 
 
 def link_set(nodes: np.ndarray, sizes: np.ndarray, members: list[np.ndarray], percent: int, labels: np.ndarray | None = None, sides: np.ndarray | None = None) -> list[tuple[int, int]]:

@@ -23,8 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ortholake.llm._store import materialize
-from ortholake.llm._text import WordIds, once, slices, text_column
+from ortholake.llm._store import materialize, small_batches
+from ortholake.llm._text import once, slices, text_column, tidied, WordIds
 
 SLICE_BYTES = 4 << 20
 
@@ -109,7 +109,7 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int, end_id: int = 0) -> Dat
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = once(WordIds, tokenizer)
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        for batch in tidied(batches):
             texts, doc_ids = text_column(batch), batch.column("doc_id")
             for a, b in slices(texts, SLICE_BYTES):
                 ids, at = words.encode(texts.slice(a, b - a))
@@ -132,6 +132,7 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int, end_id: int = 0) -> Dat
 def pack(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = df.sparkSession
+    small_batches(spark)
     cut = materialize(pieces(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), tokenizer, capacity, end_id), "pieces")
     counts = cut.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)

@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ortholake.llm._exchange import PACKED, PACKED_ARROW, by_part, bytes_table, mix, number_of_parts, rows_of, squeeze_long, table_bytes, unsqueeze_long
-from ortholake.llm._store import materialize
-from ortholake.llm._text import as_bytes, slices, split_words, text_column
+from ortholake.llm._store import materialize, small_batches
+from ortholake.llm._text import as_bytes, folding, slices, split_words, text_column, tidied
 
 SLICE_BYTES = 4 << 20
 SEGMENT = 4 << 20
@@ -132,7 +132,7 @@ def _train(order: int, parts: int):
             small = zstandard.ZstdCompressor(level=1)
             return rows_of(PACKED_ARROW, [(p, 0, 0, squeeze_long(codes[own].view(np.int64)), small.compress(n[own].tobytes()), None) for p, own in by_part(mix(codes & _low(min(3, order + 1))), parts)])
 
-        for batch in batches:
+        for batch in tidied(batches):
             texts = pc.ascii_lower(text_column(batch))
             for i, j in slices(texts, SLICE_BYTES):
                 frame, coded, _ = framed(*as_bytes(texts.slice(i, j - i)), order)
@@ -172,7 +172,7 @@ def train(df: DataFrame, order: int = 5, log2_nodes: int = 20) -> Trie:
     total = (sizes["bytes"] or 0) + sizes["docs"]
     least = max(1.0, total / (1 << log2_nodes))
     parts = number_of_parts(df)
-    counted = df.select("text").mapInArrow(_train(order, parts), PACKED).groupBy("part").applyInArrow(_nodes(order, least), NODES)
+    counted = df.select("text").mapInArrow(_train(order, parts), PACKED).groupBy("part").applyInArrow(folding(_nodes(order, least)), NODES)
     # no more than 2 ** log2_nodes grams of a depth can each make up such a share
     kept = counted.groupBy("depth", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
     depth, gram, n = (kept[c].to_numpy() for c in ("depth", "gram", "n"))
@@ -189,7 +189,7 @@ def _score(trie, order: int, parts: int):
         """Scores, and the slice's distinct words packed by hash range with how often its training texts have them."""
         g = TaskContext.get().partitionId() << 32
         small = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in tidied(batches):
             texts = pc.ascii_lower(text_column(batch))
             ids, held_out = batch.column("doc_id"), batch.column("held_out")
             for i, j in slices(texts, SLICE_BYTES):
@@ -264,12 +264,13 @@ def lm_scores(df: DataFrame, order: int = 5, log2_nodes: int = 20, folds: int =
     The model learns from the documents whose crc32 of the id, as text, isn't ``held_fold`` modulo ``folds``.
     """
     spark = df.sparkSession
+    small_batches(spark)
     held_out = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == held_fold, F.lit(False))
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held_out.alias("held_out"))
     trie = spark.sparkContext.broadcast(train(docs.where(~F.col("held_out")), order, log2_nodes))
     parts = number_of_parts(docs)
     sent = docs.select("doc_id", "text", "held_out").mapInArrow(_score(trie, order, parts), PACKED)
-    scored = materialize(sent.groupBy("part").applyInArrow(_known, PACKED).groupBy("g").applyInArrow(_gather, SCORED), "scored")
+    scored = materialize(sent.groupBy("part").applyInArrow(folding(_known), PACKED).groupBy("g").applyInArrow(folding(_gather), SCORED), "scored")
     learned = scored.agg(F.sum(F.when(~F.col("held_out"), F.col("n_words") + 1)).alias("tokens"), F.count_if(~F.col("held_out")).alias("docs"), F.sum("distinct_words").alias("words")).first()
     tokens, ends, distinct = learned["tokens"] or 0, learned["docs"], (learned["words"] or 0) + (learned["docs"] > 0)
     return scored.where("distinct_words is null").select(

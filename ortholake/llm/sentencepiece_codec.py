@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ortholake.llm._text import WordCache, once, slices, text_column
+from ortholake.llm._store import small_batches
+from ortholake.llm._text import once, slices, text_column, tidied, WordCache
 
 SLICE_BYTES = 4 << 20
 SPACE = "▁"
@@ -209,7 +210,7 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = once(Codec.load, model)
-        for batch in batches:
+        for batch in tidied(batches):
             texts = text_column(batch)
             for i, j in slices(texts, SLICE_BYTES):
                 ids, at = codec.encode(texts.slice(i, j - i).to_pylist())
@@ -217,6 +218,7 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("text").slice(i, j - i), lists, pa.array(crc, pa.int64())], names=["doc_id", "text", "ids", "ids_crc32"])
 
+    small_batches(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, text string, ids array<int>, ids_crc32 long")
 
@@ -227,7 +229,7 @@ def decode(df: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = once(Codec.load, model)
-        for batch in batches:
+        for batch in tidied(batches):
             column = batch.column(ids_col)
             texts = pa.array([codec.decode(x.values.to_pylist() if x.is_valid else []) for x in column], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, "decoded"])

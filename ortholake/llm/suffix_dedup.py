@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ortholake.llm._exchange import PACKED, PACKED_ARROW, by_part, bytes_table, mix, number_of_parts, rows_of, squeeze, squeeze_long, table_bytes, unsqueeze, unsqueeze_long
-from ortholake.llm._store import materialize
-from ortholake.llm._text import as_bytes, once, ragged, slices, text_column
+from ortholake.llm._store import materialize, small_batches
+from ortholake.llm._text import as_bytes, folding, once, ragged, slices, text_column, tidied
 
 SEGMENT = 1 << 20
 SLICE_BYTES = 2 << 20
@@ -114,7 +114,7 @@ def _send(df: DataFrame, depth: int, gram: int, parts: int) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = TaskContext.get().partitionId() << 32
-        for batch in batches:
+        for batch in tidied(batches):
             texts, ids, hashes = text_column(batch), batch.column("doc_id"), batch.column("h")
             for i, j in slices(texts, SLICE_BYTES):
                 data, offsets = as_bytes(texts.slice(i, j - i))
@@ -261,7 +261,7 @@ def _compress(df: DataFrame) -> DataFrame:
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         small = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in tidied(batches):
             z = pa.array([small.compress(x.as_buffer()) for x in text_column(batch)], pa.binary())
             yield batch.set_column(batch.schema.get_field_index("text"), pa.field("z", pa.binary()), z)
 
@@ -272,7 +272,7 @@ def _compress(df: DataFrame) -> DataFrame:
 def _contexts(depth: int, parts: int):
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The bytes of the contexts by hash range; windows of very frequent anchors one by one, equal ones once."""
-        for batch in batches:
+        for batch in tidied(batches):
             held: list[tuple] = []
             leaders: dict[bytes, tuple] = {}
             for doc, h, text, places, spans, keys in zip(batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), _texts(batch), *(batch.column(c).to_pylist() for c in ("places", "spans", "keys")), strict=True):
@@ -384,7 +384,7 @@ def _apply(keep_text: bool):
     schema = pa.schema(_RESULT + [("text", pa.string())] * keep_text)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidied(batches):
             out = []
             for doc, text, cuts in zip(batch.column("doc_id").to_pylist(), _texts(batch), batch.column("cuts").to_pylist(), strict=True):
                 begin, end, kept = np.zeros(0, np.int64), np.zeros(0, np.int64), text
@@ -410,16 +410,17 @@ def remove_repeats(df: DataFrame, depth: int = 50, gram: int = 24, hot_contexts:
     ``keep_text`` adds ``text``, what is left as text; bytes of a character that was cut in two are left out of it.
     The columns in ``carry`` are added.
     """
+    small_batches(df.sparkSession)
     carried = F.struct(F.lit(0).alias("_"), *carry).alias("carried")
     every = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("h"), carried)
     docs = every.select("doc_id", "text", "h")
     parts = number_of_parts(docs)
     sent = _send(docs.where(F.col("doc_id").isNotNull()), depth, gram, parts)
-    found = materialize(sent.groupBy("part").applyInArrow(_classify(hot_contexts), PACKED).groupBy("g").applyInArrow(_gather(depth), FOUND), "anchors")
+    found = materialize(sent.groupBy("part").applyInArrow(folding(_classify(hot_contexts)), PACKED).groupBy("g").applyInArrow(folding(_gather(depth)), FOUND), "anchors")
     open_docs = found.where(F.col("places").isNotNull()).select("doc_id", "h", "places", "spans", "keys").dropDuplicates(["doc_id", "h"])
     moved = _compress(docs)
     contexts = moved.join(open_docs, ["doc_id", "h"]).select("doc_id", "h", "z", "places", "spans", "keys").mapInArrow(_contexts(depth, parts), CONTEXTS)
-    compared = materialize(contexts.groupBy("part").applyInArrow(_radix(depth), CUT), "compared")
+    compared = materialize(contexts.groupBy("part").applyInArrow(folding(_radix(depth)), CUT), "compared")
     cuts = found.where(F.col("starts").isNotNull()).select("doc_id", "h", "starts", "ends").union(compared)
     cuts = cuts.groupBy("doc_id", "h").agg(F.collect_list(F.struct("starts", "ends")).alias("cuts"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>" + ", text string" * keep_text

@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ortholake.llm._text import once, text_column
+from ortholake.llm._store import small_batches
+from ortholake.llm._text import once, text_column, tidied
 
 
 def _encoding(path: str, pattern: str):
@@ -34,11 +35,12 @@ def lengths(df: DataFrame, ranks: str, pattern: str, text_col: str = "text") ->
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = once(_encoding, ranks, pattern).encode_ordinary
-        for batch in batches:
+        for batch in tidied(batches):
             n = np.fromiter((len(encode(x)) for x in (t.as_py() for t in text_column(batch))), np.int64, batch.num_rows)
             length, docs = np.unique(n, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(length), pa.array(docs.astype(np.int64))], names=["n_tokens", "n_docs"])
 
+    small_batches(df.sparkSession)
     return df.select(F.col(text_col).alias("text")).mapInArrow(count, "n_tokens long, n_docs long")
 
 
