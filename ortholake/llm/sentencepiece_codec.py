@@ -32,9 +32,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ortholake.llm._store import small_batches
-from ortholake.llm._text import once, slices, text_column, tidied, WordCache
+from ortholake.llm._text import WordCache, once, ragged, slices, text_column, tidied
 
 SLICE_BYTES = 4 << 20
+IDS = 1 << 19
 SPACE = "▁"
 #: Fixed values of the model format: kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -71,7 +72,7 @@ class Codec(WordCache):
     """A model's pieces with their scores, as an encoder and a decoder."""
 
     def __init__(self, pieces: list[tuple[str, float, int]], kind: int, add_prefix: bool = True, collapse: bool = False):
-        super().__init__()
+        super().__init__(2_000_000, 16_000_000)
         self.kind, self.add_prefix, self.collapse = kind, add_prefix, collapse
         self.score = {p: s for p, s, t in pieces if t == NORMAL}
         self.id = {p: i for i, (p, _, t) in enumerate(pieces) if t == NORMAL}
@@ -80,15 +81,22 @@ class Codec(WordCache):
         if len(self.byte_ids) not in (0, 256) or any(t == USER_DEFINED for _, _, t in pieces):
             raise ValueError("models with user-defined pieces or only some bytes are not supported")
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.score)
+        # a line end that no longer piece holds parts words as well
+        alone = "".join(c for c in "\n\r\t" if not any(c in p for p in self.score if len(p) > 1))
+        self.words = re.compile(f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" + (f"|[{alone}]" if alone else ""))
         self.automaton = ahocorasick.Automaton()
         for p in self.score:
             self.automaton.add_word(p, p)
         if self.score:
             self.automaton.make_automaton()
         self.least = min(self.score.values(), default=0.0)
-        self.stable: dict[tuple[str, str], bool] = {}
+        self.stable: dict[str, dict[str, bool]] = {}
+        self.n_stable = 0
         text = {NORMAL: lambda p: p.encode(), USER_DEFINED: lambda p: p.encode(), BYTE: lambda p: bytes([int(p[3:5], 16)]), UNKNOWN: lambda p: " ⁇ ".encode()}
         self.bytes = [text.get(t, lambda p: b"")(p) for p, _, t in pieces]
+        self.byte_data = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.byte_lengths = np.array([*map(len, self.bytes), 0])
+        self.byte_starts = np.cumsum(self.byte_lengths) - self.byte_lengths
 
     @classmethod
     def load(cls, path: str) -> Codec:
@@ -119,30 +127,44 @@ class Codec(WordCache):
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
     def _leaves(self, before: str, piece: str) -> bool:
-        """Whether merging leaves the two as they are."""
-        key = before, piece
-        if (known := self.stable.get(key)) is None:
-            if len(self.stable) > 1_000_000:
-                self.stable.clear()
-            known = self.stable[key] = self.merged(before + piece) == ([before, piece] if before else [piece])
+        """Whether merging leaves the two as they are; kept by ``before``."""
+        self.n_stable += 1
+        if self.n_stable > 1_000_000:
+            self.stable, self.n_stable = {}, 1
+        known = self.merged(before + piece) == ([before, piece] if before else [piece])
+        self.stable.setdefault(before, {})[piece] = known
         return known
 
+    def _by_merges(self, word: str) -> list[str]:
+        """``last``: the piece that ends at each place of the segmentation of what comes before it."""
+        last, filled, stable, none = [""] * (len(word) + 1), 0, self.stable, {}
+        for at, piece in self.automaton.iter(word) if self.score else ():
+            end = at + 1
+            if last[end]:
+                continue
+            while filled < at:  # every place before has its piece by now, or is a character without one
+                filled += 1
+                if not last[filled]:
+                    last[filled] = word[filled - 1]
+            before = last[end - len(piece)]
+            known = stable.get(before, none).get(piece)
+            if known is None:
+                known = self._leaves(before, piece)
+                stable = self.stable
+            if known:
+                last[end] = piece
+        for end in range(filled + 1, len(word) + 1):
+            if not last[end]:
+                last[end] = word[end - 1]
+        return last
+
     def segment(self, word: str) -> list[str]:
         """The pieces of a word, in one pass."""
         n = len(word)
-        best, last = [0.0] + [-np.inf] * n, [""] * (n + 1)
         if self.kind == BPE:
-            found: list[list[str]] = [[] for _ in range(n + 1)]
-            for end, piece in self.automaton.iter(word) if self.score else ():
-                found[end + 1].append(piece)
-            for end in range(1, n + 1):
-                for piece in found[end]:
-                    if self._leaves(last[end - len(piece)], piece):
-                        last[end] = piece
-                        break
-                else:
-                    last[end] = word[end - 1]
+            last = self._by_merges(word)
         else:
+            best, last = [0.0] + [-np.inf] * n, [""] * (n + 1)
             at = 0
 
             def reach(end: int) -> None:  # a character without a piece of its own, once all pieces that end there are in
@@ -191,18 +213,28 @@ class Codec(WordCache):
         at = [0]
         for text in texts:
             text = self.marked(text)
-            words += WORDS.findall(text) if self.cuts else [text] * bool(text)
+            words += self.words.findall(text) if self.cuts else [text] * bool(text)
             at.append(len(words))
         coded = pa.array(words, pa.large_string()).dictionary_encode()
         return self.ids_of(coded.indices.to_numpy().astype(np.int64), np.array(at), coded.dictionary)
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids; bytes that are no character become the replacement character."""
-        text = b"".join([self.bytes[i] for i in ids if i is not None and 0 <= i < len(self.bytes)]).decode(errors="replace").replace(SPACE, " ")
+    def _text(self, data: bytes) -> str:
+        text = data.decode(errors="replace").replace(SPACE, " ")
         return text[1:] if self.add_prefix and text.startswith(" ") else text
 
+    def decode(self, ids: list[int]) -> str:
+        """The text of ids; bytes that are no character become the replacement character."""
+        return self.decode_all(np.array(ids, np.int64), np.array([0, len(ids)]))[0]
 
-WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+    def decode_all(self, ids: np.ndarray, at: np.ndarray) -> list[str]:
+        """The texts of ids that lie one after the other and begin at ``at``; ids that the model doesn't have are nothing."""
+        known = (ids >= 0) & (ids < len(self.bytes))
+        ids = np.where(known, ids, len(self.bytes))
+        lengths = self.byte_lengths[ids]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        data = self.byte_data[ragged(self.byte_starts[ids], lengths)].tobytes()
+        where = ends[at].tolist()
+        return [self._text(data[a:b]) for a, b in zip(where[:-1], where[1:], strict=True)]
 
 
 def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,8 +262,15 @@ def decode(df: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = once(Codec.load, model)
         for batch in tidied(batches):
-            column = batch.column(ids_col)
-            texts = pa.array([codec.decode(x.values.to_pylist() if x.is_valid else []) for x in column], pa.string())
+            lists = batch.column(ids_col).fill_null([])
+            values, offsets = lists.flatten().fill_null(-1).to_numpy().astype(np.int64), lists.offsets.to_numpy().astype(np.int64)
+            texts, k = [], 0
+            while k < len(lists):  # some ids at a time
+                to = max(k + 1, int(np.searchsorted(offsets, offsets[k] + IDS, side="right")) - 1)
+                own = offsets[k : to + 1]
+                texts += codec.decode_all(values[own[0] - offsets[0] : own[-1] - offsets[0]], own - own[0])
+                k = to
+            texts = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, "decoded"])
 
     return df.mapInArrow(run, schema)
