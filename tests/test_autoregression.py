@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 import pytest
-from helpers import close, fails
+from tests.helpers import close, fails
 from pyspark.sql import functions as F
 
 from ortholake import operators as op

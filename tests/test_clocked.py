@@ -2,7 +2,7 @@ from datetime import date, datetime, timedelta
 
 import numpy as np
 import pytest
-from helpers import clocked, close, fails
+from tests.helpers import clocked, close, fails
 from pyspark.sql import functions as F
 
 from ortholake import operators as op
