@@ -55,7 +55,7 @@ def learn(sample: np.ndarray, tables: int = 2, k: int = 10, reach: float = 0.97,
     """A coder from a bounded sample of vectors."""
     rng = np.random.default_rng(seed)
     mean = sample.mean(0)
-    _, axes = np.linalg.eigh(np.cov((sample - mean).T).reshape(sample.shape[1], -1))
+    _, axes = np.linalg.eigh((sample - mean).T @ (sample - mean))
     axes = axes[:, ::-1]
     turned = (sample - mean) @ axes
     rotations = []
@@ -72,7 +72,7 @@ def learn(sample: np.ndarray, tables: int = 2, k: int = 10, reach: float = 0.97,
         d = ((sample - sample[q]) ** 2).sum(1)
         near = np.argsort(d, kind="stable")[1 : k + 1]
         apart.append(BITS[codes[near] ^ codes[q]].sum(1))
-    coder.radius = int(np.quantile(np.concatenate(apart), reach)) if apart else 0
+    coder.radius = int(np.quantile(np.concatenate(apart), reach)) if len(sample) > 1 else 0
     return coder
 
 

@@ -300,5 +300,11 @@ def ngram_components(df: DataFrame, width: int = 5, percent: int = 80, id_col: s
         sets.select("doc_id", "n_shingles", "s1", "s2")
         .join(classes, ["s1", "s2"], "left")
         .join(roots, "node", "left")
-        .select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "node", "doc_id")).alias("component_id"))
+        .select(
+            "doc_id",
+            "n_shingles",
+            F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("class_id"),
+            F.when(F.col("doc_id").isNotNull(), F.coalesce("class_size", F.lit(1))).alias("class_size"),
+            F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "node", "doc_id")).alias("component_id"),
+        )
     )
