@@ -59,6 +59,43 @@ class Moments:
             self.head = np.concatenate([self.head, shifted])[:p]
         self.tail = joined[max(0, len(joined) - p) :]
 
+    def summary(self) -> tuple:
+        return self.n, self.valid, self.total, self.origin, self.xy, self.x, self.y, self.both, self.head, self.tail
+
+    def absorb(self, later: tuple) -> None:
+        """Go on with the sums of the rows after these, and with the pairs that lie across."""
+        n, valid, total, origin, xy, x, y, both, head, tail = later
+        if self.origin is None:
+            self.origin = origin
+        elif origin is not None and (gap := origin - self.origin):
+            xy, x, y = xy + gap * (x + y) + gap * gap * both, x + gap * both, y + gap * both
+            total, head, tail = total + gap * valid, head + gap, tail + gap
+        p, begin = self.p, len(self.tail)
+        joined = np.concatenate([self.tail, head])
+        self.xy, self.x, self.y, self.both = self.xy + xy, self.x + x, self.y + y, self.both + both
+        if self.matrix:
+            if len(joined) > p:
+                lagged = np.lib.stride_tricks.sliding_window_view(joined, p + 1)[max(0, begin - p) : begin, ::-1]
+                there = (~np.isnan(lagged)).astype(float)
+                filled = np.nan_to_num(lagged)
+                self.xy += filled.T @ filled
+                self.x += filled.T @ there
+                self.y += there.T @ filled
+                self.both += there.T @ there
+        else:
+            for k in range(1, p + 1):
+                at = np.arange(max(begin, k), min(begin + k, len(joined)))
+                now, then = joined[at], joined[at - k]
+                there = ~np.isnan(now) & ~np.isnan(then)
+                self.xy[k] += now[there] @ then[there]
+                self.x[k] += now[there].sum()
+                self.y[k] += then[there].sum()
+                self.both[k] += there.sum()
+        self.n, self.valid, self.total = self.n + n, self.valid + valid, self.total + total
+        if len(self.head) < p:
+            self.head = np.concatenate([self.head, head])[:p]
+        self.tail = np.concatenate([self.tail, tail])[-p:] if p else tail
+
     def shift(self, demean: bool) -> tuple[float, float]:
         """(the mean reported, the mean about the origin that deviations are taken from)."""
         mean = self.total / self.valid if self.valid else 0.0

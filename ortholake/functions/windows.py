@@ -65,6 +65,23 @@ class Ewm:
         self.count = int(counts[-1]) if len(counts) else self.count
         return np.where(counts < self.min_samples, np.nan, out)
 
+    def summary(self) -> tuple:
+        return self.last, self.count, self.held, self.origin
+
+    def absorb(self, later: tuple) -> None:
+        """Go on with what the rows after these add up to."""
+        last, count, held, origin = later
+        if last is None:
+            return
+        if self.last is not None:
+            fade = 0.5 ** min(float(last - self.last) / self.half_life, 2000.0)
+            w, w2, total, ax, ay, xx, yy, xy = self.held * np.array([fade, fade * fade, *[fade] * 6])
+            gx, gy = (self.origin - origin) if held[0] > 0 else np.zeros(2)
+            origin = origin if held[0] > 0 else self.origin
+            moved = np.array([w, w2, total, ax + w * gx, ay + w * gy, xx + 2 * ax * gx + w * gx * gx, yy + 2 * ay * gy + w * gy * gy, xy + ax * gy + ay * gx + w * gx * gy])
+            held = held + moved
+        self.last, self.count, self.held, self.origin = last, self.count + count, np.array(held), np.array(origin)
+
     def _centre(self, x: np.ndarray, y: np.ndarray, here: np.ndarray) -> None:
         """Move the origins to the means held, or to the first values of all."""
         w, _, _, ax, ay, *_ = self.held
@@ -98,6 +115,7 @@ class Rolling:
     def __init__(self, window: float, min_samples: int, min_clock_span: float, ddof: int):
         self.window, self.min_samples, self.min_span, self.ddof = window, max(min_samples, 1), min_clock_span, ddof
         self.held: tuple[np.ndarray, ...] | None = None
+        self.cut = False  # whether rows have left the window
 
     def _left(self, clock: np.ndarray, now: np.ndarray) -> np.ndarray:
         if clock.dtype.kind == "i":  # whole distances, exactly
@@ -157,9 +175,24 @@ class Rolling:
             span = clock[rows] - clock[oldest]
             out = np.where((count < self.min_samples) | (span < self.min_span), np.nan, out)
         keep = int(left[-1]) if len(rows) else 0
+        self.cut |= keep > 0
         self.held = clock[keep:], x[keep:], y[keep:]
         return out
 
+    def summary(self) -> tuple:
+        return self.held, self.cut
+
+    def absorb(self, later: tuple) -> None:
+        """Go on with the rows that those after these have left in their window."""
+        held, cut = later
+        if held is None:
+            return
+        if self.held is not None and not cut:
+            held = tuple(np.concatenate(p) for p in zip(self.held, held, strict=True))
+            keep = int(self._left(held[0], held[0][-1:])[0])
+            held, cut = tuple(h[keep:] for h in held), self.cut or keep > 0
+        self.held, self.cut = held, cut
+
     @staticmethod
     def _still(v: np.ndarray, here: np.ndarray, valid: np.ndarray, oldest: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Whether all values of a window are one value."""

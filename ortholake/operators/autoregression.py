@@ -1,6 +1,7 @@
 """Autoregression within every group: a lag counts rows, so the order of rows has to be given.
 
-Sequences are streamed through once and leave sums of a size that the number of lags sets; no group is ever held.
+Sequences are streamed through once and leave sums of a size that the number of lags sets; no group is ever held. With
+``spread`` a group may go over many tasks, whose sums are merged in order; by default that is so where there are no keys.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from ortholake.functions import schemas
 from ortholake.functions import sequences as seq
 from ortholake.functions.columns import ColumnArg, flat, keys_of, names_of, numeric, one_of
 from ortholake.functions.errors import InputError
-from ortholake.plans.ordered import fold_groups, map_groups, sorted_rows
+from ortholake.plans.ordered import fold_groups, fold_spread, map_groups, map_spread, sorted_rows, spread_rows
 
 METHODS, POLICIES = ("yule_walker", "burg"), ("raise", "zero")
 Order = ColumnArg | Sequence[ColumnArg]
@@ -40,11 +41,12 @@ def _values(column: pa.Array, name: str, policy: str) -> np.ndarray:
     return np.where(here, values, np.nan)
 
 
-def _fold(df: DataFrame, value: ColumnArg, order_by: Order, by, p: int, matrix: bool, policy: str, finish: Callable[[seq.Moments, str], dict], result: T.StructType, out: str) -> DataFrame:
+def _fold(df: DataFrame, value: ColumnArg, order_by: Order, by, p: int, matrix: bool, policy: str, finish: Callable[[seq.Moments, str], dict], result: T.StructType, out: str, spread: bool | None) -> DataFrame:
     one_of(policy, POLICIES, "null_policy")
     keys, name = keys_of(by), names_of(df, [value])[0]
     rows = df.select("*", numeric(df, [value])[0].alias("_value"))
-    rows = sorted_rows(rows, keys, _ordered(order_by)).select(*keys, "_value")
+    spread = not keys if spread is None else spread
+    rows = (spread_rows if spread else sorted_rows)(rows, keys, _ordered(order_by)).select(*keys, "_value")
 
     class State:
         def __init__(self):
@@ -53,13 +55,19 @@ def _fold(df: DataFrame, value: ColumnArg, order_by: Order, by, p: int, matrix:
         def step(self, piece: pa.RecordBatch) -> None:
             self.moments.add(_values(piece.column("_value"), name, policy))
 
+        def summary(self) -> tuple:
+            return self.moments.summary()
+
+        def absorb(self, later: tuple) -> None:
+            self.moments.absorb(later)
+
         def finish(self) -> dict:
             return finish(self.moments, name)
 
-    return fold_groups(rows, keys, State, out, result)
+    return (fold_spread if spread else fold_groups)(rows, keys, State, out, result)
 
 
-def _lags(df, value, max_lag, order_by, by, demean, unbiased, policy, kind, out, flatten) -> DataFrame:
+def _lags(df, value, max_lag, order_by, by, demean, unbiased, policy, kind, out, flatten, spread) -> DataFrame:
     if isinstance(max_lag, bool) or not isinstance(max_lag, int) or max_lag < 0:
         raise ValueError("max_lag must be an integer of 0 or more")
 
@@ -72,20 +80,20 @@ def _lags(df, value, max_lag, order_by, by, demean, unbiased, policy, kind, out,
             gamma = gamma / gamma[0]
         return {"series": name, "lags": list(range(max_lag + 1)), kind: gamma.tolist(), "mean": moments.shift(demean)[0], "n_observations": moments.n}
 
-    return flat(_fold(df, value, order_by, by, max_lag, False, policy, finish, schemas.sequence(kind), out), out, flatten)
+    return flat(_fold(df, value, order_by, by, max_lag, False, policy, finish, schemas.sequence(kind), out, spread), out, flatten)
 
 
-def autocovariance(df: DataFrame, value: ColumnArg, *, max_lag: int, order_by: Order, by: str | Sequence[str] | None = None, demean: bool = True, unbiased: bool = False, null_policy: str = "raise", out: str = "autocovariance", flatten: bool = False) -> DataFrame:
+def autocovariance(df: DataFrame, value: ColumnArg, *, max_lag: int, order_by: Order, by: str | Sequence[str] | None = None, demean: bool = True, unbiased: bool = False, null_policy: str = "raise", out: str = "autocovariance", flatten: bool = False, spread: bool | None = None) -> DataFrame:
     """One row per group: autocovariances of lags 0 to ``max_lag``, divided by all rows (or by the pairs, ``unbiased``)."""
-    return _lags(df, value, max_lag, order_by, by, demean, unbiased, null_policy, "autocovariance", out, flatten)
+    return _lags(df, value, max_lag, order_by, by, demean, unbiased, null_policy, "autocovariance", out, flatten, spread)
 
 
-def autocorrelation(df: DataFrame, value: ColumnArg, *, max_lag: int, order_by: Order, by: str | Sequence[str] | None = None, demean: bool = True, unbiased: bool = False, null_policy: str = "raise", out: str = "autocorrelation", flatten: bool = False) -> DataFrame:
+def autocorrelation(df: DataFrame, value: ColumnArg, *, max_lag: int, order_by: Order, by: str | Sequence[str] | None = None, demean: bool = True, unbiased: bool = False, null_policy: str = "raise", out: str = "autocorrelation", flatten: bool = False, spread: bool | None = None) -> DataFrame:
     """As ``autocovariance``, over the variance."""
-    return _lags(df, value, max_lag, order_by, by, demean, unbiased, null_policy, "autocorrelation", out, flatten)
+    return _lags(df, value, max_lag, order_by, by, demean, unbiased, null_policy, "autocorrelation", out, flatten, spread)
 
 
-def partial_autocorrelation(df: DataFrame, value: ColumnArg, *, max_lag: int, order_by: Order, by: str | Sequence[str] | None = None, method: str = "yule_walker", demean: bool = True, null_policy: str = "raise", out: str = "partial_autocorrelation", flatten: bool = False) -> DataFrame:
+def partial_autocorrelation(df: DataFrame, value: ColumnArg, *, max_lag: int, order_by: Order, by: str | Sequence[str] | None = None, method: str = "yule_walker", demean: bool = True, null_policy: str = "raise", out: str = "partial_autocorrelation", flatten: bool = False, spread: bool | None = None) -> DataFrame:
     """One row per group: partial autocorrelations of lags 1 to ``max_lag``."""
     one_of(method, METHODS, "method")
     if isinstance(max_lag, bool) or not isinstance(max_lag, int) or max_lag < 1:
@@ -95,10 +103,10 @@ def partial_autocorrelation(df: DataFrame, value: ColumnArg, *, max_lag: int, or
         found = seq.fit(moments, name, max_lag, max_lag, method, demean)
         return {"series": name, "lags": list(range(1, max_lag + 1)), "partial_autocorrelation": found["partial_autocorrelations"], "n_observations": moments.n}
 
-    return flat(_fold(df, value, order_by, by, max_lag, method == "burg", null_policy, finish, schemas.PARTIAL, out), out, flatten)
+    return flat(_fold(df, value, order_by, by, max_lag, method == "burg", null_policy, finish, schemas.PARTIAL, out, spread), out, flatten)
 
 
-def fit(df: DataFrame, value: ColumnArg, *, order: int | str, order_by: Order, by: str | Sequence[str] | None = None, max_order: int | None = None, method: str = "yule_walker", demean: bool = True, null_policy: str = "raise", out: str = "fit", flatten: bool = False) -> DataFrame:
+def fit(df: DataFrame, value: ColumnArg, *, order: int | str, order_by: Order, by: str | Sequence[str] | None = None, max_order: int | None = None, method: str = "yule_walker", demean: bool = True, null_policy: str = "raise", out: str = "fit", flatten: bool = False, spread: bool | None = None) -> DataFrame:
     """One row per group: an autoregression of the order given, or of the one that "aic", "bic" or "hqic" likes best."""
     one_of(method, METHODS, "method")
     p = seq.check_order(order, max_order)
@@ -106,14 +114,14 @@ def fit(df: DataFrame, value: ColumnArg, *, order: int | str, order_by: Order, b
     def finish(moments: seq.Moments, name: str) -> dict:
         return seq.fit(moments, name, order, p, method, demean)
 
-    return flat(_fold(df, value, order_by, by, p, method == "burg", null_policy, finish, schemas.AUTOREGRESSION, out), out, flatten)
+    return flat(_fold(df, value, order_by, by, p, method == "burg", null_policy, finish, schemas.AUTOREGRESSION, out, spread), out, flatten)
 
 
-def transform(df: DataFrame, value: ColumnArg, *, order: int | str, order_by: Order, by: str | Sequence[str] | None = None, max_order: int | None = None, method: str = "yule_walker", demean: bool = True, output: str = "residual", null_policy: str = "raise", out: str | None = None) -> DataFrame:
+def transform(df: DataFrame, value: ColumnArg, *, order: int | str, order_by: Order, by: str | Sequence[str] | None = None, max_order: int | None = None, method: str = "yule_walker", demean: bool = True, output: str = "residual", null_policy: str = "raise", out: str | None = None, spread: bool | None = None) -> DataFrame:
     """``df`` with each row's residual or prediction by its group's fit; null where a lag it needs isn't there."""
     one_of(output, ("residual", "prediction"), "output")
     keys, name = keys_of(by), names_of(df, [value])[0]
-    model = fit(df, value, order=order, order_by=order_by, by=by, max_order=max_order, method=method, demean=demean, null_policy=null_policy, out="_fit")
+    model = fit(df, value, order=order, order_by=order_by, by=by, max_order=max_order, method=method, demean=demean, null_policy=null_policy, out="_fit", spread=spread)
     model = model.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)), F.col("_fit.coefficients").alias("_phi"), F.col("_fit.mean").alias("_mean"))
     rows = df.select("*", numeric(df, [value])[0].alias("_value"))
     if keys:
@@ -126,21 +134,33 @@ def transform(df: DataFrame, value: ColumnArg, *, order: int | str, order_by: Or
 
     class State:
         def __init__(self):
-            self.tail = None
+            self.order, self.tail = 0, np.zeros(0)
+
+        def _keep(self, values: np.ndarray) -> None:
+            self.tail = values[max(0, len(values) - self.order) :]
 
         def step(self, piece: pa.RecordBatch) -> list[pa.Array]:
             phi = np.array(piece.column("_phi")[0].as_py(), float)
             mean = piece.column("_mean")[0].as_py()
             values = _values(piece.column("_value"), name, null_policy) - mean
-            p = len(phi)
-            before = np.full(p, np.nan) if self.tail is None else self.tail
-            joined = np.concatenate([before, values])
+            p = self.order = len(phi)
+            joined = np.concatenate([np.full(p - len(self.tail), np.nan), self.tail, values])
             found = np.zeros(len(values))
             for k in range(p):
                 found += phi[k] * joined[p - 1 - k : len(joined) - 1 - k]
-            self.tail = joined[len(joined) - p :]
+            self._keep(np.concatenate([self.tail, values]))
             found = np.where(np.isnan(values), np.nan, found + mean if output == "prediction" else values - found)
             return [pa.array(found, mask=np.isnan(found))]
 
-    result = map_groups(sorted_rows(joined, keys, _ordered(order_by)), keys, State, [T.StructField(out or output, T.DoubleType())])
+        def summary(self) -> tuple[int, np.ndarray]:
+            return self.order, self.tail
+
+        def absorb(self, later: tuple[int, np.ndarray]) -> None:
+            self.order = later[0]
+            self._keep(np.concatenate([self.tail, later[1]]))
+
+    fields = [T.StructField(out or output, T.DoubleType())]
+    spread = not keys if spread is None else spread
+    order = _ordered(order_by)
+    result = map_spread(spread_rows(joined, keys, order), keys, State, fields) if spread else map_groups(sorted_rows(joined, keys, order), keys, State, fields)
     return result.drop("_value", "_phi", "_mean")

@@ -20,7 +20,7 @@ from ortholake.functions.clocks import checked_clock, checked_values, clock_colu
 from ortholake.functions.columns import ColumnArg, keys_of, names_of, numeric, one_of
 from ortholake.functions.errors import InputError
 from ortholake.functions.windows import Ewm, Rolling
-from ortholake.plans.ordered import map_groups, sorted_rows
+from ortholake.plans.ordered import map_groups, map_spread, sorted_rows, spread_rows
 
 Span = int | float | timedelta
 POLICIES = ("skip", "raise")
@@ -46,8 +46,13 @@ class Statistic:
         return f"{self.kind}_{self.name}"
 
 
-def clocked(df: DataFrame, statistics: Sequence[Statistic], *, clock: ColumnArg, by: str | Sequence[str] | None = None, order_by: ColumnArg | Sequence[ColumnArg] | None = None) -> DataFrame:
-    """``df`` with a column for each statistic, all in one pass over one sort."""
+def clocked(df: DataFrame, statistics: Sequence[Statistic], *, clock: ColumnArg, by: str | Sequence[str] | None = None, order_by: ColumnArg | Sequence[ColumnArg] | None = None, spread: bool | None = None) -> DataFrame:
+    """``df`` with a column for each statistic, all in one pass over one sort.
+
+    With ``spread`` a group may go over many tasks, for groups that hold much of the data; that reads the rows twice
+    and, for rolling statistics, brings one window's rows for each task to the driver. By default it is done where
+    there are no keys and all statistics decay.
+    """
     keys = keys_of(by)
     operation = statistics[0].label
     clock_value, unit = clock_column(df, clock, operation)
@@ -71,7 +76,8 @@ def clocked(df: DataFrame, statistics: Sequence[Statistic], *, clock: ColumnArg,
         added.append(s.out or s.label)
     columns = [f"_x{i}_{j}" for i, v in enumerate(values) for j in range(len(v))]
     flat = [v.alias(c) for v, c in zip((v for own in values for v in own), columns, strict=True)]
-    rows = sorted_rows(df.select("*", clock_value.alias("_clock"), *flat), keys, order)
+    rows = df.select("*", clock_value.alias("_clock"), *flat)
+    spread = not keys and all(s.kind == "ewm" for s in statistics) if spread is None else spread
 
     class State:
         def __init__(self):
@@ -88,20 +94,29 @@ def clocked(df: DataFrame, statistics: Sequence[Statistic], *, clock: ColumnArg,
                 out.append(pa.array(found, mask=np.isnan(found)))
             return out
 
-    result = map_groups(rows, keys, State, [T.StructField(a, T.DoubleType()) for a in added])
+        def summary(self) -> tuple:
+            return self.last, [state.summary() for state in self.each]
+
+        def absorb(self, later: tuple) -> None:
+            self.last = later[0]
+            for state, own in zip(self.each, later[1], strict=True):
+                state.absorb(own)
+
+    fields = [T.StructField(a, T.DoubleType()) for a in added]
+    result = map_spread(spread_rows(rows, keys, order), keys, State, fields) if spread else map_groups(sorted_rows(rows, keys, order), keys, State, fields)
     return result.drop("_clock", *columns)
 
 
-def _one(df: DataFrame, kind: str, name: str, values: tuple, width: Span, clock, by, order_by, out, **rest) -> DataFrame:
-    return clocked(df, [Statistic(kind, name, values, width, out=out, **rest)], clock=clock, by=by, order_by=order_by)
+def _one(df: DataFrame, kind: str, name: str, values: tuple, width: Span, clock, by, order_by, out, spread, **rest) -> DataFrame:
+    return clocked(df, [Statistic(kind, name, values, width, out=out, **rest)], clock=clock, by=by, order_by=order_by, spread=spread)
 
 
 def _rolling(name: str, pair: bool, moment: bool):
     keep = {"min_samples": 1, "min_clock_span": None, "null_policy": "skip"} | ({"ddof": 1} if moment else {})
 
-    def run(df: DataFrame, *values: ColumnArg, clock: ColumnArg, window: Span, by=None, order_by=None, out: str | None = None, **options) -> DataFrame:
+    def run(df: DataFrame, *values: ColumnArg, clock: ColumnArg, window: Span, by=None, order_by=None, out: str | None = None, spread: bool | None = None, **options) -> DataFrame:
         _check(f"rolling_{name}", values, pair, options, keep)
-        return _one(df, "rolling", name, values, window, clock, by, order_by, out, **(keep | options))
+        return _one(df, "rolling", name, values, window, clock, by, order_by, out, spread, **(keep | options))
 
     return _named(run, f"rolling_{name}", pair, "over the rows whose clock is less than ``window`` behind; ``min_samples`` values and a reach of ``min_clock_span`` at least, else null")
 
@@ -109,9 +124,9 @@ def _rolling(name: str, pair: bool, moment: bool):
 def _ewm(name: str, pair: bool, moment: bool):
     keep = {"min_samples": 1, "null_policy": "skip"} | ({"bias": False} if moment else {})
 
-    def run(df: DataFrame, *values: ColumnArg, clock: ColumnArg, half_life: Span, by=None, order_by=None, out: str | None = None, **options) -> DataFrame:
+    def run(df: DataFrame, *values: ColumnArg, clock: ColumnArg, half_life: Span, by=None, order_by=None, out: str | None = None, spread: bool | None = None, **options) -> DataFrame:
         _check(f"ewm_{name}", values, pair, options, keep)
-        return _one(df, "ewm", name, values, half_life, clock, by, order_by, out, **(keep | options))
+        return _one(df, "ewm", name, values, half_life, clock, by, order_by, out, spread, **(keep | options))
 
     return _named(run, f"ewm_{name}", pair, "of all rows so far, each weighing half as much for every ``half_life`` that the clock has moved since; null before ``min_samples`` values")
 

@@ -1,16 +1,21 @@
 """Ordered groups as streams: rows sorted within tasks go through Arrow batch by batch, with a small state between.
 
-A task never holds a group, only what the operator keeps of it, so a group may be of any length.
+A task never holds a group, only what the operator keeps of it, so a group may be of any length. A group may also be
+spread over many tasks: what each makes of its part is then merged in order.
 """
 
 from __future__ import annotations
 
+import pickle
+import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -92,3 +97,93 @@ def fold_groups(rows: DataFrame, keys: list[str], new: Callable[[], object], out
 
     found = rows.mapInArrow(run, schema)
     return found if keys else raise_if_empty(found, out)
+
+
+# One group over many tasks: rows in ranges, so that the order of tasks is the order of rows.
+
+
+def spread_rows(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """Rows in ranges of (keys, order), each range in order; a group may go on from one task to the next."""
+    return df.repartitionByRange(*(F.col(k) for k in keys), *order).sortWithinPartitions(*keys, *order)
+
+
+def fold_spread(rows: DataFrame, keys: list[str], new: Callable[[], object], out: str, result: T.DataType) -> DataFrame:
+    """As ``fold_groups`` over ``spread_rows``: each task's part of a group is folded, and the parts merged in order."""
+    from ortholake.plans.two_stage import finished, grouped
+
+    fields = [rows.schema[k] for k in keys]
+    schema = T.StructType([*fields, T.StructField("_part", T.LongType()), T.StructField("_state", T.BinaryType())])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+
+        def done(key: pa.RecordBatch, state: object) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*key.columns, pa.array([part]), pa.array([pickle.dumps(state.summary())], pa.binary())], names=schema.names)
+
+        state = key = None
+        for begins, piece in segments(batches, keys):
+            if begins:
+                if state is not None:
+                    yield done(key, state)
+                state, key = new(), piece.select(keys).slice(0, 1)
+            state.step(piece)
+        if state is not None:
+            yield done(key, state)
+
+    def merge(table: pa.Table) -> pa.Table:
+        state = new()
+        for data in table.sort_by("_part")["_state"].to_pylist():
+            state.absorb(pickle.loads(data))
+        return finished(table, keys, state.finish(), out, result)
+
+    return grouped(rows.mapInArrow(partial, schema), keys, merge, fields, out, result)
+
+
+def map_spread(rows: DataFrame, keys: list[str], new: Callable[[], object], added: list[T.StructField]) -> DataFrame:
+    """As ``map_groups`` over ``spread_rows``, in two passes over a checkpoint of the sorted rows.
+
+    The first leaves what each task's last group adds up to, a row for each task; from these the driver makes the state
+    with which each task's first group begins. The second pass maps the rows.
+    """
+    context = rows.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="ortholake-"))
+    rows = rows.checkpoint()
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = first = last = None
+        groups = 0
+        for begins, piece in segments(batches, keys):
+            if begins:
+                state, groups = new(), groups + 1
+                last = tuple(c[0].as_py() for c in piece.select(keys).columns)
+                first = last if groups == 1 else first
+            state.step(piece)
+        if state is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([pickle.dumps((first, last, groups == 1, state.summary()))], pa.binary())], names=["part", "end"])
+
+    seeds: dict[int, bytes] = {}
+    held = held_key = None
+    for r in sorted(rows.mapInArrow(ends, "part long, end binary").collect()):
+        first, last, single, summary = pickle.loads(r["end"])
+        goes_on = held is not None and held_key == first
+        if goes_on:
+            seeds[r["part"]] = pickle.dumps(held.summary())
+        if not (goes_on and single):
+            held = new()
+        held.absorb(summary)
+        held_key = last
+
+    schema = T.StructType([*rows.schema.fields, *added])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, seed = None, seeds.get(TaskContext.get().partitionId())
+        for begins, piece in segments(batches, keys):
+            if begins:
+                state = new()
+                if seed:
+                    state.absorb(pickle.loads(seed))
+                seed = None
+            yield pa.RecordBatch.from_arrays([*piece.columns, *state.step(piece)], names=schema.names)
+
+    return rows.mapInArrow(run, schema)

@@ -147,3 +147,20 @@ def test_toeplitz(spark, rng):
     fails(lambda: op.solve_toeplitz(bad, "g", "a", row_index="k").collect(), "positive definite")
     fails(lambda: op.solve_toeplitz(bad.withColumn("g", F.lit(1.0)), "g", "a", row_index="k").collect(), "positive definite")
     assert op.solve_toeplitz(bad.withColumn("g", F.lit(1.0)), "g", "a", row_index="k", diagonal_shift=1e-6).count() == 1
+
+
+@pytest.mark.parametrize("method", ["yule_walker", "burg"])
+@pytest.mark.parametrize("rows", [9, 400])
+def test_a_group_over_many_tasks(spark, series, method, rows):
+    y = [None if i % 13 == 5 else float(v) + 1e3 for i, v in enumerate(series[:rows])]
+    df = spark.createDataFrame([(i, v, None if i < rows // 3 else "a") for i, v in enumerate(y)], "i long, y double, k string")
+    for by in (None, "k"):
+        for p in (0, 2):
+            fits = [ar.fit(df, "y", order=p, method=method, order_by="i", by=by, null_policy="zero", spread=s, flatten=True).collect() for s in (True, False)]
+            key = lambda r: str(r["k"]) if by else ""  # noqa: B023, E731
+            for a, b in zip(*(sorted(f, key=key) for f in fits), strict=True):
+                np.testing.assert_allclose(a["coefficients"], b["coefficients"], atol=1e-8)
+                np.testing.assert_allclose([a["mean"], a["variance"]], [b["mean"], b["variance"]], rtol=1e-8)
+                assert a["n_observations"] == b["n_observations"]
+            got, want = ([r["residual"] for r in ar.transform(df, "y", order=p, method=method, order_by="i", by=by, null_policy="zero", spread=s).orderBy("i").collect()] for s in (True, False))
+            close(got, want, 1e-6)

@@ -125,3 +125,17 @@ def test_offsets_and_constants(spark, series):
     moved = [5.0 if i > 100 else float(i) for i in range(300)]
     got = run(made(spark, clock, moved, y), "rolling", "variance", 30)
     assert got[250] == 0.0
+
+
+@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("kind", ["rolling", "ewm"])
+@pytest.mark.parametrize("by", [None, "k"])
+def test_a_group_over_many_tasks(spark, series, kind, name, by):
+    clock, x, y = series
+    df = made(spark, clock, x, y).withColumn("k", F.when(F.col("i") < 40, None).otherwise(F.lit(1)))
+    span = 100 if kind == "rolling" else 40.0
+    options = {"by": by} if by else {}
+    got, want = (run(df, kind, name, span, spread=spread, **options) for spread in (True, False))
+    if name == "correlation":
+        got, want = zip(*[(a, b) for a, b in zip(got, want, strict=True) if a is not None and b is not None], strict=True)
+    close(got, want, 1e-8)
