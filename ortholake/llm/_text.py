@@ -61,11 +61,12 @@ class WordCache:
     and begun anew when full.
     """
 
-    def __init__(self, most_words: int = 1_500_000, most_ids: int = 12_000_000):
+    def __init__(self, most_words: int = 1_500_000, most_ids: int = 8_000_000):
         self.most_words, self.most_ids = most_words, most_ids
         self.clear()
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(the words' places in the order they were encoded in, how many ids each has, all ids)."""
         raise NotImplementedError
 
     def clear(self) -> None:
@@ -89,10 +90,9 @@ class WordCache:
         return found
 
     def _add(self, words: list[str], keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
-        found = self.encode_words(words)
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
-        numbers = len(self.starts) + np.arange(len(words))
+        order, lengths, ids = self.encode_words(words)
+        numbers = np.empty(len(words), np.int64)
+        numbers[order] = len(self.starts) + np.arange(len(words))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
         self.lengths, self.ids = np.concatenate([self.lengths, lengths]), np.concatenate([self.ids, ids])
         self.young = self._merged(self.young, (keys, checks, numbers))
@@ -126,8 +126,33 @@ class WordIds(WordCache):
         self.tokenizer = Tokenizer.from_file(path)
         super().__init__()
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if suffix and token.endswith(suffix)]] = True
+
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """(lengths, ids) of words of letters, encoded as one text: each is one run that ends where a word ends.
+
+        Null unless there are as many ends as words; every word has at least one.
+        """
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        at = np.flatnonzero(self.ends[ids]) + 1
+        return (np.diff(at, prepend=0), ids) if len(at) == len(words) and at[-1] == len(ids) else None
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        plain = [k for k, w in enumerate(words) if w.isalpha() and len(w) < 100] if self.ends.any() else []
+        rest, order, done = list(set(range(len(words))).difference(plain)), [], []
+        for i in range(0, len(plain), 256):
+            some = plain[i : i + 256]
+            if (found := self._together([words[k] for k in some])) is None:
+                rest += some
+            else:
+                order += some
+                done.append(found)
+        apart = [x.ids for x in self.tokenizer.encode_batch_fast([words[k] for k in rest], add_special_tokens=False)]
+        lengths = np.fromiter(map(len, apart), np.int64, len(apart))
+        done.append((lengths, np.fromiter(chain.from_iterable(apart), np.uint32, int(lengths.sum()))))
+        return np.array(order + rest, np.int64), *(np.concatenate(x) for x in zip(*done, strict=True))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts together, and where each text begins."""
@@ -142,11 +167,13 @@ def tidy() -> None:
 
 
 def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches, tidied up after each and at the end."""
-    for batch in batches:
+    """The batches, tidied up after every few and at the end."""
+    for n, batch in enumerate(batches, 1):
         yield batch
         del batch
-        tidy()
+        if n % 4 == 0:
+            tidy()
+    tidy()
 
 
 def folding(fold: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:

@@ -185,21 +185,22 @@ class Codec(WordCache):
             end -= len(last[end])
         return pieces[::-1]
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        out = []
-        for word in words:
-            ids, unknown = [], False
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        out: list[int] = []
+        lengths = np.empty(len(words), np.int64)
+        for k, word in enumerate(words):
+            before, unknown = len(out), False
             for piece in self.segment(word):
                 known = self.id.get(piece)
                 if known is not None:
-                    ids.append(known)
+                    out.append(known)
                 elif self.byte_ids:
-                    ids += [self.byte_ids[b] for b in piece.encode()]
+                    out += [self.byte_ids[b] for b in piece.encode()]
                 elif not unknown:
-                    ids.append(self.unknown)
+                    out.append(self.unknown)
                 unknown = known is None
-            out.append(ids)
-        return out
+            lengths[k] = len(out) - before
+        return np.arange(len(words)), lengths, np.array(out, np.uint32)
 
     def marked(self, text: str) -> str:
         """The text with its spaces marked, as pieces hold them."""
