@@ -41,13 +41,15 @@ def _native(df: DataFrame, features: list[ColumnArg], by: list[str], ddof: float
     usable = good[0]
     for g in good[1:]:
         usable = usable & g
-    x = [F.when(usable, F.col(c)) for c in columns]
+    # left out rows are nulls in every column; worked out once, ahead of the aggregates
+    rows = rows.select(*by, *(g.alias(f"_g{i}") for i, g in enumerate(good)), usable.alias("_usable"), *(F.when(usable, F.col(c)).alias(f"_x{i}") for i, c in enumerate(columns)))
+    x = [F.col(f"_x{i}") for i in range(p)]
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
     sums = (
         rows.groupBy(*by).agg(
             F.count(F.lit(1)).alias("_total"),
-            F.count_if(usable).alias("_n"),
-            F.array(*(F.count_if(~g) for g in good)).alias("_bad"),
+            F.count_if("_usable").alias("_n"),
+            F.array(*(F.count_if(~F.col(f"_g{i}")) for i in range(p))).alias("_bad"),
             _array([F.avg(c) for c in x]).alias("_means"),
             *(F.covar_pop(x[i], x[j]).alias(f"_c{i}_{j}") for i, j in pairs),
         )
