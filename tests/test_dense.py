@@ -226,3 +226,22 @@ def test_streamed_states(spark, frame, tmp_path):
     query.awaitTermination()
     got = op.finalise_covariance(read_merged(spark, str(tmp_path / "out"), "covariance"), out="m").select("m.*").first()
     np.testing.assert_allclose(got["covariance"], np.cov(column(data, "a", "b").T), atol=1e-10)
+
+
+def test_sql_and_aggregate_expressions(spark, frame):
+    from ortholake.plans import sql
+
+    _, df = frame
+    sql.register(spark)
+    op.least_squares_state(df, "y", ["a", "b"], by=["group", "part"], intercept=True).createOrReplaceTempView("states")
+    found = spark.sql("select group, finalise_least_squares(merge_least_squares_states(state)) as fit from states group by group").orderBy("group").collect()
+    want = op.least_squares(df, "y", ["a", "b"], by="group", intercept=True).orderBy("group").collect()
+    other = df.groupBy("group").agg(sql.least_squares(["y"], ["a", "b"], intercept=True).alias("fit"), sql.covariance(["a", "b"], weights="weight").alias("cov"), sql.pca(["a", "b"]).alias("pca")).orderBy("group").collect()
+    cov = op.covariance(df, ["a", "b"], by="group", weights="weight", out="cov").orderBy("group").collect()
+    pca = op.pca(df, ["a", "b"], by="group").orderBy("group").collect()
+    for f, w, o, c, p in zip(found, want, other, cov, pca, strict=True):
+        np.testing.assert_allclose(f["fit"]["coefficients"], w["fit"]["coefficients"], atol=1e-9)
+        np.testing.assert_allclose(o["fit"]["coefficients"], w["fit"]["coefficients"], atol=1e-9)
+        np.testing.assert_allclose(o["cov"]["covariance"], c["cov"]["covariance"], atol=1e-10)
+        np.testing.assert_allclose(o["pca"]["components"], p["pca"]["components"], atol=1e-8)
+    fails(lambda: df.withColumn("a", F.lit(None).cast("double")).groupBy("group").agg(sql.covariance(["a", "b"])).collect(), "'a'", "null or non-finite")
