@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ortholake.llm._exchange import PACKED, PACKED_ARROW, by_part, bytes_table, key_groups, mix, number_of_parts, rows_of, squeeze, table_bytes, unsqueeze
 from ortholake.llm._graph import connected_components
-from ortholake.llm._store import materialize, small_batches
+from ortholake.llm._store import materialize, replayable, small_batches
 from ortholake.llm._text import folding, slices, split_words, text_column, tidied
 
 SLICE_BYTES = 4 << 20
@@ -147,6 +147,7 @@ def _gather(percent: int):
 def sets_with_prefixes(df: DataFrame, width: int, percent: int) -> DataFrame:
     """SETS of (doc_id, text): ``members`` and ``prefix`` only where a link is possible."""
     small_batches(df.sparkSession)
+    df = replayable(df)
     parts = number_of_parts(df)
     counted = _send(df, width, parts).groupBy("part").applyInArrow(folding(_count), PACKED)
     return counted.groupBy("g").applyInArrow(folding(_gather(percent)), SETS)

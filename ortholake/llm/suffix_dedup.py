@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ortholake.llm._exchange import PACKED, PACKED_ARROW, by_part, bytes_table, mix, number_of_parts, rows_of, squeeze, squeeze_long, table_bytes, unsqueeze, unsqueeze_long
-from ortholake.llm._store import materialize, small_batches
+from ortholake.llm._store import materialize, replayable, small_batches
 from ortholake.llm._text import as_bytes, folding, once, ragged, slices, text_column, tidied
 
 SEGMENT = 1 << 20
@@ -413,6 +413,7 @@ def remove_repeats(df: DataFrame, depth: int = 50, gram: int = 24, hot_contexts:
     small_batches(df.sparkSession)
     carried = F.struct(F.lit(0).alias("_"), *carry).alias("carried")
     every = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("h"), carried)
+    every = replayable(every)
     docs = every.select("doc_id", "text", "h")
     parts = number_of_parts(docs)
     sent = _send(docs.where(F.col("doc_id").isNotNull()), depth, gram, parts)
