@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,13 +16,51 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
+#: Edges that one task takes whole; beyond, steps over all tasks.
+ONE_TASK = 2_000_000
+
+
+def components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, smallest node of each one's component): roots are hooked to lower ones, then paths are halved."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[x], root[y])
+        new = root.copy()
+        np.minimum.at(new, root[x], low)
+        np.minimum.at(new, root[y], low)
+        while (new != new[new]).any():
+            new = new[new]
+        if (new == root).all():
+            return nodes, nodes[root]
+        root = new
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The task's edges as stars: each node with the smallest of its component there."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if held:
+        nodes, roots = components(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], names=["a", "b"])
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b: long): root is the smallest node that it is connected with.
 
-    Large-star and small-star steps in turn. Each keeps at most one row per edge, so the table never outgrows the
-    input, and the number of rounds grows with the logarithm of the longest path. Each round is written, which cuts
-    its lineage.
+    Up to ``ONE_TASK`` edges go to one task. More are contracted within each task, and then large-star and small-star
+    steps go in turn over all of them: each keeps at most one row per edge, so the table never outgrows the input, and
+    the number of rounds grows with the logarithm of the longest path. Each round is written, which cuts its lineage.
     """
+    edges = materialize(edges.where(F.col("a") != F.col("b")).select("a", "b"), "edges")
+    schema = "a long, b long"
+    if edges.count() <= ONE_TASK:
+        return materialize(edges.coalesce(1).mapInArrow(_contracted, schema).toDF("node", "root"), "roots")
+    return star_components(edges.mapInArrow(_contracted, schema))
+
+
+def star_components(edges: DataFrame) -> DataFrame:
+    """``connected_components`` by steps over all tasks."""
     edges = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = materialize(edges, "edges")
     state = _state(edges)
