@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ortholake.llm._exchange import PACKED, PACKED_ARROW, by_part, bytes_table, mix, number_of_parts, rows_of, squeeze_long, table_bytes, unsqueeze_long
-from ortholake.llm._store import materialize, small_batches
+from ortholake.llm._store import materialize, replayable, small_batches
 from ortholake.llm._text import as_bytes, folding, slices, split_words, text_column, tidied
 
 SLICE_BYTES = 4 << 20
@@ -70,8 +70,17 @@ def grams(frame: np.ndarray, begin: int, end: int, order: int) -> np.ndarray:
     return code
 
 
+def turned(code: np.ndarray, k: int) -> np.ndarray:
+    """Grams with their ``k`` context bytes turned round, the nearest first, so that in order of these the grams of
+    every depth are nearly in order too."""
+    out = code & np.uint64(255)
+    for j in range(1, k + 1):
+        out = out | ((code >> np.uint64(8 * j) & np.uint64(255)) << np.uint64(8 * (k + 1 - j)))
+    return out
+
+
 class Trie:
-    """Lookups of code lengths: for each depth sorted grams with their counts, and contexts with their totals."""
+    """Lookups of code lengths: for each depth grams with their counts, and contexts with their totals, in turned order."""
 
     def __init__(self, nodes: list[tuple[np.ndarray, np.ndarray]], n_docs: int, n_bytes: int):
         self.depths = []
@@ -91,17 +100,26 @@ class Trie:
                 self.depths[-1]["shorter"] = np.bincount(longer[1], weights=known, minlength=longer[2])
             self.depths.append({"k": k, "gram": gram, "n": n.astype(float), "context": contexts, "total": np.maximum(total, held).astype(float), "held": held, "kinds": kinds.astype(float)})
             longer = gram, at, len(contexts)
+        self.order = len(nodes) - 1
+        for t in self.depths:
+            grams, contexts = turned(t["gram"], t["k"]), turned(t["context"] << np.uint64(8), t["k"]) >> np.uint64(8)
+            by_gram, by_context = np.argsort(grams), np.argsort(contexts)
+            t["gram"], t["n"], t["context"] = grams[by_gram], t["n"][by_gram], contexts[by_context]
+            t |= {c: t[c][by_context] for c in ("total", "held", "kinds", "shorter") if c in t}
 
     def score(self, code: np.ndarray) -> np.ndarray:
         """log10 of the probability of each gram's last byte after the others."""
+        code = turned(code, self.order)
+        back = np.argsort(code)
+        code = code[back]
         score = np.zeros(len(code))
         live = np.arange(len(code))
         out_n, out_kinds = np.zeros(len(code)), np.zeros(len(code))  # excluded by the longer context
         for t in self.depths:
             if not len(t["gram"]) or not len(live):
                 continue
-            own = code[live] & _low(t["k"] + 1)
-            context = own >> np.uint64(8)
+            context = code[live] >> np.uint64(8 * (1 + self.order - t["k"]))
+            own = context << np.uint64(8) | code[live] & np.uint64(255)
             at = np.minimum(np.searchsorted(t["context"], context), len(t["context"]) - 1)
             has = t["context"][at] == context
             place = np.minimum(np.searchsorted(t["gram"], own), len(t["gram"]) - 1)
@@ -118,7 +136,9 @@ class Trie:
                 out_n[live], out_kinds[live] = 0, 0
             live = live[~hit]
         score[live] -= np.log10(256 - out_kinds[live])
-        return score
+        found = np.empty(len(code))
+        found[back] = score
+        return found
 
 
 def _train(order: int, parts: int):
@@ -166,7 +186,7 @@ def _nodes(order: int, least: float):
     return nodes
 
 
-def train(df: DataFrame, order: int = 5, log2_nodes: int = 20) -> Trie:
+def train(df: DataFrame, order: int = 6, log2_nodes: int = 20) -> Trie:
     """The trie of the texts of ``df`` (column text)."""
     sizes = df.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("bytes")).first()
     total = (sizes["bytes"] or 0) + sizes["docs"]
@@ -258,7 +278,7 @@ def _gather(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([meta["doc_id"], meta["held_out"], pa.array(np.diff(ends, prepend=0)), pa.array(known), pa.array(sums), meta["score"], pa.nulls(len(ends), pa.int64())], schema=_SCORED)
 
 
-def lm_scores(df: DataFrame, order: int = 5, log2_nodes: int = 20, folds: int = 7, held_fold: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(df: DataFrame, order: int = 6, log2_nodes: int = 20, folds: int = 7, held_fold: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The model learns from the documents whose crc32 of the id, as text, isn't ``held_fold`` modulo ``folds``.
@@ -267,6 +287,7 @@ def lm_scores(df: DataFrame, order: int = 5, log2_nodes: int = 20, folds: int =
     small_batches(spark)
     held_out = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == held_fold, F.lit(False))
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held_out.alias("held_out"))
+    docs = replayable(docs)
     trie = spark.sparkContext.broadcast(train(docs.where(~F.col("held_out")), order, log2_nodes))
     parts = number_of_parts(docs)
     sent = docs.select("doc_id", "text", "held_out").mapInArrow(_score(trie, order, parts), PACKED)
