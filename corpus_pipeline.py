@@ -36,9 +36,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    kept = ngram_components(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """Of each group of near duplicates the document with the smallest id stays.
+
+    Rows without an id stay: they are in no group. Rows that share an id are one document, which goes with all of its
+    rows only where each of them has a near duplicate of a smaller id.
+    """
+    found = ngram_components(docs).groupBy("doc_id").agg(F.max("component_id").alias("first"))
+    return docs.join(found.where(F.col("first") < F.col("doc_id")), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -323,3 +323,15 @@ def test_pipeline(spark, documents, odd, empty, tmp_path):
         for _, stage in corpus_pipeline.STAGES:
             rest = stage(spark, rest, "")
         assert rest.count() >= 0
+
+
+def test_near_duplicates_go_and_rows_without_id_stay(spark, odd, odd_rows):
+    import corpus_pipeline
+
+    rows = [tuple(r) for r in corpus_pipeline.ngram_jaccard(spark, odd, "").collect()]
+    want = components([(r[0], r[1]) for r in odd_rows])
+    assert sorted(rows, key=str) == sorted((r for r in odd_rows if r[0] is None or want[r[0]] == r[0]), key=str)
+    assert sum(r[0] is None for r in rows) == 2
+    unlike = table(spark, [prose(1, 60), prose(2, 60)]).union(table(spark, [prose(1, 60), prose(3, 60)], 1))
+    got = corpus_pipeline.ngram_jaccard(spark, unlike, "").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted([(0, prose(1, 60)), (1, prose(2, 60)), (1, prose(1, 60)), (2, prose(3, 60))])
