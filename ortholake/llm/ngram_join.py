@@ -14,12 +14,16 @@ Exact, by signature trees over candidates that no pair at the threshold can esca
 4. A cluster of more than ``chunk`` nodes is dealt into chunks: first each by itself, then the representatives of the
    components found, then, if the cluster isn't one component yet, whatever is outside of its largest component against
    all of it, in pairs of chunks. So a task holds two chunks at most, and tight groups cost a step per member.
+5. With ``links``, the links of every document are counted too, those inside a component that the tree leaves out as
+   well: every pair of a cluster's sets is compared by lists of which sets hold a member, chunk by chunk and in pairs of
+   chunks. Only counts leave a task, a row for each set and pair of chunks, weighted by how many documents a set has.
 
 Texts are lower-cased (A-Z); words lie between bytes 20 and 09 to 0D.
 
 Defined results: a text without words (or null) has an empty set and is linked with nothing; a text with fewer words
-than a shingle has its whole sequence as its one member; a null id keeps its row with a null component; rows with the
-same id are one node; an empty table gives no rows; other columns are not looked at.
+than a shingle has its whole sequence as its one member; a null id keeps its row with a null component and is nobody's
+link; rows with the same id are one node, and each counts as a link; an empty table gives no rows; other columns are not
+looked at.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ from pyspark.sql import functions as F
 from ortholake.llm._exchange import PACKED, PACKED_ARROW, by_part, bytes_table, key_groups, mix, number_of_parts, rows_of, squeeze, table_bytes, unsqueeze
 from ortholake.llm._graph import connected_components
 from ortholake.llm._store import materialize, replayable, small_batches
-from ortholake.llm._text import folding, slices, split_words, text_column, tidied
+from ortholake.llm._text import folding, ragged, slices, split_words, text_column, tidied
 
 SLICE_BYTES = 4 << 20
 SETS = "doc_id long, n_shingles long, s1 long, s2 long, members binary, prefix array<long>"
@@ -281,31 +285,75 @@ def component_links(members: DataFrame, percent: int, chunk: int = 1024) -> Data
     return materialize(links.union(_link(rows, ["cluster", "x", "y"], percent)), "links")
 
 
-def ngram_components(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", chunk: int = 1024) -> DataFrame:
-    """One row per document: doc_id, n_shingles, class_id (smallest id with the same set), class_size, component_id."""
+def link_counts(sizes: np.ndarray, members: list[np.ndarray], weights: np.ndarray, percent: int, sides: np.ndarray | None = None) -> np.ndarray:
+    """For each set the sum of the weights of all others that it is linked with. With ``sides``, only of the other side."""
+    n = len(sizes)
+    lengths = np.array([len(m) for m in members])
+    number = np.unique(np.concatenate(members), return_inverse=True)[1]
+    holders = np.repeat(np.arange(n), lengths)[np.argsort(number, kind="stable")]
+    held = np.bincount(number)
+    first = np.cumsum(held) - held
+    counts = np.zeros(n, np.int64)
+    for k, own in enumerate(np.split(number, np.cumsum(lengths)[:-1])):
+        shared = np.zeros(n, np.int64)
+        for some in np.split(own, np.flatnonzero(np.diff(np.cumsum(held[own]) >> 22)) + 1):
+            shared += np.bincount(holders[ragged(first[some], held[some])], minlength=n)
+        linked = (shared > 0) & ((100 + percent) * shared >= percent * (sizes + sizes[k]))
+        linked[k] = False
+        if sides is not None:
+            linked &= sides != sides[k]
+        counts[k] = weights[linked].sum()
+    return counts
+
+
+def class_links(members: DataFrame, percent: int, chunk: int = 1024) -> DataFrame:
+    """(s1, s2, links) of the sets with links to others. ``members``: cluster, s1, s2, n, members, class_size."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in key_groups(tidied(batches), ["cluster", "x", "y"]):
+            if group.num_rows > 1:
+                sides = None if group["side"].null_count else group["side"].to_numpy()
+                found = link_counts(group["n"].to_numpy(), [np.frombuffer(m, np.uint64) for m in group["members"].to_pylist()], group["class_size"].to_numpy(), percent, sides)
+                own = pa.table({"s1": group["s1"], "s2": group["s2"], "links": pa.array(found)}).filter(pa.array(found > 0))
+                yield from own.combine_chunks().to_batches()
+
+    # cell (x, y): chunk x with chunk y, x <= y
+    cells = F.expr("transform(sequence(0L, chunks - 1), c -> struct(least(own, c) as x, greatest(own, c) as y, if(own = c, null, if(own < c, 0, 1)) as side))")
+    rows = members.join(members.groupBy("cluster").count(), "cluster").withColumn("chunks", F.expr(f"ceil(count / {chunk})"))
+    rows = rows.withColumn("own", F.expr("pmod(xxhash64(s1, s2), chunks)")).select("cluster", "s1", "s2", "n", "members", "class_size", F.inline(cells))
+    keys = ["cluster", "x", "y"]
+    counted = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(count, "s1 long, s2 long, links long")
+    return counted.groupBy("s1", "s2").agg(F.sum("links").alias("links"))
+
+
+def ngram_components(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", chunk: int = 1024, links: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_shingles, class_id (smallest id with the same set), class_size, component_id.
+
+    With ``links`` also n_links: how many other documents the document is linked with, those with the same set included.
+    """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = materialize(sets_with_prefixes(docs, width, percent), "sets")
     known = sets.where("doc_id is not null and s1 is not null")
     classes = known.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("class_size"))
     classes = materialize(classes, "classes")
     live = known.where("members is not null").dropDuplicates(["s1", "s2"]).select("s1", "s2", F.col("n_shingles").alias("n"), "members", "prefix")
-    live = materialize(live.join(classes.select("s1", "s2", "node"), ["s1", "s2"]).drop("s1", "s2"), "live")
+    live = materialize(live.join(classes, ["s1", "s2"]), "live")
 
     entries = live.select("node", F.explode("prefix").alias("member"))
     least = entries.groupBy("member").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").drop("most")
     stars = entries.join(least, "member").where(F.col("node") != F.col("least")).select(F.col("node").alias("a"), F.col("least").alias("b"))
     clusters = connected_components(stars).select("node", F.col("root").alias("cluster"))
-    members = live.select("node", "n", "members").join(clusters, "node")
-    roots = connected_components(component_links(materialize(members, "members"), percent, chunk))
-    return (
-        sets.select("doc_id", "n_shingles", "s1", "s2")
-        .join(classes, ["s1", "s2"], "left")
-        .join(roots, "node", "left")
-        .select(
-            "doc_id",
-            "n_shingles",
-            F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("class_id"),
-            F.when(F.col("doc_id").isNotNull(), F.coalesce("class_size", F.lit(1))).alias("class_size"),
-            F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "node", "doc_id")).alias("component_id"),
-        )
+    members = materialize(live.drop("prefix").join(clusters, "node"), "members")
+    roots = connected_components(component_links(members.select("cluster", "node", "n", "members"), percent, chunk))
+    rows = sets.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2"], "left").join(roots, "node", "left")
+    if links:
+        rows = rows.join(class_links(members, percent, chunk), ["s1", "s2"], "left")
+    own = F.col("doc_id").isNotNull()
+    return rows.select(
+        "doc_id",
+        "n_shingles",
+        F.when(own, F.coalesce("node", "doc_id")).alias("class_id"),
+        F.when(own, F.coalesce("class_size", F.lit(1))).alias("class_size"),
+        F.when(own, F.coalesce("root", "node", "doc_id")).alias("component_id"),
+        *([F.when(own, F.coalesce("class_size", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links")] if links else []),
     )

@@ -45,7 +45,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ortholake.llm.ngram_join import ngram_components
 
-    return ngram_components(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "class_id", "class_size")
+    return ngram_components(_documents(spark, sf_dir), links=True).select("doc_id", "n_shingles", "component_id", "class_id", "class_size", "n_links")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

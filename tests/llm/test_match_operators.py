@@ -80,6 +80,20 @@ def test_components_of_odd_tables(odd, odd_rows, empty):
     assert ngram_components(empty).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [1024, 8])
+def test_every_link_is_counted(spark, odd, odd_rows, chunk):
+    from ortholake.llm.ngram_join import ngram_components
+
+    texts = [*near_copies(1, 40), *near_copies(2, 20, 40, 5), *(prose(i, 30) for i in range(20)), "a b", "A  b", "a b c", "", None, prose(1, 60), prose(5, 30)]
+    rows = [(100 + i, t) for i, t in enumerate(texts)]
+    for df, rows in ((table(spark, texts, 100), rows), (odd, [r[:2] for r in odd_rows])):
+        sets = [(i, shingles(t)) for i, t in rows]
+        want = [None if i is None else sum(j is not None and k != m and bool(a & b) and 100 * len(a & b) >= 80 * len(a | b) for m, (j, b) in enumerate(sets)) for k, (i, a) in enumerate(sets)]
+        found = ngram_components(df, chunk=chunk, links=True).select("doc_id", "n_links").collect()
+        assert sorted(map(str, found)) == sorted(f"Row(doc_id={i}, n_links={n})" for (i, _), n in zip(rows, want, strict=True))
+        assert max(filter(None, want)) >= 3
+
+
 def test_tree_finds_the_components_of_a_set():
     from ortholake.llm.ngram_join import link_set
 
