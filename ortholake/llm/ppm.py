@@ -6,11 +6,12 @@ knew are excluded. A context escapes by the number of distinct bytes that it wou
 half) and by the share of its followers that the trie does not hold; below the empty context every byte left is alike.
 So each text gets a code length that adds up to one over all texts: ``score`` is its log10 probability, end included.
 
-Training counts every gram of ``order + 1`` bytes of every training text, packed by the hash of its last three bytes,
-so that a reducer has the whole subtrie of a suffix. A node stays in the trie if it makes up at least one in
-``2 ** log2_nodes`` of all bytes seen: at most so many nodes for each order whatever the size of the corpus, which
-bounds what is broadcast, and a node's suffixes always stay with it. Counts of words are as many as the corpus has
-words; they stay with the reducers of their hashes, to which each slice of texts sends its distinct words once.
+Every gram of ``order + 1`` bytes of every training text counts, however rare. Grams of up to three bytes, of which there
+are at most 256 ** 3 in any corpus, are counted first and broadcast. Longer ones never leave the reducers: each slice of
+texts sends its distinct grams, with their counts in its training texts, to the reducers of the hashes of the three bytes
+before the last, which so have whole subtries of contexts; these build the trie of their range and send the scores of a
+slice's grams back to it. Words go the same way. The slice's text goes to where its scores arrive, and is cut into grams
+and words again there, which takes less room than to say which gram stands where.
 
 Texts are lower-cased (A-Z). The terminator, which also stands before the start, is byte 255, which UTF-8 doesn't use.
 
@@ -33,11 +34,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ortholake.llm._exchange import PACKED, PACKED_ARROW, by_part, bytes_table, mix, number_of_parts, rows_of, squeeze_long, table_bytes, unsqueeze_long
+from ortholake.llm._exchange import PACKED, PACKED_ARROW, by_part, bytes_table, mix, number_of_parts, rows_of, squeeze, squeeze_long, table_bytes, unsqueeze, unsqueeze_long
 from ortholake.llm._store import materialize, replayable, small_batches
 from ortholake.llm._text import as_bytes, folding, slices, split_words, text_column, tidied
 
 SLICE_BYTES = 4 << 20
+SENT_BYTES = 8 << 20
 SEGMENT = 4 << 20
 END = 255
 NODES = "depth int, gram long, n long"
@@ -80,16 +82,21 @@ def turned(code: np.ndarray, k: int) -> np.ndarray:
 
 
 class Trie:
-    """Lookups of code lengths: for each depth grams with their counts, and contexts with their totals, in turned order."""
+    """Lookups of code lengths: for each depth grams with their counts, and contexts with their totals, in turned order.
 
-    def __init__(self, nodes: list[tuple[np.ndarray, np.ndarray]], n_docs: int, n_bytes: int):
+    Without ``n_docs`` no gram was left out of ``nodes``, and a context's total is the sum of its grams.
+    """
+
+    def __init__(self, nodes: list[tuple[np.ndarray, np.ndarray]], n_docs: int | None = None, n_bytes: int = 0):
         self.depths = []
         longer = None
         for k in range(len(nodes) - 1, -1, -1):
             gram, n = nodes[k]
             contexts, at = np.unique(gram >> np.uint64(8), return_inverse=True)
             held, kinds = np.bincount(at, weights=n, minlength=len(contexts)), np.bincount(at, minlength=len(contexts))
-            if k:
+            if n_docs is None:
+                total = held
+            elif k:
                 shorter, counts = nodes[k - 1]
                 place = np.minimum(np.searchsorted(shorter, contexts), max(len(shorter) - 1, 0))
                 total = np.where(contexts == _low(k), n_docs, counts[place]) if len(contexts) else held
@@ -187,7 +194,8 @@ def _nodes(order: int, least: float):
 
 
 def train(df: DataFrame, order: int = 6, log2_nodes: int = 20) -> Trie:
-    """The trie of the texts of ``df`` (column text)."""
+    """The trie of the texts of ``df`` (column text) in one piece, for a driver: only nodes that make up one in
+    ``2 ** log2_nodes`` of all bytes stay. ``lm_scores`` doesn't use it."""
     sizes = df.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("bytes")).first()
     total = (sizes["bytes"] or 0) + sizes["docs"]
     least = max(1.0, total / (1 << log2_nodes))
@@ -204,81 +212,181 @@ def train(df: DataFrame, order: int = 6, log2_nodes: int = 20) -> Trie:
     return Trie(nodes, sizes["docs"], total)
 
 
-def _score(trie, order: int, parts: int):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Scores, and the slice's distinct words packed by hash range with how often its training texts have them."""
+#: Bytes of the grams that are broadcast.
+SHORT = 3
+
+
+def _count_short(order: int):
+    width = min(SHORT, order + 1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of the task's grams of ``width`` bytes."""
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in tidied(batches):
+            texts = pc.ascii_lower(text_column(batch))
+            for i, j in slices(texts, SLICE_BYTES):
+                frame, coded, _ = framed(*as_bytes(texts.slice(i, j - i)), order)
+                for s in range(0, len(frame), SEGMENT):
+                    e = min(len(frame), s + SEGMENT)
+                    held.append(np.unique((grams(frame, s, e, order)[coded[s:e]] & _low(width)).astype(np.uint32), return_counts=True))
+                held = [_summed(held)]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(held[0][0].astype(np.int64)), pa.array(held[0][1])], names=["gram", "n"])
+
+    return count
+
+
+def _summed(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Grams in order with the sums of their counts."""
+    codes, at = np.unique(np.concatenate([c for c, _ in counts]), return_inverse=True)
+    return codes, np.bincount(at, weights=np.concatenate([n for _, n in counts]), minlength=len(codes)).astype(np.int64)
+
+
+def _levels(codes: np.ndarray, n: np.ndarray, high: int, low: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For depths ``low`` to ``high`` the grams and their counts, from those of ``high``."""
+    out = []
+    for k in range(high, low - 1, -1):
+        codes, n = _summed([(codes & _low(k + 1), n)])
+        out.append((codes, n))
+    return out[::-1]
+
+
+def short_grams(df: DataFrame, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Grams of up to ``SHORT`` bytes of the texts of ``df`` with their counts, by depth."""
+    found = df.select("text").mapInArrow(_count_short(order), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    return _levels(found["gram"].to_numpy().view(np.uint64), found["n"].to_numpy(), min(SHORT, order + 1) - 1, 0)
+
+
+def _ranges(codes: np.ndarray, order: int, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Grams by the hash range of the bytes before the last."""
+    return by_part(mix(codes >> np.uint64(8) & _low(min(SHORT, order))), parts)
+
+
+def _send(order: int, parts: int):
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A slice's distinct words (kind 0) and grams (kind 3), packed by hash range, with how often its training texts
+        have them."""
         g = TaskContext.get().partitionId() << 32
         small = zstandard.ZstdCompressor(level=1)
         for batch in tidied(batches):
             texts = pc.ascii_lower(text_column(batch))
-            ids, held_out = batch.column("doc_id"), batch.column("held_out")
-            for i, j in slices(texts, SLICE_BYTES):
+            held_out = batch.column("held_out")
+            for i, j in slices(texts, SENT_BYTES):
                 some = texts.slice(i, j - i)
+                learns = ~held_out.slice(i, j - i).to_numpy(zero_copy_only=False)
                 frame, coded, starts = framed(*as_bytes(some), order)
-                total = np.zeros(j - i)
+                learnt = np.repeat(learns, np.diff(np.append(starts, len(frame))))
+                found = []
                 for s in range(0, len(frame), SEGMENT):
                     e = min(len(frame), s + SEGMENT)
-                    at, codes = pd.factorize(grams(frame, s, e, order))
-                    each = np.where(coded[s:e], trie.value.score(codes)[at], 0.0)
-                    first, last = np.searchsorted(starts, s, side="right") - 1, np.searchsorted(starts, e)
-                    total[first:last] += np.add.reduceat(each, np.maximum(starts[first:last], s) - s)
+                    codes = grams(frame, s, e, order)
+                    found.append(np.unique(codes[coded[s:e] & learnt[s:e]], return_counts=True))
+                    others = np.unique(codes[coded[s:e] & ~learnt[s:e]])
+                    found.append((others, np.zeros(len(others), np.int64)))
+                codes, n = _summed(found)
+                rows = [(p, g, 3, squeeze_long(codes[own].view(np.int64)), small.compress(n[own].tobytes()), None) for p, own in _ranges(codes, order, parts)]
                 words, at, dictionary = split_words(some)
                 keys = np.fromiter((xxhash.xxh64_intdigest(w.as_buffer()) for w in dictionary), np.uint64, len(dictionary))
-                learns = np.repeat(~held_out.slice(i, j - i).to_numpy(zero_copy_only=False), np.diff(at))
-                n = np.bincount(words[learns], minlength=len(keys))
-                rows, places = [], np.zeros(len(keys), np.int64)
-                done = 0
-                for p, own in by_part(mix(keys), parts):
-                    rows.append((p, g, 0, keys[own].tobytes(), small.compress(n[own].astype(np.int64).tobytes()), done.to_bytes(8, "little")))
-                    places[own] = done + np.arange(len(own))
-                    done += len(own)
-                meta = pa.table({"doc_id": ids.slice(i, j - i), "held_out": held_out.slice(i, j - i), "score": pa.array(total), "at": pa.array(at[1:])})
-                rows.append((g % parts, g, 1, table_bytes(meta), small.compress(places[words].astype(np.int32).tobytes()), None))
+                n = np.bincount(words[np.repeat(learns, np.diff(at))], minlength=len(keys)).astype(np.int64)
+                rows += [(p, g, 0, keys[own].tobytes(), small.compress(n[own].tobytes()), squeeze(own)) for p, own in by_part(mix(keys), parts)]
                 yield rows_of(PACKED_ARROW, rows)
                 g += 1
 
-    return score
+    return send
 
 
-def _known(table: pa.Table) -> pa.Table:
-    """Of one hash range: for each slice the counts of its words in all training texts; kind 2: distinct words seen."""
-    expand, small = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
-    rows = table.to_pylist()
-    came = [r for r in rows if r["kind"] == 0]
-    out = [(0, r["g"], 1, r["a"], r["b"], None) for r in rows if r["kind"] == 1]
-    if came:
-        n = [np.frombuffer(expand.decompress(r["b"]), np.int64) for r in came]
-        _, at = np.unique(np.concatenate([np.frombuffer(r["a"], np.uint64) for r in came]), return_inverse=True)
-        total = np.bincount(at, weights=np.concatenate(n)).astype(np.int64)
-        out.append((0, -1 - came[0]["part"], 2, int((total > 0).sum()).to_bytes(8, "little"), None, None))
-        total = total[at]
-        for r, end in zip(came, np.cumsum([len(x) for x in n]).tolist(), strict=True):
-            own = total[end - len(r["a"]) // 8 : end]
-            out.append((0, r["g"], 0, small.compress(own.tobytes()), None, r["c"]))
-    return pa.Table.from_batches([rows_of(PACKED_ARROW, out)] if out else [], schema=PACKED_ARROW)
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The slices of ``_send`` as texts (kind 1). They need not pass the hash ranges."""
+    g = TaskContext.get().partitionId() << 32
+    small = zstandard.ZstdCompressor(level=1)
+    for batch in tidied(batches):
+        texts = pc.ascii_lower(text_column(batch))
+        for i, j in slices(texts, SENT_BYTES):
+            meta = pa.table({"doc_id": batch.column("doc_id").slice(i, j - i), "held_out": batch.column("held_out").slice(i, j - i), "text": texts.slice(i, j - i)})
+            yield rows_of(PACKED_ARROW, [(0, g, 1, small.compress(table_bytes(meta)), None, None)])
+            g += 1
 
 
-SCORED = "doc_id long, held_out boolean, n_words long, n_known long, sum_log double, score double, distinct_words long"
-_SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_words", pa.int64()), ("n_known", pa.int64()), ("sum_log", pa.float64()), ("score", pa.float64()), ("distinct_words", pa.int64())])
+def _known(short, order: int):
+    def known(table: pa.Table) -> pa.Table:
+        """Of one hash range: for each slice the counts of its words in all training texts (kind 0) and the scores of its
+        grams (kind 3); kind 2: distinct words seen."""
+        expand, small = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        rows = table.to_pylist()
+        out = []
+        if came := [r for r in rows if r["kind"] == 0]:
+            n = [np.frombuffer(expand.decompress(r["b"]), np.int64) for r in came]
+            _, at = np.unique(np.concatenate([np.frombuffer(r["a"], np.uint64) for r in came]), return_inverse=True)
+            total = np.bincount(at, weights=np.concatenate(n)).astype(np.int64)
+            out.append((0, -1 - came[0]["part"], 2, int((total > 0).sum()).to_bytes(8, "little"), None, None))
+            for r, own in zip(came, np.split(total[at], np.cumsum([len(x) for x in n])[:-1]), strict=True):
+                out.append((0, r["g"], 0, small.compress(own.tobytes()), None, r["c"]))
+        if came := [r for r in rows if r["kind"] == 3]:
+            codes = np.zeros(0, np.uint64)
+            n = np.zeros(0, np.int64)
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+            for r in came:  # summed now and then, so that what is held are distinct grams
+                held.append((unsqueeze_long(r["a"]).view(np.uint64), np.frombuffer(expand.decompress(r["b"]), np.int64)))
+                if sum(len(c) for c, _ in held) > 1_000_000 + len(codes):
+                    codes, n = _summed([(codes, n), *held])
+                    held = []
+            codes, n = _summed([(codes, n), *held])
+            trie = Trie([*short.value, *_levels(codes[n > 0], n[n > 0], order, len(short.value))])
+            score = np.concatenate([np.zeros(0), *(trie.score(codes[s : s + 1_000_000]) for s in range(0, len(codes), 1_000_000))])
+            for r in came:
+                own = score[np.searchsorted(codes, unsqueeze_long(r["a"]).view(np.uint64))]
+                values, at = np.unique(own, return_inverse=True)  # many grams have a score in common
+                at = at.astype(np.uint16 if len(values) <= 1 << 16 else np.uint32)
+                out.append((0, r["g"], 3, small.compress(at.tobytes()), small.compress(values.tobytes()), r["part"].to_bytes(8, "little")))
+        return pa.Table.from_batches([rows_of(PACKED_ARROW, out)] if out else [], schema=PACKED_ARROW)
+
+    return known
 
 
-def _gather(table: pa.Table) -> pa.Table:
-    """Of one slice: a row for each text with the sum of log10(count + 1) of its words."""
-    expand = zstandard.ZstdDecompressor()
-    rows = table.to_pylist()
-    if seen := [r for r in rows if r["kind"] == 2]:
-        return pa.Table.from_pylist([{"distinct_words": sum(int.from_bytes(r["a"], "little") for r in seen)}], schema=_SCORED)
-    head = next(r for r in rows if r["kind"] == 1)
-    meta = bytes_table(head["a"])
-    came = sorted((int.from_bytes(r["c"], "little"), r["a"]) for r in rows if r["kind"] == 0)
-    counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(expand.decompress(a), np.int64) for _, a in came)])
-    n = counts[np.frombuffer(expand.decompress(head["b"]), np.int32)]
-    ends = meta["at"].to_numpy()
-    sums, known = (np.diff(np.concatenate([np.zeros(1, x.dtype), np.cumsum(x)])[np.concatenate([[0], ends])]) for x in (np.log10(n + 1.0), (n > 0).astype(np.int64)))
-    return pa.Table.from_arrays([meta["doc_id"], meta["held_out"], pa.array(np.diff(ends, prepend=0)), pa.array(known), pa.array(sums), meta["score"], pa.nulls(len(ends), pa.int64())], schema=_SCORED)
+SCORED = "doc_id long, held_out boolean, n_words long, n_known long, sum_log double, score double, distinct_words long"
+_SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_words", pa.int64()), ("n_known", pa.int64()), ("sum_log", pa.float64()), ("score", pa.float64()), ("distinct_words", pa.int64())])
 
 
-def lm_scores(df: DataFrame, order: int = 6, log2_nodes: int = 20, folds: int = 7, held_fold: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _gather(order: int, parts: int):
+    def gather(table: pa.Table) -> pa.Table:
+        """Of one slice: a row for each text with the sum of log10(count + 1) of its words and of its grams' scores."""
+        expand = zstandard.ZstdDecompressor()
+        rows = table.to_pylist()
+        if seen := [r for r in rows if r["kind"] == 2]:
+            return pa.Table.from_pylist([{"distinct_words": sum(int.from_bytes(r["a"], "little") for r in seen)}], schema=_SCORED)
+        meta = bytes_table(expand.decompress(next(r["a"] for r in rows if r["kind"] == 1))).combine_chunks()
+        some = pa.concat_arrays(meta["text"].chunks)
+        words, at, dictionary = split_words(some)
+        counts = np.zeros(len(dictionary), np.int64)
+        for r in rows:
+            if r["kind"] == 0:
+                counts[unsqueeze(r["c"])] = np.frombuffer(expand.decompress(r["a"]), np.int64)
+        n = counts[words]
+        sums, known = (np.diff(np.concatenate([np.zeros(1, x.dtype), np.cumsum(x)])[at]) for x in (np.log10(n + 1.0), (n > 0).astype(np.int64)))
+
+        frame, coded, starts = framed(*as_bytes(some), order)
+        segments = []
+        for s in range(0, len(frame), SEGMENT):
+            e = min(len(frame), s + SEGMENT)
+            segments.append((s, e, *pd.factorize(grams(frame, s, e, order)[coded[s:e]])))
+        codes = np.unique(np.concatenate([x[3] for x in segments]))
+        score = np.empty(len(codes))
+        came = {int.from_bytes(r["c"], "little"): r for r in rows if r["kind"] == 3}
+        for p, own in _ranges(codes, order, parts):
+            values, places = (np.frombuffer(expand.decompress(came[p]["b"])), expand.decompress(came[p]["a"]))
+            score[own] = values[np.frombuffer(places, np.uint16 if len(values) <= 1 << 16 else np.uint32)]
+        total = np.zeros(len(some))
+        for s, e, place, distinct in segments:
+            each = np.zeros(e - s)
+            each[coded[s:e]] = score[np.searchsorted(codes, distinct)][place]
+            first, last = np.searchsorted(starts, s, side="right") - 1, np.searchsorted(starts, e)
+            total[first:last] += np.add.reduceat(each, np.maximum(starts[first:last], s) - s)
+        return pa.Table.from_arrays([meta["doc_id"], meta["held_out"], pa.array(np.diff(at)), pa.array(known), pa.array(sums), pa.array(total), pa.nulls(len(some), pa.int64())], schema=_SCORED)
+
+    return gather
+
+
+def lm_scores(df: DataFrame, order: int = 6, folds: int = 7, held_fold: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The model learns from the documents whose crc32 of the id, as text, isn't ``held_fold`` modulo ``folds``.
@@ -288,10 +396,13 @@ def lm_scores(df: DataFrame, order: int = 6, log2_nodes: int = 20, folds: int =
     held_out = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == held_fold, F.lit(False))
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held_out.alias("held_out"))
     docs = replayable(docs)
-    trie = spark.sparkContext.broadcast(train(docs.where(~F.col("held_out")), order, log2_nodes))
+    short = spark.sparkContext.broadcast(short_grams(docs.where(~F.col("held_out")), order))
     parts = number_of_parts(docs)
-    sent = docs.select("doc_id", "text", "held_out").mapInArrow(_score(trie, order, parts), PACKED)
-    scored = materialize(sent.groupBy("part").applyInArrow(folding(_known), PACKED).groupBy("g").applyInArrow(folding(_gather), SCORED), "scored")
+    sent = docs.select("doc_id", "text", "held_out").mapInArrow(_send(order, parts), PACKED)
+    known = sent.groupBy("part").applyInArrow(folding(_known(short, order)), PACKED)
+    texts = docs.select("doc_id", "text", "held_out").mapInArrow(_texts, PACKED)
+    # texts come first: a task's number there is that of its partition, as in ``sent``
+    scored = materialize(texts.union(known).groupBy("g").applyInArrow(folding(_gather(order, parts)), SCORED), "scored")
     learned = scored.agg(F.sum(F.when(~F.col("held_out"), F.col("n_words") + 1)).alias("tokens"), F.count_if(~F.col("held_out")).alias("docs"), F.sum("distinct_words").alias("words")).first()
     tokens, ends, distinct = learned["tokens"] or 0, learned["docs"], (learned["words"] or 0) + (learned["docs"] > 0)
     return scored.where("distinct_words is null").select(

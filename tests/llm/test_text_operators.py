@@ -215,6 +215,49 @@ def test_ppm_trie_is_the_naive_one(spark):
         assert math.isclose(scores[f[q]], math.log10(probability(f[q - order : q], f[q])), abs_tol=1e-9)
 
 
+def test_ppm_scores_use_every_gram(spark):
+    from ortholake.llm import ppm
+
+    r = random.Random(5)
+    order = 4
+    rare = "qzxjkvw qjzkxv"
+    texts = ["".join(r.choice("ab cd") for _ in range(40_000)) for _ in range(60)] + [rare] * 3
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, rare) for i in range(30)]
+    rows = [(i, t) for i, t in rows if i < 1000 or zlib.crc32(str(i).encode()) % 7 == 2] + [(63, ""), (64, "é漢 A")]
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
+    assert sum(not held[i] for i, t in rows if t == rare) in (1, 2, 3) and any(i >= 1000 for i, _ in rows)
+    got = {x["doc_id"]: x["score"] for x in ppm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), order).collect()}
+    seen = [Counter() for _ in range(order + 1)]
+    framed = {i: b"\xff" * order + t.lower().encode() + b"\xff" for i, t in rows}
+    for i, f in framed.items():
+        if not held[i]:
+            for k in range(order + 1):
+                seen[k].update(f[q - k : q + 1] for q in range(order, len(f)))
+    after = [{} for _ in range(order + 1)]
+    for k, c in enumerate(seen):
+        for g, n in c.items():
+            after[k].setdefault(g[:-1], {})[g[-1]] = n
+
+    def log10(history, symbol):
+        out, total = set(), 0.0
+        for k in range(order, -1, -1):
+            own = after[k].get(history[len(history) - k :])
+            if own is None:
+                out = set()
+                continue
+            new = max(len(own) - len(out), 0.5)
+            base = sum(own.values()) - sum(own[x] for x in out) + new
+            if symbol in own and symbol not in out:
+                return total + math.log10(own[symbol] / base)
+            total += math.log10(new / base)
+            out = set(own)
+        return total - math.log10(256 - len(out))
+
+    for i, f in framed.items():
+        if len(f) < 1000:
+            assert math.isclose(got[i], sum(log10(f[q - order : q], f[q]) for q in range(order, len(f))), abs_tol=1e-9), i
+
+
 # Languages
 
 
