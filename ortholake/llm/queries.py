@@ -125,7 +125,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
 occurrence AS (
-  SELECT doc_id, i, line FROM (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM d) WHERE len(line) >= 10
+  SELECT doc_id, i, line FROM (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), line AS (
   SELECT line, min({'d': doc_id, 'i': i}) AS place, len(line) AS n FROM occurrence GROUP BY line
 ), half AS (

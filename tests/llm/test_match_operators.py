@@ -155,9 +155,9 @@ def within_one(a, b):
     return max(len(a), len(b)) - i - j <= 1
 
 
-def dedup(rows, least=10):
-    lines = sorted((i, k, x) for i, t in rows if i is not None and t is not None for k, x in enumerate(t.split("\n")) if len(x) >= least)
-    gone = {(i, k, x) for i, k, x in lines if any((j, m) < (i, k) and within_one(x, y) for j, m, y in lines)}
+def dedup(rows, least=0, edits=1):
+    lines = sorted((i, k, x) for i, t in rows if i is not None and t is not None for k, x in enumerate(t.split("\n")) if len(x) >= least and x.strip(" \t\n\x0b\x0c\r"))
+    gone = {(i, k, x) for i, k, x in lines if any((j, m) < (i, k) and (within_one(x, y) if edits else x == y) for j, m, y in lines)}
     return sorted(((i or 0, t if i is None or t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k, x) not in gone)) for i, t in rows), key=str)
 
 
@@ -165,7 +165,7 @@ def test_lines_equal_brute_force(spark):
     from ortholake.llm.line_dedup import dedup_lines
 
     r = random.Random(6)
-    bases = [prose(i, r.randrange(2, 30)) for i in range(25)] + ["aaaaaaaaaaaa", "ababababababab", "é" * 11 + "ü", prose(77, 400)]
+    bases = [prose(i, r.randrange(2, 30)) for i in range(25)] + ["aaaaaaaaaaaa", "ababababababab", "é" * 11 + "ü", prose(77, 400), "", "  ", "é", "ab", "}", "I.", "7"]
     texts = []
     for _ in range(70):
         lines = []
@@ -177,10 +177,24 @@ def test_lines_equal_brute_force(spark):
             lines.append(line)
         texts.append("\n".join(lines))
     df = table(spark, texts)
-    found = dedup_lines(df)
-    got = sorted(((x["doc_id"], x["text"]) for x in found.collect()), key=str)
-    assert got == dedup(list(enumerate(texts)))
-    assert sum(x["n_dropped"] for x in found.collect()) > 60
+    for least, edits in ((0, 1), (10, 1), (6, 0)):
+        found = dedup_lines(df, least, edits).collect()
+        assert sorted(((x["doc_id"], x["text"]) for x in found), key=str) == dedup(list(enumerate(texts)), least, edits)
+        assert sum(x["n_dropped"] for x in found) > 20
+    with pytest.raises(ValueError, match="edits"):
+        dedup_lines(df, edits=2)
+
+
+def test_frequent_lines_and_marks_that_are_used_up(spark, monkeypatch):
+    from ortholake.llm import line_dedup
+
+    r = random.Random(12)
+    texts = ["\n".join(["all rights are reserved", f"item {r.randrange(40)}", prose(i, 5), r.choice(["one of a few lines", "one of  few lines"])]) for i in range(60)]
+    want = dedup(list(enumerate(texts)))
+    for words, share in ((1, 1), (1, 10_000), (1 << 18, 5)):
+        monkeypatch.setattr(line_dedup, "MARK_WORDS", words)
+        monkeypatch.setattr(line_dedup, "HOT_SHARE", share)
+        assert sorted(((x["doc_id"], x["text"]) for x in line_dedup.dedup_lines(table(spark, texts)).collect()), key=str) == want
 
 
 def test_lines_of_odd_tables(odd, odd_rows, empty):
