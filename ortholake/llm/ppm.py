@@ -3,15 +3,19 @@
 The model is a trie of byte contexts up to ``order`` long. A byte is predicted in the longest context known; where that
 context has not been followed by it, the code escapes to the next shorter one, in which all bytes that the longer one
 knew are excluded. A context escapes by the number of distinct bytes that it would newly allow there (at least one
-half) and by the share of its followers that the trie does not hold; below the empty context every byte left is alike.
-So each text gets a code length that adds up to one over all texts: ``score`` is its log10 probability, end included.
+half); below the empty context every byte left is alike. So each text gets a code length that adds up to one over all
+texts: ``score`` is its log10 probability, end included.
 
 Every gram of ``order + 1`` bytes of every training text counts, however rare. Grams of up to three bytes, of which there
 are at most 256 ** 3 in any corpus, are counted first and broadcast. Longer ones never leave the reducers: each slice of
 texts sends its distinct grams, with their counts in its training texts, to the reducers of the hashes of the three bytes
-before the last, which so have whole subtries of contexts; these build the trie of their range and send the scores of a
-slice's grams back to it. Words go the same way. The slice's text goes to where its scores arrive, and is cut into grams
-and words again there, which takes less room than to say which gram stands where.
+before the last, which so have whole subtries of contexts; these build the trie of their range. A context of three or more
+bytes that makes up more than one in ``hot_share`` of a sample would fill one reducer, so its grams are dealt by one more
+byte instead, and what follows it (at most 256 bytes for each of at most ``hot_share`` contexts of a length) is counted over
+all texts and broadcast too. The sample decides where grams go, never what is counted. What comes back to a slice are
+counts of its grams and totals of their contexts, and scores of those grams that training doesn't have. Words go the same
+way. The slice's text goes to where these arrive, and is cut into grams and words again there, which takes less room than
+to say which gram stands where.
 
 Texts are lower-cased (A-Z). The terminator, which also stands before the start, is byte 255, which UTF-8 doesn't use.
 
@@ -42,8 +46,7 @@ SLICE_BYTES = 4 << 20
 SENT_BYTES = 8 << 20
 SEGMENT = 4 << 20
 END = 255
-NODES = "depth int, gram long, n long"
-_NODES = pa.schema([("depth", pa.int32()), ("gram", pa.int64()), ("n", pa.int64())])
+SAMPLE_BYTES = 1 << 20
 
 
 def _low(k: int) -> np.uint64:
@@ -82,37 +85,27 @@ def turned(code: np.ndarray, k: int) -> np.ndarray:
 
 
 class Trie:
-    """Lookups of code lengths: for each depth grams with their counts, and contexts with their totals, in turned order.
+    """Lookups of code lengths: for each depth grams in order with their counts, and contexts with their totals, both
+    kept in turned order."""
 
-    Without ``n_docs`` no gram was left out of ``nodes``, and a context's total is the sum of its grams.
-    """
-
-    def __init__(self, nodes: list[tuple[np.ndarray, np.ndarray]], n_docs: int | None = None, n_bytes: int = 0):
+    def __init__(self, nodes: list[tuple[np.ndarray, np.ndarray]]):
         self.depths = []
         longer = None
         for k in range(len(nodes) - 1, -1, -1):
             gram, n = nodes[k]
             contexts, at = np.unique(gram >> np.uint64(8), return_inverse=True)
-            held, kinds = np.bincount(at, weights=n, minlength=len(contexts)), np.bincount(at, minlength=len(contexts))
-            if n_docs is None:
-                total = held
-            elif k:
-                shorter, counts = nodes[k - 1]
-                place = np.minimum(np.searchsorted(shorter, contexts), max(len(shorter) - 1, 0))
-                total = np.where(contexts == _low(k), n_docs, counts[place]) if len(contexts) else held
-            else:
-                total = np.full(len(contexts), n_bytes)
+            total, kinds = np.bincount(at, weights=n, minlength=len(contexts)), np.bincount(at, minlength=len(contexts))
             if longer is not None and len(longer[0]):  # counts at this depth of the bytes that the longer context knows
                 known = n[np.searchsorted(gram, longer[0] & _low(k + 1))]
                 self.depths[-1]["shorter"] = np.bincount(longer[1], weights=known, minlength=longer[2])
-            self.depths.append({"k": k, "gram": gram, "n": n.astype(float), "context": contexts, "total": np.maximum(total, held).astype(float), "held": held, "kinds": kinds.astype(float)})
+            self.depths.append({"k": k, "gram": gram, "n": n.astype(float), "context": contexts, "total": total, "kinds": kinds.astype(float)})
             longer = gram, at, len(contexts)
         self.order = len(nodes) - 1
         for t in self.depths:
             grams, contexts = turned(t["gram"], t["k"]), turned(t["context"] << np.uint64(8), t["k"]) >> np.uint64(8)
             by_gram, by_context = np.argsort(grams), np.argsort(contexts)
             t["gram"], t["n"], t["context"] = grams[by_gram], t["n"][by_gram], contexts[by_context]
-            t |= {c: t[c][by_context] for c in ("total", "held", "kinds", "shorter") if c in t}
+            t |= {c: t[c][by_context] for c in ("total", "kinds", "shorter") if c in t}
 
     def score(self, code: np.ndarray) -> np.ndarray:
         """log10 of the probability of each gram's last byte after the others."""
@@ -133,7 +126,7 @@ class Trie:
             hit = has & (t["gram"][place] == own)
             new = np.maximum(t["kinds"][at] - out_kinds[live], 0.5)
             whole = t["total"][at] - out_n[live] + new
-            gain = np.where(hit, t["n"][place], t["total"][at] - t["held"][at] + new)
+            gain = np.where(hit, t["n"][place], new)
             score[live] += np.where(has, np.log10(gain / np.where(has, whole, 1)), 0)
             if "shorter" in t:
                 out_n[live], out_kinds[live] = np.where(has, t["shorter"][at], 0), np.where(has, t["kinds"][at], 0)
@@ -148,92 +141,27 @@ class Trie:
         return found
 
 
-def _train(order: int, parts: int):
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Counts of the task's grams, packed by the hash of their last three bytes."""
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def rows() -> pa.RecordBatch:
-            codes, at = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
-            n = np.bincount(at, weights=np.concatenate([n for _, n in held])).astype(np.int64)
-            small = zstandard.ZstdCompressor(level=1)
-            return rows_of(PACKED_ARROW, [(p, 0, 0, squeeze_long(codes[own].view(np.int64)), small.compress(n[own].tobytes()), None) for p, own in by_part(mix(codes & _low(min(3, order + 1))), parts)])
-
-        for batch in tidied(batches):
-            texts = pc.ascii_lower(text_column(batch))
-            for i, j in slices(texts, SLICE_BYTES):
-                frame, coded, _ = framed(*as_bytes(texts.slice(i, j - i)), order)
-                for s in range(0, len(frame), SEGMENT):
-                    e = min(len(frame), s + SEGMENT)
-                    held.append(np.unique(grams(frame, s, e, order)[coded[s:e]], return_counts=True))
-                if sum(len(c) for c, _ in held) > 4_000_000:
-                    yield rows()
-                    held = []
-        if held:
-            yield rows()
-
-    return train
-
-
-def _nodes(order: int, least: float):
-    def nodes(table: pa.Table) -> pa.Table:
-        """Counts of the grams of a hash range and of their suffixes. Suffixes shorter than three bytes are partial."""
-        expand = zstandard.ZstdDecompressor()
-        rows = table.to_pylist()
-        code = np.concatenate([unsqueeze_long(r["a"]) for r in rows]).view(np.uint64)
-        n = np.concatenate([np.frombuffer(expand.decompress(r["b"]), np.int64) for r in rows])
-        out = []
-        for k in range(order, -1, -1):
-            code, at = np.unique(code & _low(k + 1), return_inverse=True)
-            n = np.bincount(at, weights=n).astype(np.int64)
-            keep = n >= least if k >= 2 else n > 0
-            out.append(pa.table([pa.array(np.full(keep.sum(), k, np.int32)), pa.array(code[keep].view(np.int64)), pa.array(n[keep])], schema=_NODES))
-        return pa.concat_tables(out)
-
-    return nodes
-
-
-def train(df: DataFrame, order: int = 6, log2_nodes: int = 20) -> Trie:
-    """The trie of the texts of ``df`` (column text) in one piece, for a driver: only nodes that make up one in
-    ``2 ** log2_nodes`` of all bytes stay. ``lm_scores`` doesn't use it."""
-    sizes = df.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("bytes")).first()
-    total = (sizes["bytes"] or 0) + sizes["docs"]
-    least = max(1.0, total / (1 << log2_nodes))
-    parts = number_of_parts(df)
-    counted = df.select("text").mapInArrow(_train(order, parts), PACKED).groupBy("part").applyInArrow(folding(_nodes(order, least)), NODES)
-    # no more than 2 ** log2_nodes grams of a depth can each make up such a share
-    kept = counted.groupBy("depth", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
-    depth, gram, n = (kept[c].to_numpy() for c in ("depth", "gram", "n"))
-    nodes = []
-    for k in range(order + 1):
-        own = depth == k
-        at = np.argsort(gram[own].view(np.uint64))
-        nodes.append((gram[own].view(np.uint64)[at], n[own][at]))
-    return Trie(nodes, sizes["docs"], total)
-
-
 #: Bytes of the grams that are broadcast.
 SHORT = 3
 
 
-def _count_short(order: int):
-    width = min(SHORT, order + 1)
+Contexts = dict[int, np.ndarray]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Counts of the task's grams of ``width`` bytes."""
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in tidied(batches):
-            texts = pc.ascii_lower(text_column(batch))
-            for i, j in slices(texts, SLICE_BYTES):
-                frame, coded, _ = framed(*as_bytes(texts.slice(i, j - i)), order)
-                for s in range(0, len(frame), SEGMENT):
-                    e = min(len(frame), s + SEGMENT)
-                    held.append(np.unique((grams(frame, s, e, order)[coded[s:e]] & _low(width)).astype(np.uint32), return_counts=True))
-                held = [_summed(held)]
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(held[0][0].astype(np.int64)), pa.array(held[0][1])], names=["gram", "n"])
 
-    return count
+def _frames(batches: Iterator[pa.RecordBatch], order: int, most: int | None = None) -> Iterator[np.ndarray]:
+    """The grams of the texts, segment by segment; with ``most`` until there are so many."""
+    seen = 0
+    for batch in batches:
+        texts = pc.ascii_lower(text_column(batch))
+        for i, j in slices(texts, most or SLICE_BYTES):
+            frame, coded, _ = framed(*as_bytes(texts.slice(i, j - i)), order)
+            for s in range(0, len(frame), most or SEGMENT):
+                e = min(len(frame), s + (most or SEGMENT))
+                codes = grams(frame, s, e, order)[coded[s:e]]
+                seen += len(codes)
+                yield codes
+                if most and seen >= most:
+                    return
 
 
 def _summed(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -242,32 +170,106 @@ def _summed(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np
     return codes, np.bincount(at, weights=np.concatenate([n for _, n in counts]), minlength=len(codes)).astype(np.int64)
 
 
-def _levels(codes: np.ndarray, n: np.ndarray, high: int, low: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For depths ``low`` to ``high`` the grams and their counts, from those of ``high``."""
-    out = []
-    for k in range(high, low - 1, -1):
-        codes, n = _summed([(codes & _low(k + 1), n)])
-        out.append((codes, n))
-    return out[::-1]
+def _rows(depth: int, codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), depth, np.int32)), pa.array(codes.view(np.int64)), pa.array(n.astype(np.int64))], names=["depth", "gram", "n"])
+
+
+COUNTS = "depth int, gram long, n long"
 
 
-def short_grams(df: DataFrame, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Grams of up to ``SHORT`` bytes of the texts of ``df`` with their counts, by depth."""
-    found = df.select("text").mapInArrow(_count_short(order), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-    return _levels(found["gram"].to_numpy().view(np.uint64), found["n"].to_numpy(), min(SHORT, order + 1) - 1, 0)
+def frequent_contexts(df: DataFrame, order: int, hot_share: int) -> Contexts:
+    """By length, from ``SHORT`` on, the contexts that make up more than one in ``hot_share`` of a sample, which is the
+    first ``SAMPLE_BYTES`` of each task."""
 
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for codes in _frames(batches, order, SAMPLE_BYTES):
+            yield _rows(0, np.zeros(1, np.uint64), np.array([len(codes)]))
+            for k in range(SHORT, order):
+                found, n = np.unique(codes & _low(k), return_counts=True)
+                often = n * 2 * hot_share > len(codes)
+                yield _rows(k, found[often], n[often])
 
-def _ranges(codes: np.ndarray, order: int, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    if order <= SHORT:
+        return {}
+    counts = df.select("text").mapInArrow(sample, COUNTS).groupBy("depth", "gram").agg(F.sum("n").alias("n"))
+    total = F.sum(F.when(F.col("depth") == 0, F.col("n")))
+    all_bytes = counts.agg(total).first()[0] or 0
+    found = counts.where((F.col("depth") > 0) & (F.col("n") * hot_share > all_bytes)).toArrow()
+    depth, gram = found["depth"].to_numpy(), found["gram"].to_numpy().view(np.uint64)
+    hot: Contexts = {}
+    for k in range(SHORT, order):
+        own = np.sort(gram[depth == k])
+        if k > SHORT:  # dealing by another byte goes on from a context that is dealt so itself
+            own = own[np.isin(own & _low(k - 1), hot[k - 1])]
+        hot[k] = own
+    return hot
+
+
+def short_grams(df: DataFrame, order: int, hot: Contexts) -> list[tuple[np.ndarray, np.ndarray]]:
+    """By depth, grams of the texts of ``df`` with their counts: all of up to ``SHORT`` bytes, and longer ones whose
+    context is in ``hot``."""
+    width = min(SHORT, order + 1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for codes in _frames(tidied(batches), order):
+            found = {width - 1: np.unique((codes & _low(width)).astype(np.uint32), return_counts=True)}
+            for k, contexts in hot.items():
+                codes = codes[np.isin(codes >> np.uint64(8) & _low(k), contexts)]
+                found[k] = np.unique(codes & _low(k + 1), return_counts=True)
+            held = {k: _summed([held[k], x] if k in held else [x]) for k, x in found.items()}
+        for k, (codes, n) in held.items():
+            yield _rows(k, codes.astype(np.uint64), n)
+
+    found = df.select("text").mapInArrow(count, COUNTS).groupBy("depth", "gram").agg(F.sum("n").alias("n")).toArrow()
+    depth, gram, n = found["depth"].to_numpy(), found["gram"].to_numpy().view(np.uint64), found["n"].to_numpy()
+
+    def of(k: int) -> tuple[np.ndarray, np.ndarray]:
+        return _summed([(gram[depth == k], n[depth == k])])
+
+    levels = [of(width - 1)]
+    for k in range(width - 2, -1, -1):
+        codes, counts = levels[0]
+        levels.insert(0, _summed([(codes & _low(k + 1), counts)]))
+    return [*levels, *(of(k) for k in range(width, order + 1))]
+
+
+def context_bytes(codes: np.ndarray, order: int, hot: Contexts) -> np.ndarray:
+    """How many bytes before the last say where a gram goes."""
+    used = np.full(len(codes), min(SHORT, order), np.uint8)
+    at = np.arange(len(codes))
+    for k, contexts in hot.items():
+        at = at[np.isin(codes[at] >> np.uint64(8) & _low(k), contexts)]
+        used[at] = k + 1
+    return used
+
+
+def _ranges(codes: np.ndarray, order: int, parts: int, hot: Contexts) -> Iterator[tuple[int, np.ndarray]]:
     """Grams by the hash range of the bytes before the last."""
-    return by_part(mix(codes >> np.uint64(8) & _low(min(SHORT, order))), parts)
+    used = context_bytes(codes, order, hot).astype(np.uint64)
+    low = np.array([_low(k) for k in range(order + 1)], np.uint64)
+    return by_part(mix((codes >> np.uint64(8) & low[used]) | used << np.uint64(56)), parts)
 
 
-def _send(order: int, parts: int):
+def pack_counts(x: np.ndarray) -> bytes:
+    """Numbers from 0, mostly small."""
+    many = x > 254
+    return zstandard.ZstdCompressor(level=1).compress(np.where(many, 255, x).astype(np.uint8).tobytes() + x[many].astype("<i8").tobytes() + len(x).to_bytes(8, "little"))
+
+
+def unpack_counts(data: bytes) -> np.ndarray:
+    data = zstandard.ZstdDecompressor().decompress(data)
+    n = int.from_bytes(data[-8:], "little")
+    x = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    x[x == 255] = np.frombuffer(data[n:-8], "<i8")
+    return x
+
+
+def _send(order: int, parts: int, hot):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A slice's distinct words (kind 0) and grams (kind 3), packed by hash range, with how often its training texts
         have them."""
         g = TaskContext.get().partitionId() << 32
-        small = zstandard.ZstdCompressor(level=1)
         for batch in tidied(batches):
             texts = pc.ascii_lower(text_column(batch))
             held_out = batch.column("held_out")
@@ -284,11 +286,11 @@ def _send(order: int, parts: int):
                     others = np.unique(codes[coded[s:e] & ~learnt[s:e]])
                     found.append((others, np.zeros(len(others), np.int64)))
                 codes, n = _summed(found)
-                rows = [(p, g, 3, squeeze_long(codes[own].view(np.int64)), small.compress(n[own].tobytes()), None) for p, own in _ranges(codes, order, parts)]
+                rows = [(p, g, 3, squeeze_long(codes[own].view(np.int64)), pack_counts(n[own]), None) for p, own in _ranges(codes, order, parts, hot.value)]
                 words, at, dictionary = split_words(some)
                 keys = np.fromiter((xxhash.xxh64_intdigest(w.as_buffer()) for w in dictionary), np.uint64, len(dictionary))
                 n = np.bincount(words[np.repeat(learns, np.diff(at))], minlength=len(keys)).astype(np.int64)
-                rows += [(p, g, 0, keys[own].tobytes(), small.compress(n[own].tobytes()), squeeze(own)) for p, own in by_part(mix(keys), parts)]
+                rows += [(p, g, 0, keys[own].tobytes(), pack_counts(n[own]), squeeze(own)) for p, own in by_part(mix(keys), parts)]
                 yield rows_of(PACKED_ARROW, rows)
                 g += 1
 
@@ -307,47 +309,82 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             g += 1
 
 
-def _known(short, order: int):
+def _known(short, hot, order: int):
+    def trie(codes: np.ndarray, n: np.ndarray) -> Trie:
+        """Of the grams of one hash range; nodes that several ranges have a part in are broadcast."""
+        used = context_bytes(codes, order, hot.value)
+        levels = [(codes, n)]
+        for k in range(order - 1, SHORT - 1, -1):
+            whole = used <= k  # all grams after such a context are here
+            codes, first, at = np.unique(codes[whole] & _low(k + 1), return_index=True, return_inverse=True)
+            n, used = np.bincount(at, weights=n[whole], minlength=len(codes)).astype(np.int64), used[whole][first]
+            levels.insert(0, _summed([(codes, n), short.value[k]]))
+        return Trie([*short.value[:SHORT], *levels] if order >= SHORT else short.value)
+
     def known(table: pa.Table) -> pa.Table:
-        """Of one hash range: for each slice the counts of its words in all training texts (kind 0) and the scores of its
-        grams (kind 3); kind 2: distinct words seen."""
-        expand, small = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        """Of one hash range: for each slice the counts of its words in all training texts (kind 0); of its grams (kind 3)
+        the counts, the sums of counts and of kinds of the contexts, and the scores of grams that no training text has;
+        kind 2: distinct words seen."""
+        small = zstandard.ZstdCompressor(level=1)
         rows = table.to_pylist()
         out = []
         if came := [r for r in rows if r["kind"] == 0]:
-            n = [np.frombuffer(expand.decompress(r["b"]), np.int64) for r in came]
+            n = [unpack_counts(r["b"]) for r in came]
             _, at = np.unique(np.concatenate([np.frombuffer(r["a"], np.uint64) for r in came]), return_inverse=True)
             total = np.bincount(at, weights=np.concatenate(n)).astype(np.int64)
             out.append((0, -1 - came[0]["part"], 2, int((total > 0).sum()).to_bytes(8, "little"), None, None))
             for r, own in zip(came, np.split(total[at], np.cumsum([len(x) for x in n])[:-1]), strict=True):
-                out.append((0, r["g"], 0, small.compress(own.tobytes()), None, r["c"]))
+                out.append((0, r["g"], 0, pack_counts(own), None, r["c"]))
         if came := [r for r in rows if r["kind"] == 3]:
             codes = np.zeros(0, np.uint64)
             n = np.zeros(0, np.int64)
             held: list[tuple[np.ndarray, np.ndarray]] = []
             for r in came:  # summed now and then, so that what is held are distinct grams
-                held.append((unsqueeze_long(r["a"]).view(np.uint64), np.frombuffer(expand.decompress(r["b"]), np.int64)))
+                held.append((unsqueeze_long(r["a"]).view(np.uint64), unpack_counts(r["b"])))
                 if sum(len(c) for c, _ in held) > 1_000_000 + len(codes):
                     codes, n = _summed([(codes, n), *held])
                     held = []
             codes, n = _summed([(codes, n), *held])
-            trie = Trie([*short.value, *_levels(codes[n > 0], n[n > 0], order, len(short.value))])
-            score = np.concatenate([np.zeros(0), *(trie.score(codes[s : s + 1_000_000]) for s in range(0, len(codes), 1_000_000))])
+            hit, miss = n > 0, np.flatnonzero(n == 0)
+            of = np.unique(codes[hit] >> np.uint64(8), return_inverse=True)[1]
+            whole, score = np.zeros(len(codes), np.int64), np.zeros(len(codes))
+            whole[hit] = (np.bincount(of, weights=n[hit]).astype(np.int64) + np.bincount(of))[of]
+            if len(miss):
+                model = trie(codes[hit], n[hit])
+                for s in range(0, len(miss), 1_000_000):
+                    score[miss[s : s + 1_000_000]] = model.score(codes[miss[s : s + 1_000_000]])
             for r in came:
-                own = score[np.searchsorted(codes, unsqueeze_long(r["a"]).view(np.uint64))]
-                values, at = np.unique(own, return_inverse=True)  # many grams have a score in common
-                at = at.astype(np.uint16 if len(values) <= 1 << 16 else np.uint32)
-                out.append((0, r["g"], 3, small.compress(at.tobytes()), small.compress(values.tobytes()), r["part"].to_bytes(8, "little")))
+                own = unsqueeze_long(r["a"]).view(np.uint64)
+                at = np.searchsorted(codes, own)
+                first, _ = _contexts(own[n[at] > 0])
+                wholes = whole[at][n[at] > 0][first]
+                out.append((0, r["g"], 3, pack_counts(n[at]), pack_counts(wholes), r["part"].to_bytes(8, "little") + small.compress(score[at][n[at] == 0].tobytes())))
         return pa.Table.from_batches([rows_of(PACKED_ARROW, out)] if out else [], schema=PACKED_ARROW)
 
     return known
 
 
+def _contexts(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of grams in order: where each context is found first, and which context each has."""
+    new = np.concatenate([[True], np.diff(codes >> np.uint64(8)) != 0])[: len(codes)]
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def _scores(row: dict, codes: np.ndarray) -> np.ndarray:
+    """The scores of a slice's grams of one hash range from what came back."""
+    n = unpack_counts(row["a"])
+    score, hit = np.empty(len(n)), n > 0
+    _, of = _contexts(codes[hit])
+    score[hit] = np.log10(n[hit] / unpack_counts(row["b"])[of])
+    score[~hit] = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["c"][8:]))
+    return score
+
+
 SCORED = "doc_id long, held_out boolean, n_words long, n_known long, sum_log double, score double, distinct_words long"
 _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_words", pa.int64()), ("n_known", pa.int64()), ("sum_log", pa.float64()), ("score", pa.float64()), ("distinct_words", pa.int64())])
 
 
-def _gather(order: int, parts: int):
+def _gather(order: int, parts: int, hot):
     def gather(table: pa.Table) -> pa.Table:
         """Of one slice: a row for each text with the sum of log10(count + 1) of its words and of its grams' scores."""
         expand = zstandard.ZstdDecompressor()
@@ -360,7 +397,7 @@ def _gather(order: int, parts: int):
         counts = np.zeros(len(dictionary), np.int64)
         for r in rows:
             if r["kind"] == 0:
-                counts[unsqueeze(r["c"])] = np.frombuffer(expand.decompress(r["a"]), np.int64)
+                counts[unsqueeze(r["c"])] = unpack_counts(r["a"])
         n = counts[words]
         sums, known = (np.diff(np.concatenate([np.zeros(1, x.dtype), np.cumsum(x)])[at]) for x in (np.log10(n + 1.0), (n > 0).astype(np.int64)))
 
@@ -371,10 +408,9 @@ def _gather(order: int, parts: int):
             segments.append((s, e, *pd.factorize(grams(frame, s, e, order)[coded[s:e]])))
         codes = np.unique(np.concatenate([x[3] for x in segments]))
         score = np.empty(len(codes))
-        came = {int.from_bytes(r["c"], "little"): r for r in rows if r["kind"] == 3}
-        for p, own in _ranges(codes, order, parts):
-            values, places = (np.frombuffer(expand.decompress(came[p]["b"])), expand.decompress(came[p]["a"]))
-            score[own] = values[np.frombuffer(places, np.uint16 if len(values) <= 1 << 16 else np.uint32)]
+        came = {int.from_bytes(r["c"][:8], "little"): r for r in rows if r["kind"] == 3}
+        for p, own in _ranges(codes, order, parts, hot.value):
+            score[own] = _scores(came[p], codes[own])
         total = np.zeros(len(some))
         for s, e, place, distinct in segments:
             each = np.zeros(e - s)
@@ -386,7 +422,7 @@ def _gather(order: int, parts: int):
     return gather
 
 
-def lm_scores(df: DataFrame, order: int = 6, folds: int = 7, held_fold: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(df: DataFrame, order: int = 6, folds: int = 7, held_fold: int = 2, id_col: str = "doc_id", text_col: str = "text", hot_share: int = 2000) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The model learns from the documents whose crc32 of the id, as text, isn't ``held_fold`` modulo ``folds``.
@@ -396,13 +432,15 @@ def lm_scores(df: DataFrame, order: int = 6, folds: int = 7, held_fold: int = 2,
     held_out = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == held_fold, F.lit(False))
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held_out.alias("held_out"))
     docs = replayable(docs)
-    short = spark.sparkContext.broadcast(short_grams(docs.where(~F.col("held_out")), order))
+    learnt = docs.where(~F.col("held_out"))
+    hot = spark.sparkContext.broadcast(frequent_contexts(learnt, order, hot_share))
+    short = spark.sparkContext.broadcast(short_grams(learnt, order, hot.value))
     parts = number_of_parts(docs)
-    sent = docs.select("doc_id", "text", "held_out").mapInArrow(_send(order, parts), PACKED)
-    known = sent.groupBy("part").applyInArrow(folding(_known(short, order)), PACKED)
+    sent = docs.select("doc_id", "text", "held_out").mapInArrow(_send(order, parts, hot), PACKED)
+    known = sent.groupBy("part").applyInArrow(folding(_known(short, hot, order)), PACKED)
     texts = docs.select("doc_id", "text", "held_out").mapInArrow(_texts, PACKED)
     # texts come first: a task's number there is that of its partition, as in ``sent``
-    scored = materialize(texts.union(known).groupBy("g").applyInArrow(folding(_gather(order, parts)), SCORED), "scored")
+    scored = materialize(texts.union(known).groupBy("g").applyInArrow(folding(_gather(order, parts, hot)), SCORED), "scored")
     learned = scored.agg(F.sum(F.when(~F.col("held_out"), F.col("n_words") + 1)).alias("tokens"), F.count_if(~F.col("held_out")).alias("docs"), F.sum("distinct_words").alias("words")).first()
     tokens, ends, distinct = learned["tokens"] or 0, learned["docs"], (learned["words"] or 0) + (learned["docs"] > 0)
     return scored.where("distinct_words is null").select(

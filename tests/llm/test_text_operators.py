@@ -173,89 +173,83 @@ def test_ppm(spark, documents, odd, empty):
         break
 
 
-def test_ppm_trie_is_the_naive_one(spark):
-    from ortholake.llm import ppm
-
-    r = random.Random(4)
-    docs = [bytes(r.choice(b"abcd ") for _ in range(r.randrange(0, 200))) for _ in range(60)]
-    order, log2 = 3, 7
-    trie = ppm.train(spark.createDataFrame([(d.decode(),) for d in docs], "text string").repartition(3), order, log2)
-    total = sum(len(d) + 1 for d in docs)
-    seen = [Counter() for _ in range(order + 1)]
-    for d in docs:
-        f = b"\xff" * order + d + b"\xff"
+def followers(framed, order):
+    """For each depth: context -> byte -> count."""
+    seen = [{} for _ in range(order + 1)]
+    for f in framed:
         for q in range(order, len(f)):
             for k in range(order + 1):
-                seen[k][f[q - k : q + 1]] += 1
-    kept = [{g: n for g, n in c.items() if n >= max(1.0, total / 2**log2)} for c in seen]
-
-    def probability(history, symbol):
-        out, p = set(), 1.0
-        for k in range(order, -1, -1):
-            context = history[len(history) - k :]
-            own = {g[-1]: n for g, n in kept[k].items() if g[:-1] == context}
-            if not own:
-                out = set()
-                continue
-            whole = sum(n for g, n in seen[k].items() if g[:-1] == context)
-            new = max(len(own) - len(out), 0.5)
-            base = whole - sum(kept[k].get(context + bytes([x]), 0) for x in out) + new
-            if symbol in own and symbol not in out:
-                return p * own[symbol] / base
-            p *= (whole - sum(own.values()) + new) / base
-            out = set(own)
-        return p / (256 - len(out))
+                own = seen[k].setdefault(f[q - k : q], {})
+                own[f[q]] = own.get(f[q], 0) + 1
+    return seen
+
+
+def ppm_log10(seen, order, history, symbol):
+    out, total = set(), 0.0
+    for k in range(order, -1, -1):
+        own = seen[k].get(history[len(history) - k :])
+        if own is None:
+            out = set()
+            continue
+        new = max(len(own) - len(out), 0.5)
+        base = sum(own.values()) - sum(own[x] for x in out) + new
+        if symbol in own and symbol not in out:
+            return total + math.log10(own[symbol] / base)
+        total += math.log10(new / base)
+        out = set(own)
+    return total - math.log10(256 - len(out))
+
+
+@pytest.mark.parametrize("order", [1, 3, 5])
+def test_ppm_trie_is_the_naive_one(order):
+    from ortholake.llm import ppm
 
+    r = random.Random(4)
+    docs = [bytes(r.choice(b"abcd ") for _ in range(r.randrange(0, 60))) for _ in range(40)]
+    seen = followers([b"\xff" * order + d + b"\xff" for d in docs], order)
+    nodes = []
+    for own in seen:
+        grams = sorted((int.from_bytes(c + bytes([x]), "big"), n) for c, after in own.items() for x, n in after.items())
+        nodes.append((np.array([g for g, _ in grams], np.uint64), np.array([n for _, n in grams])))
+    trie = ppm.Trie(nodes)
     for _ in range(60):
         f = b"\xff" * order + r.choice(docs) + b"\xff"
         q = r.randrange(order, len(f))
-        codes = np.array([int.from_bytes(f[q - order : q] + bytes([b]), "big") for b in range(256)], np.uint64)
-        scores = trie.score(codes)
+        history = f[q - order : q] if r.random() < 0.7 else bytes(r.choice(b"abxy") for _ in range(order))
+        scores = trie.score(np.array([int.from_bytes(history + bytes([b]), "big") for b in range(256)], np.uint64))
         assert math.isclose((10**scores).sum(), 1, abs_tol=1e-9)
-        assert math.isclose(scores[f[q]], math.log10(probability(f[q - order : q], f[q])), abs_tol=1e-9)
+        for x in (f[q], ord("d"), 7):
+            assert math.isclose(scores[x], ppm_log10(seen, order, history, x), abs_tol=1e-9)
 
 
-def test_ppm_scores_use_every_gram(spark):
+@pytest.mark.parametrize(("order", "share"), [(4, 2000), (6, 200), (6, 1000), (2, 2000)])
+def test_ppm_scores_use_every_gram(spark, order, share):
     from ortholake.llm import ppm
 
     r = random.Random(5)
-    order = 4
     rare = "qzxjkvw qjzkxv"
-    texts = ["".join(r.choice("ab cd") for _ in range(40_000)) for _ in range(60)] + [rare] * 3
-    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, rare) for i in range(30)]
+    texts = ["".join(r.choice("ab cd") for _ in range(20_000)) for _ in range(30)] + [rare] * 3
+    rows = list(enumerate(texts)) + [(1000 + i, rare + r.choice(" ab") * (i % 9) + "cab dab cqb") for i in range(30)]
     rows = [(i, t) for i, t in rows if i < 1000 or zlib.crc32(str(i).encode()) % 7 == 2] + [(63, ""), (64, "é漢 A")]
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
     assert sum(not held[i] for i, t in rows if t == rare) in (1, 2, 3) and any(i >= 1000 for i, _ in rows)
-    got = {x["doc_id"]: x["score"] for x in ppm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), order).collect()}
-    seen = [Counter() for _ in range(order + 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: x["score"] for x in ppm.lm_scores(df, order, hot_share=share).collect()}
     framed = {i: b"\xff" * order + t.lower().encode() + b"\xff" for i, t in rows}
-    for i, f in framed.items():
-        if not held[i]:
-            for k in range(order + 1):
-                seen[k].update(f[q - k : q + 1] for q in range(order, len(f)))
-    after = [{} for _ in range(order + 1)]
-    for k, c in enumerate(seen):
-        for g, n in c.items():
-            after[k].setdefault(g[:-1], {})[g[-1]] = n
-
-    def log10(history, symbol):
-        out, total = set(), 0.0
-        for k in range(order, -1, -1):
-            own = after[k].get(history[len(history) - k :])
-            if own is None:
-                out = set()
-                continue
-            new = max(len(own) - len(out), 0.5)
-            base = sum(own.values()) - sum(own[x] for x in out) + new
-            if symbol in own and symbol not in out:
-                return total + math.log10(own[symbol] / base)
-            total += math.log10(new / base)
-            out = set(own)
-        return total - math.log10(256 - len(out))
-
+    seen = followers([f for i, f in framed.items() if not held[i]], order)
     for i, f in framed.items():
         if len(f) < 1000:
-            assert math.isclose(got[i], sum(log10(f[q - order : q], f[q]) for q in range(order, len(f))), abs_tol=1e-9), i
+            assert math.isclose(got[i], sum(ppm_log10(seen, order, f[q - order : q], f[q]) for q in range(order, len(f))), abs_tol=1e-9), i
+    if order == 6:
+        hot = ppm.frequent_contexts(df, order, share)
+        assert len(hot[3]) and (share == 200 or len(hot[4]))
+
+
+def test_counts_are_packed():
+    from ortholake.llm.ppm import pack_counts, unpack_counts
+
+    for x in ([], [0], [254, 255, 256, 10**12, 0, 3], list(range(1000))):
+        assert unpack_counts(pack_counts(np.array(x, np.int64))).tolist() == x
 
 
 # Languages
