@@ -29,7 +29,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -54,13 +53,11 @@ def _low(k: int) -> np.uint64:
     return np.uint64((1 << (8 * k)) - 1)
 
 
-def framed(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def framed(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Texts with ``order`` terminators before and one after each: bytes, which of them are coded, where texts begin."""
-    n = len(offsets) - 1
-    starts = offsets[:-1] + np.arange(n) * (order + 1)
-    frame = np.full(len(data) + n * (order + 1), END, np.uint8)
-    frame[np.arange(len(data)) + np.repeat((np.arange(n) + 1) * (order + 1) - 1, np.diff(offsets))] = data
-    coded = np.ones(len(frame), bool)
+    before, after, none = (pa.scalar(bytes([END]) * k, pa.large_binary()) for k in (order, 1, 0))
+    frame, offsets = as_bytes(pc.binary_join_element_wise(before, texts.cast(pa.large_binary()), after, none))
+    coded, starts = np.ones(len(frame), bool), offsets[:-1]
     for k in range(order):
         coded[starts + k] = False
     return frame, coded, starts
@@ -154,7 +151,7 @@ def _frames(batches: Iterator[pa.RecordBatch], order: int, most: int | None = No
     for batch in batches:
         texts = pc.ascii_lower(text_column(batch))
         for i, j in slices(texts, most or SLICE_BYTES):
-            frame, coded, _ = framed(*as_bytes(texts.slice(i, j - i)), order)
+            frame, coded, _ = framed(texts.slice(i, j - i), order)
             for s in range(0, len(frame), most or SEGMENT):
                 e = min(len(frame), s + (most or SEGMENT))
                 codes = grams(frame, s, e, order)[coded[s:e]]
@@ -164,10 +161,39 @@ def _frames(batches: Iterator[pa.RecordBatch], order: int, most: int | None = No
                     return
 
 
+def _grouped(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams in order with the sums of their counts."""
+    codes, at = np.unique(codes, return_inverse=True)
+    return codes, np.bincount(at, weights=n, minlength=len(codes)).astype(np.int64)
+
+
 def _summed(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Grams in order with the sums of their counts."""
-    codes, at = np.unique(np.concatenate([c for c, _ in counts]), return_inverse=True)
-    return codes, np.bincount(at, weights=np.concatenate([n for _, n in counts]), minlength=len(codes)).astype(np.int64)
+    """The same of several that are in order each. Grams are sorted with the number of their source below them."""
+    if len(counts) > 256:
+        return _summed([_summed(counts[k : k + 256]) for k in range(0, len(counts), 256)])
+    keys = np.sort(np.concatenate([(c << np.uint64(8)) | np.uint64(k) for k, (c, _) in enumerate(counts)]))
+    source, n = keys.astype(np.uint8), np.empty(len(keys), np.int64)
+    for k, (_, own) in enumerate(counts):
+        n[source == k] = own
+    codes = keys >> np.uint64(8)
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])[: len(codes)])
+    return codes[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _tally(codes: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct grams in order; for each pair of one and a number below 256 in ``of``: which gram, the number, how often."""
+    keys = np.sort((codes << np.uint64(8)) | of)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    times = np.diff(np.append(first, len(keys)))
+    keys = keys[first]
+    codes = keys >> np.uint64(8)
+    new = np.concatenate([[True], codes[1:] != codes[:-1]])[: len(codes)]
+    return codes[new], np.cumsum(new) - 1, keys.astype(np.uint8), times
+
+
+def _among(codes: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which codes are in ``some``, which are few and in order."""
+    return some[np.minimum(np.searchsorted(some, codes), len(some) - 1)] == codes if len(some) else np.zeros(len(codes), bool)
 
 
 def _rows(depth: int, codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -200,7 +226,7 @@ def frequent_contexts(df: DataFrame, order: int, hot_share: int) -> Contexts:
     for k in range(SHORT, order):
         own = np.sort(gram[depth == k])
         if k > SHORT:  # dealing by another byte goes on from a context that is dealt so itself
-            own = own[np.isin(own & _low(k - 1), hot[k - 1])]
+            own = own[_among(own & _low(k - 1), hot[k - 1])]
         hot[k] = own
     return hot
 
@@ -213,24 +239,26 @@ def short_grams(df: DataFrame, order: int, hot: Contexts) -> list[tuple[np.ndarr
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for codes in _frames(tidied(batches), order):
-            found = {width - 1: np.unique((codes & _low(width)).astype(np.uint32), return_counts=True)}
+            codes, n = np.unique(codes, return_counts=True)
+            found = {width - 1: _grouped(codes & _low(width), n)}
             for k, contexts in hot.items():
-                codes = codes[np.isin(codes >> np.uint64(8) & _low(k), contexts)]
-                found[k] = np.unique(codes & _low(k + 1), return_counts=True)
+                often = _among(codes >> np.uint64(8) & _low(k), contexts)
+                codes, n = codes[often], n[often]
+                found[k] = _grouped(codes & _low(k + 1), n)
             held = {k: _summed([held[k], x] if k in held else [x]) for k, x in found.items()}
         for k, (codes, n) in held.items():
-            yield _rows(k, codes.astype(np.uint64), n)
+            yield _rows(k, codes, n)
 
     found = df.select("text").mapInArrow(count, COUNTS).groupBy("depth", "gram").agg(F.sum("n").alias("n")).toArrow()
     depth, gram, n = found["depth"].to_numpy(), found["gram"].to_numpy().view(np.uint64), found["n"].to_numpy()
 
     def of(k: int) -> tuple[np.ndarray, np.ndarray]:
-        return _summed([(gram[depth == k], n[depth == k])])
+        return _grouped(gram[depth == k], n[depth == k])
 
     levels = [of(width - 1)]
     for k in range(width - 2, -1, -1):
         codes, counts = levels[0]
-        levels.insert(0, _summed([(codes & _low(k + 1), counts)]))
+        levels.insert(0, _grouped(codes & _low(k + 1), counts))
     return [*levels, *(of(k) for k in range(width, order + 1))]
 
 
@@ -239,7 +267,7 @@ def context_bytes(codes: np.ndarray, order: int, hot: Contexts) -> np.ndarray:
     used = np.full(len(codes), min(SHORT, order), np.uint8)
     at = np.arange(len(codes))
     for k, contexts in hot.items():
-        at = at[np.isin(codes[at] >> np.uint64(8) & _low(k), contexts)]
+        at = at[_among(codes[at] >> np.uint64(8) & _low(k), contexts)]
         used[at] = k + 1
     return used
 
@@ -276,16 +304,14 @@ def _send(order: int, parts: int, hot):
             for i, j in slices(texts, SENT_BYTES):
                 some = texts.slice(i, j - i)
                 learns = ~held_out.slice(i, j - i).to_numpy(zero_copy_only=False)
-                frame, coded, starts = framed(*as_bytes(some), order)
+                frame, coded, starts = framed(some, order)
                 learnt = np.repeat(learns, np.diff(np.append(starts, len(frame))))
                 found = []
-                for s in range(0, len(frame), SEGMENT):
-                    e = min(len(frame), s + SEGMENT)
-                    codes = grams(frame, s, e, order)
-                    found.append(np.unique(codes[coded[s:e] & learnt[s:e]], return_counts=True))
-                    others = np.unique(codes[coded[s:e] & ~learnt[s:e]])
-                    found.append((others, np.zeros(len(others), np.int64)))
-                codes, n = _summed(found)
+                for s in range(0, len(frame), 2 * SEGMENT):
+                    e = min(len(frame), s + 2 * SEGMENT)
+                    codes, gram, learns_it, times = _tally(grams(frame, s, e, order)[coded[s:e]], learnt[s:e][coded[s:e]])
+                    found.append((codes, np.bincount(gram, weights=times * learns_it, minlength=len(codes)).astype(np.int64)))
+                codes, n = found[0] if len(found) == 1 else _summed(found)
                 rows = [(p, g, 3, squeeze_long(codes[own].view(np.int64)), pack_counts(n[own]), None) for p, own in _ranges(codes, order, parts, hot.value)]
                 words, at, dictionary = split_words(some)
                 keys = np.fromiter((xxhash.xxh64_intdigest(w.as_buffer()) for w in dictionary), np.uint64, len(dictionary))
@@ -401,22 +427,25 @@ def _gather(order: int, parts: int, hot):
         n = counts[words]
         sums, known = (np.diff(np.concatenate([np.zeros(1, x.dtype), np.cumsum(x)])[at]) for x in (np.log10(n + 1.0), (n > 0).astype(np.int64)))
 
-        frame, coded, starts = framed(*as_bytes(some), order)
-        segments = []
-        for s in range(0, len(frame), SEGMENT):
-            e = min(len(frame), s + SEGMENT)
-            segments.append((s, e, *pd.factorize(grams(frame, s, e, order)[coded[s:e]])))
-        codes = np.unique(np.concatenate([x[3] for x in segments]))
+        frame, coded, starts = framed(some, order)
+        edges = np.append(starts, len(frame))
+        segments, s = [], 0
+        while s < len(frame):  # of less than 256 texts, and some bytes
+            first = int(np.searchsorted(starts, s, side="right")) - 1
+            e = min(s + SEGMENT, int(edges[min(len(starts), first + 255)]))
+            sizes = np.diff(np.clip(edges[first : first + 256], s, e))
+            of = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
+            segments.append((first, *_tally(grams(frame, s, e, order)[coded[s:e]], of[coded[s:e]])))
+            s = e
+        codes = np.unique(np.concatenate([x[1] for x in segments]))
         score = np.empty(len(codes))
         came = {int.from_bytes(r["c"][:8], "little"): r for r in rows if r["kind"] == 3}
         for p, own in _ranges(codes, order, parts, hot.value):
             score[own] = _scores(came[p], codes[own])
         total = np.zeros(len(some))
-        for s, e, place, distinct in segments:
-            each = np.zeros(e - s)
-            each[coded[s:e]] = score[np.searchsorted(codes, distinct)][place]
-            first, last = np.searchsorted(starts, s, side="right") - 1, np.searchsorted(starts, e)
-            total[first:last] += np.add.reduceat(each, np.maximum(starts[first:last], s) - s)
+        for first, distinct, gram, of, times in segments:
+            own = np.bincount(of, weights=score[np.searchsorted(codes, distinct)][gram] * times)
+            total[first : first + len(own)] += own
         return pa.Table.from_arrays([meta["doc_id"], meta["held_out"], pa.array(np.diff(at)), pa.array(known), pa.array(sums), pa.array(total), pa.nulls(len(some), pa.int64())], schema=_SCORED)
 
     return gather
@@ -427,6 +456,8 @@ def lm_scores(df: DataFrame, order: int = 6, folds: int = 7, held_fold: int = 2,
 
     The model learns from the documents whose crc32 of the id, as text, isn't ``held_fold`` modulo ``folds``.
     """
+    if not 1 <= order <= 6:
+        raise ValueError("order must be from 1 to 6")
     spark = df.sparkSession
     small_batches(spark)
     held_out = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == held_fold, F.lit(False))
