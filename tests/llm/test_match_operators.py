@@ -274,14 +274,25 @@ def test_anchors_do_not_depend_on_where_a_window_lies():
 
 
 def brute(rows, k=10, every=100):
+    """For each query row, in order of ids: (id, [(distance, id), ...])."""
     rows = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and len(v) and None not in v]
     rows = [(i, v) for i, v in rows if np.isfinite(v).all() and v.any()]
-    out = {}
+    matrix, ids = np.stack([v for _, v in rows]), np.array([i for i, _ in rows])
+    out = []
     for n, (q, a) in enumerate(rows):
         if q % every == 0:
-            found = sorted((float(np.sqrt(((a - b) ** 2).sum())), i) for m, (i, b) in enumerate(rows) if m != n and i != q)
-            out[q] = found[:k]
-    return out
+            d = np.sqrt(((matrix - a) ** 2).sum(1))
+            order = [j for j in np.lexsort((ids, d)).tolist() if j != n][:k]
+            out.append((q, [(float(d[j]), int(ids[j])) for j in order]))
+    return sorted(out, key=lambda x: x[0])
+
+
+def answers(found):
+    """The results of each query id, by rank."""
+    got = defaultdict(lambda: defaultdict(list))
+    for x in found.collect():
+        got[x["query_id"]][x["rank"]].append((x["score"], x["vec_id"]))
+    return got
 
 
 def test_neighbours(spark):
@@ -293,28 +304,57 @@ def test_neighbours(spark):
     same = centres[0].tolist()
     rows += [(2000 + i, same) for i in range(300)] + [(5000, None), (5100, []), (5200, [0.0] * 24), (None, same), (5300, [float("nan")] * 24), (5400, [1.0] * 3), (5500, [None] * 24)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("h", F.lit("clash")).repartition(4)
-    got = defaultdict(list)
-    for x in nearest(df, base_block=256, query_block=8).orderBy("query_id", "rank").collect():
-        got[x["query_id"]].append((x["score"], x["vec_id"]))
-        assert x["rank"] == len(got[x["query_id"]])
     want = brute([(i, None if v is None else [None if e is None else float(np.float32(e)) for e in v]) for i, v in rows if v is None or len(v) != 3])
-    assert set(got) == set(want)
-    hit = sum(len({i for _, i in got[q]} & {i for _, i in want[q]}) for q in want)
-    assert hit >= 0.9 * sum(map(len, want.values()))
-    for q in (2000, 2100, 2200):
-        assert [i for _, i in got[q]] == [i for i in range(2000, 2012) if i != q][:10]
-    for q in got:
-        assert got[q] == sorted(got[q]) and all(i != q for _, i in got[q])
-
-
-def test_neighbours_of_small_tables(spark):
+    for blocks in ({"base_block": 256, "query_block": 8}, {}):
+        got = answers(nearest(df, **blocks))
+        assert sorted(got) == [q for q, _ in want]
+        hit = 0
+        for q, near in want:
+            own = [x for n in sorted(got[q]) for x in got[q][n]]
+            assert sorted(got[q]) == list(range(1, 11)) and own == sorted(own) and all(i != q for _, i in own)
+            hit += len({i for _, i in own} & {i for _, i in near})
+        assert hit >= 0.9 * 10 * len(want)
+        for q in (2000, 2100, 2200):
+            assert [got[q][n][0][1] for n in range(1, 11)] == [i for i in range(2000, 2012) if i != q][:10]
+
+
+def test_neighbours_of_vectors_without_structure(spark):
+    from ortholake.llm.ann import learn, nearest, probe
+
+    r = np.random.default_rng(8)
+    x = r.normal(size=(8000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = answers(nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)))
+    want = brute(rows)
+    assert sum(len({got[q][n][0] for n in got[q]} & set(near)) for q, near in want) >= 0.9 * 10 * len(want)
+    coder = learn(x[:4096], 8000)
+    assert np.mean([len(p) for p in probe(coder.codes(x[:50]), coder.codes(x), coder.reach)]) < 0.5 * len(x)
+
+
+def test_neighbours_of_repeated_rows_and_small_tables(spark):
     from ortholake.llm.ann import nearest
 
-    few = spark.createDataFrame([(0, [1.0, 0.0]), (100, [0.0, 1.0]), (7, [-0.0, 1.0]), (200, [1.0, 0.0])], "vec_id long, embedding array<double>")
-    got = [(x["query_id"], x["rank"], x["vec_id"]) for x in nearest(few).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 200), (0, 2, 7), (0, 3, 100), (100, 1, 7), (100, 2, 0), (100, 3, 200), (200, 1, 0), (200, 2, 7), (200, 3, 100)]
+    def table(rows):
+        return spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+
+    r = np.random.default_rng(5)
+    others = [(i, r.normal(size=2).tolist()) for i in range(1, 31)]
+    for rows in (
+        [(100, [1.0, 2.0])] * 12 + others,
+        [(100, [1.0, 2.0])] * 3 + [(100, [1.0, 2.5]), (100, [1.0, 2.5]), (200, [1.0, 2.0]), (7, [1.0, 2.0])] + others,
+        [(0, [1.0, 0.0]), (100, [0.0, 1.0]), (7, [-0.0, 1.0]), (200, [1.0, 0.0])],
+        [(100, [3.0, 1.0])] * 2,
+    ):
+        got, want = answers(nearest(table(rows))), defaultdict(lambda: defaultdict(list))
+        for q, near in brute(rows):
+            for n, x in enumerate(near, 1):
+                want[q][n].append(x)
+        assert {q: {n: sorted(x) for n, x in own.items()} for q, own in got.items()} == {q: {n: sorted(x) for n, x in own.items()} for q, own in want.items()}
+    few = table([(7, [0.0, 1.0])])
     assert nearest(few.where("vec_id > 999")).count() == 0
-    assert nearest(few.where("vec_id = 7")).count() == 0
+    assert nearest(few).count() == 0
+    assert nearest(table([(100, [0.0, 1.0])])).count() == 0
 
 
 def test_probing_finds_every_code_in_the_radius():
@@ -323,9 +363,11 @@ def test_probing_finds_every_code_in_the_radius():
     r = np.random.default_rng(1)
     codes = r.integers(0, 2**16, (3000, 4)).astype(np.uint16)
     queries = codes[:20] ^ np.uint16(5)
-    for radius in (0, 3, 9, 22):
-        for q, rows in zip(queries, probe(queries, codes, radius), strict=True):
-            assert rows.tolist() == np.flatnonzero(BITS[codes ^ q].sum(1) <= radius).tolist()
+    for reach in (0, 1, 3, 16):
+        for q, rows in zip(queries, probe(queries, codes, reach), strict=True):
+            apart = BITS[codes ^ q]
+            assert rows.tolist() == np.flatnonzero((apart <= reach).any(1)).tolist()
+            assert set(np.flatnonzero(apart.sum(1) < 4 * (reach + 1)).tolist()) <= set(rows.tolist())
 
 
 # Pipeline
