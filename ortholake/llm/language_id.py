@@ -2,15 +2,17 @@
 
 Every language has a codeword of bits, far from the others'. For each bit a binary classifier (naive Bayes over hashed
 grams of 1 to 4 bytes) weighs whether a text's language has that bit. A text gets the language whose codeword has the
-least loss, bits weighted by how sure the classifier is; a text whose two best codewords are close is ambiguous.
+least loss: the logistic loss of each bit, so that a bit that the classifier is sure of weighs more, and less and less is
+gained by being surer still. A text whose two best codewords are close is ambiguous.
 
-Learning is from a bounded sample: at most ``sample_per_language`` rows of each language, the ones whose ids hash
-lowest. The counts are summed on the executors and are of a size set by ``log2_features`` and the number of languages.
+Learning is from a bounded sample: at most ``sample_per_language`` distinct rows of each language, the ones whose id and
+text hash lowest; a row found several times counts so often, but is read once. The counts are summed on the executors,
+and the driver takes them one language at a time into sums whose size ``log2_features`` and the length of codewords set.
 Scoring is a narrow pass over whole texts; the language, source and id of a row are never looked at there.
 
 Defined results: a null text, one without a letter, or any text when nothing was learned is ``und`` with score 0;
-rows with a null language teach nothing; repeated rows count each; an empty table gives no rows; other columns are not
-looked at. Ties between codewords go to the first language in order of name.
+rows with a null language teach nothing; rows with a null id do, as any other; repeated rows count each; an empty table
+gives no rows; other columns are not looked at. Ties between codewords go to the first language in order of name.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ortholake.llm._store import small_batches
@@ -31,6 +33,7 @@ SLICE_BYTES = 1 << 20
 BLOCK = 1 << 17
 GRAMS = (1, 2, 3, 4)
 UNKNOWN = "und"
+SHARPNESS = 4.0
 
 
 def codewords(n: int, most_bits: int = 63, seed: int = 7) -> np.ndarray:
@@ -92,7 +95,7 @@ class Model:
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(best language, confidence from 0 to 1, lead over the second best) by loss-weighted distance to codewords."""
-        loss = np.maximum(0, 1 - margins[:, None, :] * self.codes[None]).mean(2)
+        loss = np.logaddexp(0, -SHARPNESS * margins[:, None, :] * self.codes[None]).mean(2)
         best = loss.argmin(1)
         share = np.exp(4 * (loss.min(1, keepdims=True) - loss))
         share /= share.sum(1, keepdims=True)
@@ -101,15 +104,31 @@ class Model:
         return best, ordered[:, -1], lead
 
 
-def fit(df: DataFrame, sample_per_language: int = 2000, most_languages: int = 500, log2_features: int = 16) -> Model | None:
+def _sample(known: DataFrame, sizes: dict[str, int], most: int) -> DataFrame:
+    """(lang, text, n): of each language the ``most`` distinct rows (lang, text, h) of least hash, and how often each is found.
+
+    A share of the rows that holds some more than ``most`` is looked through for the hash to cut at, so that no task gets
+    more than that of a language.
+    """
+    spark = known.sparkSession
+
+    def below(limits: dict[str, int]) -> DataFrame:
+        table = spark.createDataFrame(list(limits.items()), "lang string, most_h long")
+        return known.join(F.broadcast(table), "lang").where("h <= most_h")
+
+    least, all_hashes = -(1 << 63), 1 << 64
+    limits = {x: least + min(all_hashes - 1, int(all_hashes * min(1.0, (1.25 * most + 100) / n))) for x, n in sizes.items()}
+    # equal rows are one hash, so a language with many of them has fewer in its sample, never more
+    ordered = below(limits).groupBy("lang").agg(F.array_sort(F.collect_set("h")).alias("h"))
+    cuts = ordered.where(F.size("h") > most).select("lang", F.element_at("h", most).alias("h")).collect()
+    return below(limits | {r["lang"]: r["h"] for r in cuts}).groupBy("lang", "h").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n"))
+
+
+def fit(df: DataFrame, sample_per_language: int = 2000, log2_features: int = 16) -> Model | None:
     """A model of (doc_id, text, lang); null without rows that have a language."""
-    known = df.where(F.col("lang").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = known.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_per_language)
-    ids = sample.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    languages = sorted(r["lang"] for r in ids.limit(most_languages + 1).collect())
-    if len(languages) > most_languages:
-        raise ValueError(f"more than {most_languages} languages; raise most_languages")
+    known = df.where(F.col("lang").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    languages = sorted(sizes)
     if not languages:
         return None
     number = {x: k for k, x in enumerate(languages)}
@@ -118,32 +137,45 @@ def fit(df: DataFrame, sample_per_language: int = 2000, most_languages: int = 50
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[int, np.ndarray] = {}
         for batch in tidied(batches):
-            lang = np.array([number[x] for x in batch.column("lang").to_pylist()])
+            lang, times = np.array([number[x] for x in batch.column("lang").to_pylist()]), batch.column("n").to_numpy()
             for i, j, data, offsets in _slices(batch):
                 for hashed, at in features(data, offsets, log2_features):
-                    of = np.repeat(lang[i:j], np.diff(at))
+                    of, weight = (np.repeat(x[i:j], np.diff(at)) for x in (lang, times))
                     for k in np.unique(of).tolist():
-                        own = np.bincount(hashed[of == k], minlength=size)
+                        own = np.bincount(hashed[of == k], weights=weight[of == k], minlength=size)
                         counts[k] = counts[k] + own if k in counts else own
         for k, own in counts.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([own.astype("<i8").tobytes()], pa.binary())], names=["k", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_buffer(), "<i8") for x in table["counts"])
-        return pa.table({"k": table["k"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-    # the sample is joined on its ids, of a number that the parameters bound
-    texts = known.select("doc_id", "text", "lang").join(F.broadcast(sample.select("doc_id", "lang")), ["doc_id", "lang"]).select("text", "lang")
-    rows = texts.mapInArrow(count, "k int, counts binary").groupBy("k").applyInArrow(add, "k int, counts binary").collect()
-    counts = np.zeros((len(languages), size))
-    for r in rows:
-        counts[r["k"]] = np.frombuffer(r["counts"], "<i8")
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([own.astype("<f8").tobytes()], pa.binary())], names=["k", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: np.ndarray | float = 0.0
+        for batch in batches:
+            for x in batch.column("counts"):
+                total = total + np.frombuffer(x.as_buffer(), "<f8")
+                k = batch.column("k")[0].as_py()
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["k", "counts"])
+
+    sample = _sample(known, sizes, sample_per_language)
     codes = codewords(len(languages))
-    share = (counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * size)  # languages weigh alike, however many rows each has
+    # languages weigh alike, however many rows each has
+    sums = {1: np.zeros((codes.shape[1], size)), -1: np.zeros((codes.shape[1], size))}
+
+    def learn(k: int, counts: np.ndarray) -> None:
+        share = (counts + 0.5) / (counts.sum() + 0.5 * size)
+        for bit, own in sums.items():
+            own[codes[k] == bit] += share
+
+    counted = sample.select("lang", "text", "n").mapInArrow(count, "k int, counts binary").groupBy("k").applyInArrow(add, "k int, counts binary")
+    seen = set()
+    for r in counted.toLocalIterator():
+        learn(r["k"], np.frombuffer(r["counts"], "<f8"))
+        seen.add(r["k"])
+    for k in set(range(len(languages))) - seen:  # nothing but empty texts
+        learn(k, np.zeros(size))
     weights = np.empty((size, codes.shape[1]), np.float32)
     for b in range(codes.shape[1]):
-        yes, no = share[codes[:, b] == 1], share[codes[:, b] == -1]
-        weights[:, b] = np.log(yes.mean(0)) - np.log(no.mean(0)) if len(yes) and len(no) else np.where(len(yes), 1.0, -1.0)
+        n_yes, n_no = int((codes[:, b] == 1).sum()), int((codes[:, b] == -1).sum())
+        weights[:, b] = np.log(sums[1][b] / n_yes) - np.log(sums[-1][b] / n_no) if n_yes and n_no else (1.0 if n_yes else -1.0)
     return Model(languages, codes, weights, log2_features)
 
 

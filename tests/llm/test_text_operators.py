@@ -272,6 +272,78 @@ def test_languages(documents, odd, empty):
     assert {r["lang_pred"] for r in rows_of(li.language_ids(odd.drop("lang").selectExpr("*", "cast(null as string) as lang")))} == {"und"}
 
 
+def naive_ecoc(rows, held, codes, log2=16, sharpness=4.0):
+    """(language, score) of every text, gram by gram; rows: (lang, text)."""
+
+    def hashed(text):
+        data = text.lower().encode()
+        for n in (1, 2, 3, 4):
+            for i in range(len(data) - n + 1):
+                code = int.from_bytes(data[i : i + n], "big") ^ (n * 0x3C6EF372 & 0xFFFFFFFF)
+                yield (code * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - log2)
+
+    names = sorted({x for (x, _), h in zip(rows, held, strict=True) if x is not None and not h})
+    counts = {x: Counter() for x in names}
+    for (x, t), h in zip(rows, held, strict=True):
+        if x is not None and not h:
+            counts[x].update(hashed(t or ""))
+    size = 1 << log2
+    shares = [lambda g, c=counts[x], n=sum(counts[x].values()): (c[g] + 0.5) / (n + 0.5 * size) for x in names]
+
+    def margin(t, b):
+        total = n = 0
+        for g in hashed(t):
+            yes = [s(g) for s, c in zip(shares, codes, strict=True) if c[b] == 1]
+            no = [s(g) for s, c in zip(shares, codes, strict=True) if c[b] == -1]
+            total += math.log(sum(yes) / len(yes)) - math.log(sum(no) / len(no)) if yes and no else (1 if yes else -1)
+            n += 1
+        return total / max(n, 1)
+
+    for _, t in rows:
+        if not any(c.isalpha() for c in t or ""):
+            yield "und", 0.0
+            continue
+        margins = [margin(t, b) for b in range(len(codes[0]))]
+        loss = [sum(math.log1p(math.exp(-sharpness * m * c)) for m, c in zip(margins, code, strict=True)) / len(margins) for code in codes]
+        yield names[loss.index(min(loss))], 1 / sum(math.exp(4 * (min(loss) - x)) for x in loss)
+
+
+def test_languages_equal_a_naive_decoder(spark):
+    from ortholake.llm import language_id as li
+
+    r = random.Random(2)
+    alphabets = {"aa": "abcde ", "bb": "cdefg ", "cc": "efghé ", "dd": "xyzab "}
+    rows = [(i if i % 9 else None, x, "".join(r.choice(alphabets[x]) for _ in range(r.randrange(0, 40)))) for i in range(60) for x in [r.choice(sorted(alphabets))]]
+    rows += [(700, "aa", "abacus badge")] * 40 + [(700, "bb", "egg fed"), (701, None, "cede"), (702, "cc", None)]
+    held = [i is not None and zlib.crc32(str(i).encode()) % 4 == 2 for i, *_ in rows]
+    want = list(naive_ecoc([(x, t) for _, x, t in rows], held, li.codewords(4)))
+    assert len({x for x, _ in want}) == 5 and not held[rows.index((700, "bb", "egg fed"))]
+    df = spark.createDataFrame([(i, x, t) for i, x, t in rows], "doc_id long, lang string, text string").repartition(3)
+    got = sorted((str(x["doc_id"]), x["lang_pred"], round(x["score"], 4)) for x in li.language_ids(df).collect())
+    assert got == sorted((str(i), x, round(score, 4)) for (i, *_), (x, score) in zip(rows, want, strict=True))
+
+
+def test_sample_of_languages_is_bounded(spark):
+    from pyspark.sql import functions as F
+
+    from ortholake.llm import language_id as li
+
+    rows = [(i, "aa", f"text {i}") for i in range(900)] + [(-1, "aa", "often")] * 300 + [(i, "bb", "x") for i in range(7)]
+    known = spark.createDataFrame(rows, "doc_id long, lang string, text string").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    for most in (5, 100, 2000):
+        got = li._sample(known, {"aa": 1200, "bb": 7}, most).collect()
+        own = {r["text"]: r["n"] for r in got if r["lang"] == "aa"}
+        assert len(own) == min(most, 901) and own.get("often", 300) == 300 and sum(r["lang"] == "bb" for r in got) == min(most, 7)
+
+
+def test_many_languages(spark):
+    from ortholake.llm import language_id as li
+
+    rows = [(i, f"l{i % 600:03}", f"{chr(0x4E00 + i % 600)} {chr(0x5E00 + i % 600)} word") for i in range(1800)]
+    got = li.language_ids(spark.createDataFrame(rows, "doc_id long, lang string, text string")).collect()
+    assert sum(x["lang_pred"] == f"l{x['doc_id'] % 600:03}" for x in got) > 0.5 * len(rows)
+
+
 def test_codewords_are_apart():
     from ortholake.llm.language_id import codewords
 
