@@ -12,8 +12,12 @@ from ortholake.functions.columns import ColumnArg, as_list, flat, keys_of, names
 from ortholake.functions.linear import pca_of_factor
 from ortholake.functions.states import LeastSquaresState
 from ortholake.operators.least_squares import POLICIES
+from ortholake.plans.shared import shared_dir
 from ortholake.plans.two_stage import two_stage
 
+#: Models of all groups up to this size are broadcast.
+BROADCAST_BYTES = 32 << 20
+
 
 def pca(
     df: DataFrame,
@@ -62,13 +66,18 @@ def pca_transform(
     """``df`` with ``component_1`` to ``component_k``: each row's scores in its group's components.
 
     The scores are arithmetic on columns, joined with one row per group; a row left out of the fit keeps its place and
-    scores null.
+    scores null. The models are written first, and broadcast if all of them are small, so that no row is moved; else
+    rows are joined with them by their keys.
     """
     features, keys = as_list(features), keys_of(by)
     model = pca(df, features, by=keys or None, n_components=n_components, centre=centre, scale=scale, null_policy=null_policy, out="_pca")
     values = numeric(df, features)
     model = model.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)), "_pca")
     if keys:
+        shared_dir(df.sparkSession)
+        model = model.checkpoint()
+        if model.count() * (64 + 8 * (len(features) + 3) * n_components + 64 * len(features)) <= BROADCAST_BYTES:
+            model = F.broadcast(model)
         same = df[keys[0]].eqNullSafe(model["_key0"])
         for i, k in enumerate(keys[1:], 1):
             same = same & df[k].eqNullSafe(model[f"_key{i}"])

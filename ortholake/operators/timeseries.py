@@ -20,7 +20,7 @@ from ortholake.functions.clocks import checked_clock, checked_values, clock_colu
 from ortholake.functions.columns import ColumnArg, keys_of, names_of, numeric, one_of
 from ortholake.functions.errors import InputError
 from ortholake.functions.windows import Ewm, Rolling
-from ortholake.plans.ordered import map_groups, map_spread, sorted_rows, spread_rows
+from ortholake.plans.ordered import halo_rows, map_groups, map_spread, sorted_rows, spread_rows
 
 Span = int | float | timedelta
 POLICIES = ("skip", "raise")
@@ -49,21 +49,24 @@ class Statistic:
 def clocked(df: DataFrame, statistics: Sequence[Statistic], *, clock: ColumnArg, by: str | Sequence[str] | None = None, order_by: ColumnArg | Sequence[ColumnArg] | None = None, spread: bool | None = None) -> DataFrame:
     """``df`` with a column for each statistic, all in one pass over one sort.
 
-    With ``spread`` a group may go over many tasks, for groups that hold much of the data; that reads the rows twice
-    and, for rolling statistics, brings one window's rows for each task to the driver. By default it is done where
-    there are no keys and all statistics decay.
+    With ``spread`` a group may go over many tasks, for groups that hold much of the data; that reads the rows twice.
+    By default it is done where there are no keys. Rolling statistics in the order of the clock then run by ranges of
+    it, each with copies of the rows before that its windows reach; decaying ones pass a small state for each task
+    through the driver. Rolling statistics in another order, or beside decaying ones, have a window of rows as that
+    state, so they are spread only when asked for.
     """
     keys = keys_of(by)
     operation = statistics[0].label
     clock_value, unit = clock_column(df, clock, operation)
     order = [clock] if order_by is None else [order_by] if isinstance(order_by, str | Column) else list(order_by)
     order = [F.col(c) if isinstance(c, str) else c for c in order]
-    makers, names, values, added = [], [], [], []
+    makers, names, values, added, reach = [], [], [], [], 0.0
     for s in statistics:
         one_of(s.null_policy, POLICIES, "null_policy")
         if s.min_samples < 0:
             raise ValueError("min_samples must not be negative")
         width = span(s.span, unit, "half_life" if s.kind == "ewm" else "window", s.label)
+        reach = max(reach, width)
         if s.kind == "ewm":
             makers.append(lambda s=s, w=width: Ewm(w, s.min_samples, s.bias))
         else:
@@ -77,7 +80,9 @@ def clocked(df: DataFrame, statistics: Sequence[Statistic], *, clock: ColumnArg,
     columns = [f"_x{i}_{j}" for i, v in enumerate(values) for j in range(len(v))]
     flat = [v.alias(c) for v, c in zip((v for own in values for v in own), columns, strict=True)]
     rows = df.select("*", clock_value.alias("_clock"), *flat)
-    spread = not keys and all(s.kind == "ewm" for s in statistics) if spread is None else spread
+    first = clock if order_by is None else order_by if isinstance(order_by, str | Column) else next(iter(order_by), None)
+    by_ranges = all(s.kind == "rolling" for s in statistics) and isinstance(first, str) and first == clock
+    spread = not keys and (by_ranges or all(s.kind == "ewm" for s in statistics)) if spread is None else spread
 
     class State:
         def __init__(self):
@@ -103,7 +108,12 @@ def clocked(df: DataFrame, statistics: Sequence[Statistic], *, clock: ColumnArg,
                 state.absorb(own)
 
     fields = [T.StructField(a, T.DoubleType()) for a in added]
-    result = map_spread(spread_rows(rows, keys, order), keys, State, fields) if spread else map_groups(sorted_rows(rows, keys, order), keys, State, fields)
+    if spread and by_ranges and (cut := halo_rows(rows, "_clock", reach)) is not None:
+        result = map_groups(sorted_rows(cut, [*keys, "_range"], order), [*keys, "_range"], State, fields).where("not _halo").drop("_range", "_halo")
+    elif spread and not by_ranges:
+        result = map_spread(spread_rows(rows, keys, order), keys, State, fields)
+    else:
+        result = map_groups(sorted_rows(rows, keys, order), keys, State, fields)
     return result.drop("_clock", *columns)
 
 

@@ -7,7 +7,6 @@ spread over many tasks: what each makes of its part is then merged in order.
 from __future__ import annotations
 
 import pickle
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ortholake.plans.shared import shared_dir
+
 
 def _changes(column: pa.Array) -> np.ndarray:
     """Whether each value but the first differs from the one before; nulls are alike, and so are NaNs."""
@@ -107,6 +108,30 @@ def spread_rows(df: DataFrame, keys: list[str], order: list[Column]) -> DataFram
     return df.repartitionByRange(*(F.col(k) for k in keys), *order).sortWithinPartitions(*keys, *order)
 
 
+def halo_rows(rows: DataFrame, clock: str, reach: float) -> DataFrame | None:
+    """``rows`` with ``_range``, by ranges of the clock, and, marked by ``_halo``, copies of those less than ``reach``
+    before a later range in that range too. So each range has all that its rows look back at, and only copies are added
+    to what is moved. Null if there is just one range.
+
+    Where ranges begin are quantiles of the clock, from one pass. Doubles are compared, so a range may get a few copies
+    more than it needs.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = rows.select(F.col(clock).cast("double").alias("c")).where("c is not null and not isnan(c)")
+    edges = sorted(set(found.approxQuantile("c", [k / n for k in range(1, n)], 0.2 / n))) if n > 1 else []
+    if not edges:
+        return None
+    begin = F.col(clock).cast("double")
+    rows = rows.withColumn("_begin", begin).withColumn("_end", begin + F.lit(float(reach)) + 1e-14 * F.abs(begin))
+    splits = [-float("inf"), *edges, float("inf")]
+    cut = Bucketizer(splitsArray=[splits, splits], inputCols=["_begin", "_end"], outputCols=["_first", "_last"], handleInvalid="keep").transform(rows)
+    ranges = F.sequence(F.col("_first").cast("int"), F.greatest("_first", "_last").cast("int"))
+    cut = cut.withColumn("_range", F.explode(ranges))
+    return cut.withColumn("_halo", F.col("_range") > F.col("_first")).drop("_begin", "_end", "_first", "_last")
+
+
 def fold_spread(rows: DataFrame, keys: list[str], new: Callable[[], object], out: str, result: T.DataType) -> DataFrame:
     """As ``fold_groups`` over ``spread_rows``: each task's part of a group is folded, and the parts merged in order."""
     from ortholake.plans.two_stage import finished, grouped
@@ -145,9 +170,7 @@ def map_spread(rows: DataFrame, keys: list[str], new: Callable[[], object], adde
     The first leaves what each task's last group adds up to, a row for each task; from these the driver makes the state
     with which each task's first group begins. The second pass maps the rows.
     """
-    context = rows.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="ortholake-"))
+    shared_dir(rows.sparkSession)
     rows = rows.checkpoint()
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

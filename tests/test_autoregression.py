@@ -9,13 +9,17 @@ from ortholake import operators as op
 from ortholake.operators import autoregression as ar
 
 
+N, BEFORE = 1500, 300
+
+
 @pytest.fixture(scope="module")
 def series():
-    rng = np.random.default_rng(3)
-    y = np.zeros(2200)
-    for t in range(2, len(y)):
-        y[t] = 0.6 * y[t - 1] - 0.3 * y[t - 2] + rng.normal()
-    return y[200:] + 4.0
+    """Three lags driven by uniform noise, far from zero."""
+    noise = np.random.default_rng(41).uniform(-2, 2, N + BEFORE)
+    y = np.zeros(N + BEFORE)
+    for t in range(3, len(y)):
+        y[t] = noise[t] + np.dot([0.45, 0.2, -0.35], y[t - 3 : t][::-1])
+    return y[BEFORE:] - 12.5
 
 
 @pytest.fixture
@@ -31,9 +35,9 @@ def gamma_of(y, p, unbiased=False):
 def test_autocovariance_and_correlation(df, series):
     r = ar.autocovariance(df, "y", max_lag=8, order_by="i", flatten=True).first()
     np.testing.assert_allclose(r["autocovariance"], gamma_of(series, 8), atol=1e-10)
-    assert r["lags"] == list(range(9)) and r["n_observations"] == 2000 and math.isclose(r["mean"], series.mean())
+    assert r["lags"] == list(range(9)) and r["n_observations"] == N and math.isclose(r["mean"], series.mean())
     r = ar.autocovariance(df, "y", max_lag=8, order_by="i", unbiased=True, demean=False, flatten=True).first()
-    np.testing.assert_allclose(r["autocovariance"], [series[k:] @ series[: 2000 - k] / (2000 - k) for k in range(9)], rtol=1e-10)
+    np.testing.assert_allclose(r["autocovariance"], [series[k:] @ series[: N - k] / (N - k) for k in range(9)], rtol=1e-10)
     r = ar.autocorrelation(df, "y", max_lag=3, order_by="i", flatten=True).first()
     np.testing.assert_allclose(r["autocorrelation"], gamma_of(series, 3) / gamma_of(series, 0)[0], atol=1e-12)
 
@@ -78,7 +82,7 @@ def test_fit_yule_walker_and_burg(spark, df, series):
 @pytest.mark.parametrize("name", ["aic", "bic", "hqic"])
 def test_criteria(df, series, name):
     r = ar.fit(df, "y", order=name, max_order=6, order_by="i", flatten=True).first()
-    n = 2000
+    n = N
     cost = {"aic": 2, "bic": math.log(n), "hqic": 2 * math.log(math.log(n))}[name]
     want = [n * math.log(naive_fit(series, k)[1] if k else gamma_of(series, 0)[0]) + cost * k for k in range(7)]
     np.testing.assert_allclose(r["criterion"], want, rtol=1e-10)
@@ -94,22 +98,22 @@ def test_partial_autocorrelation(df, series):
 def test_transform(df, series):
     phi, _ = naive_fit(series, 2)
     c = series - series.mean()
-    want = [None, None] + [c[t] - phi[0] * c[t - 1] - phi[1] * c[t - 2] for t in range(2, 2000)]
+    want = [None, None] + [c[t] - phi[0] * c[t - 1] - phi[1] * c[t - 2] for t in range(2, N)]
     got = [r["residual"] for r in ar.transform(df, "y", order=2, order_by="i").orderBy("i").collect()]
     close(got, want, 1e-9)
     got = [r["prediction"] for r in op.ar(df).transform("y", order=2, order_by="i", output="prediction").orderBy("i").collect()]
-    close(got[2:], [series[t] - want[t] for t in range(2, 2000)], 1e-9)
+    close(got[2:], [series[t] - want[t] for t in range(2, N)], 1e-9)
 
 
 def test_nulls(spark):
-    y = [1.0, 4.0, None, 2.0, 5.0, 1.5, 2.5, 3.5]
+    y = [3.0, None, 7.0, 6.5, 2.0, 4.0, None, 5.0, 1.0]
     df = spark.createDataFrame(list(enumerate(y)), "i int, y double")
     got = [r["residual"] for r in ar.transform(df, "y", order=1, order_by="i", null_policy="zero").orderBy("i").collect()]
-    assert [i for i, v in enumerate(got) if v is None] == [0, 2, 3]
+    assert [i for i, v in enumerate(got) if v is None] == [0, 1, 2, 6, 7]
     mean = np.mean([v for v in y if v is not None])
     c = np.array([0 if v is None else v - mean for v in y])
     r = ar.autocovariance(df, "y", max_lag=2, order_by="i", null_policy="zero", flatten=True).first()
-    np.testing.assert_allclose(r["autocovariance"], [c[k:] @ c[: 8 - k] / 8 for k in range(3)], atol=1e-12)
+    np.testing.assert_allclose(r["autocovariance"], [c[k:] @ c[: 9 - k] / 9 for k in range(3)], atol=1e-12)
     r = ar.fit(df, "y", order=1, method="burg", order_by="i", null_policy="zero", flatten=True).first()
     assert math.isclose(r["coefficients"][0], 2 * c[1:] @ c[:-1] / (c[1:] @ c[1:] + c[:-1] @ c[:-1]))
     fails(lambda: ar.fit(df, "y", order=1, order_by="i").collect(), "null value")
@@ -117,10 +121,10 @@ def test_nulls(spark):
 
 
 def test_refusals(spark, df):
-    flat = spark.createDataFrame([(i, 2.0) for i in range(20)], "i int, y double")
+    flat = spark.createDataFrame([(i, 7.5) for i in range(30)], "i int, y double")
     fails(lambda: ar.fit(flat, "y", order=1, order_by="i").collect(), "does not move")
     fails(lambda: ar.autocorrelation(flat, "y", max_lag=1, order_by="i").collect(), "does not move")
-    fails(lambda: ar.autocovariance(flat, "y", max_lag=20, order_by="i").collect(), "No pair of observations")
+    fails(lambda: ar.autocovariance(flat, "y", max_lag=30, order_by="i").collect(), "No pair of observations")
     fails(lambda: ar.autocovariance(flat.where("i > 90"), "y", max_lag=1, order_by="i").collect(), "no rows")
     for order, extra, kind in ((True, {}, TypeError), (1.5, {}, TypeError), (-1, {}, ValueError), ("best", {}, ValueError), ("aic", {}, ValueError), ("aic", {"max_order": 0}, ValueError)):
         with pytest.raises(kind):
@@ -138,15 +142,17 @@ def test_groups(spark, series):
 
 
 def test_toeplitz(spark, rng):
-    g, b = 1 / (1 + np.arange(10)), rng.normal(size=(10, 2))
-    df = spark.createDataFrame([(k, float(g[k]), *map(float, b[k])) for k in range(10)], "k long, g double, a double, b double").repartition(3)
-    r = op.solve_toeplitz(df, "g", ["a", "b"], row_index="k", diagonal_shift=0.1, flatten=True).first()
-    t = g[np.abs(np.subtract.outer(range(10), range(10)))] + 0.1 * np.eye(10)
+    n = 9
+    g, b = 0.7 ** np.arange(n) * np.cos(0.3 * np.arange(n)), rng.uniform(-3, 3, (n, 2))
+    df = spark.createDataFrame([(k, float(g[k]), *map(float, b[k])) for k in range(n)], "k long, g double, left double, right double").repartition(3)
+    r = op.solve_toeplitz(df, "g", ["left", "right"], row_index="k", diagonal_shift=0.05, flatten=True).first()
+    t = g[np.abs(np.subtract.outer(range(n), range(n)))] + 0.05 * np.eye(n)
     np.testing.assert_allclose(r["solution"], np.linalg.solve(t, b).T, atol=1e-10)
-    bad = spark.createDataFrame([(0, 1.0, 1.0), (1, 2.0, 1.0), (2, 0.0, 1.0)], "k int, g double, a double")
-    fails(lambda: op.solve_toeplitz(bad, "g", "a", row_index="k").collect(), "positive definite")
-    fails(lambda: op.solve_toeplitz(bad.withColumn("g", F.lit(1.0)), "g", "a", row_index="k").collect(), "positive definite")
-    assert op.solve_toeplitz(bad.withColumn("g", F.lit(1.0)), "g", "a", row_index="k", diagonal_shift=1e-6).count() == 1
+    bad = spark.createDataFrame([(0, 2.0, 1.0), (1, 2.5, 0.0), (2, 0.5, 1.0)], "k int, g double, left double")
+    fails(lambda: op.solve_toeplitz(bad, "g", "left", row_index="k").collect(), "positive definite")
+    alike = bad.withColumn("g", F.lit(3.0))
+    fails(lambda: op.solve_toeplitz(alike, "g", "left", row_index="k").collect(), "positive definite")
+    assert op.solve_toeplitz(alike, "g", "left", row_index="k", diagonal_shift=1e-5).count() == 1
 
 
 @pytest.mark.parametrize("method", ["yule_walker", "burg"])

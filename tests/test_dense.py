@@ -8,13 +8,19 @@ from pyspark.sql import functions as F
 from ortholake import operators as op
 
 
+N = 311
+
+
 @pytest.fixture
 def frame(spark, rng):
-    n = 240
-    a, b, c = rng.normal(size=(3, n))
-    y = 1.5 * a - 0.75 * b + 0.25 * c + rng.normal(scale=0.1, size=n)
-    data = {"a": a, "b": b, "c": c, "y": y, "z": 0.5 * y - b, "group": rng.integers(0, 3, n), "weight": rng.uniform(0.1, 2, n), "part": rng.integers(0, 17, n)}
-    return data, spark.createDataFrame([tuple(v[i].item() for v in data.values()) for i in range(n)], list(data)).repartition(5)
+    """Parcels from three shops: sizes that hang together, two loads that bend with them, whole masses."""
+    width = rng.gamma(3.0, 0.4, N)
+    depth = width * rng.uniform(0.2, 1.4, N) + rng.exponential(0.5, N)
+    height = rng.triangular(-1, 0.5, 3, N)
+    load = np.sqrt(width + depth) + 0.3 * height**2 + rng.normal(scale=0.2, size=N)
+    lift = np.cos(height) + 2.2 * depth
+    data = {"width": width, "depth": depth, "height": height, "load": load, "lift": lift, "shop": rng.choice([0, 1, 1, 2], N), "mass": rng.integers(1, 9, N) / 4, "part": np.arange(N) * 7 % 19}
+    return data, spark.createDataFrame([tuple(v[i].item() for v in data.values()) for i in range(N)], list(data)).repartition(5)
 
 
 def column(data, *names):
@@ -25,18 +31,18 @@ def column(data, *names):
 @pytest.mark.parametrize("weighted", [False, True])
 def test_least_squares_equals_lstsq(frame, solver, weighted):
     data, df = frame
-    rows = op.least_squares(df, ["y", "z"], ["a", "b", "c"], by="group", weights="weight" if weighted else None, intercept=True, solver=solver, flatten=True).collect()
+    rows = op.least_squares(df, ["load", "lift"], ["width", "depth", "height"], by="shop", weights="mass" if weighted else None, intercept=True, solver=solver, flatten=True).collect()
     assert len(rows) == 3
     for r in rows:
-        own = data["group"] == r["group"]
-        w = np.sqrt(data["weight"][own]) if weighted else np.ones(own.sum())
-        x = np.column_stack([np.ones(own.sum()), column(data, "a", "b", "c")[own]]) * w[:, None]
-        t = column(data, "y", "z")[own] * w[:, None]
+        own = data["shop"] == r["shop"]
+        w = np.sqrt(data["mass"][own]) if weighted else np.ones(own.sum())
+        x = np.column_stack([np.ones(own.sum()), column(data, "width", "depth", "height")[own]]) * w[:, None]
+        t = column(data, "load", "lift")[own] * w[:, None]
         beta, rss, rank, s = np.linalg.lstsq(x, t, rcond=None)
         np.testing.assert_allclose(r["intercept"], beta[0], atol=1e-9)
         np.testing.assert_allclose(r["coefficients"], beta[1:].T, atol=1e-9)
         np.testing.assert_allclose(r["residual_sum_of_squares"], rss, rtol=1e-8)
-        assert r["rank"] == 4 and r["n_observations"] == own.sum() and r["targets"] == ["y", "z"] and r["features"] == ["a", "b", "c"]
+        assert r["rank"] == 4 and r["n_observations"] == own.sum() and r["targets"] == ["load", "lift"] and r["features"] == ["width", "depth", "height"]
         if solver == "svd":
             np.testing.assert_allclose(r["singular_values"], s, rtol=1e-9)
             assert math.isclose(r["condition"], s[0] / s[-1], rel_tol=1e-8)
@@ -46,8 +52,8 @@ def test_least_squares_equals_lstsq(frame, solver, weighted):
 
 def test_ridge_spares_the_intercept_and_reports_plain_residuals(frame):
     data, df = frame
-    r = op.least_squares(df, "y", ["a", "b"], intercept=True, l2_penalty=25.0, flatten=True).first()
-    x, y = column(data, "a", "b"), data["y"]
+    r = op.least_squares(df, "load", ["width", "depth"], intercept=True, l2_penalty=25.0, flatten=True).first()
+    x, y = column(data, "width", "depth"), data["load"]
     xc, yc = x - x.mean(0), y - y.mean()
     beta = np.linalg.solve(xc.T @ xc + 25 * np.eye(2), xc.T @ yc)
     np.testing.assert_allclose(r["coefficients"][0], beta, atol=1e-9)
@@ -91,13 +97,13 @@ def test_null_keys_are_a_group_and_columns_may_be_expressions(spark):
 @pytest.mark.parametrize("weighted", [False, True])
 def test_covariance_and_correlation(frame, weighted):
     data, df = frame
-    x, w = column(data, "a", "b", "y"), data["weight"] if weighted else np.ones(240)
-    r = op.covariance(df, ["a", "b", "y"], weights="weight" if weighted else None, flatten=True).first()
+    x, w = column(data, "width", "depth", "load"), data["mass"] if weighted else np.ones(N)
+    r = op.covariance(df, ["width", "depth", "load"], weights="mass" if weighted else None, flatten=True).first()
     np.testing.assert_allclose(r["covariance"], np.cov(x.T, aweights=w, ddof=1), atol=1e-10)
     np.testing.assert_allclose(r["means"], np.average(x, axis=0, weights=w), atol=1e-12)
     np.testing.assert_allclose(r["standard_deviations"], np.sqrt(np.diag(np.cov(x.T, aweights=w))), atol=1e-10)
     assert math.isclose(r["sum_weights"], w.sum()) and r["size"] == 3
-    r = op.correlation(df, ["a", "b", "y"], weights="weight" if weighted else None, flatten=True).first()
+    r = op.correlation(df, ["width", "depth", "load"], weights="mass" if weighted else None, flatten=True).first()
     np.testing.assert_allclose(r["correlation"], np.corrcoef(x.T) if not weighted else (lambda c: c / np.sqrt(np.outer(np.diag(c), np.diag(c))))(np.cov(x.T, aweights=w)), atol=1e-9)
 
 
@@ -117,18 +123,18 @@ def test_moments_edges(spark):
 @pytest.mark.parametrize("scale", [True, False])
 def test_pca(frame, centre, scale):
     data, df = frame
-    x = column(data, "a", "b", "y") + (1e4 if centre else 0)
-    moved = df.select(*((F.col(c) + (1e4 if centre else 0)).alias(c) for c in ("a", "b", "y")))
-    r = op.pca(moved, ["a", "b", "y"], n_components=2, centre=centre, scale=scale, flatten=True).first()
+    x = column(data, "width", "depth", "load") + (1e4 if centre else 0)
+    moved = df.select(*((F.col(c) + (1e4 if centre else 0)).alias(c) for c in ("width", "depth", "load")))
+    r = op.pca(moved, ["width", "depth", "load"], n_components=2, centre=centre, scale=scale, flatten=True).first()
     rows = x - x.mean(0) if centre else x
     if scale:
-        rows = rows / np.sqrt((rows**2).sum(0) / 239)
+        rows = rows / np.sqrt((rows**2).sum(0) / (N - 1))
     _, s, vt = np.linalg.svd(rows, full_matrices=False)
     vt = vt * np.sign(vt[np.arange(3), np.abs(vt).argmax(1)])[:, None]
     np.testing.assert_allclose(r["components"], vt[:2], atol=1e-7)
     np.testing.assert_allclose(r["singular_values"], s[:2], rtol=1e-8)
     np.testing.assert_allclose(r["explained_variance_ratio"], (s**2 / (s**2).sum())[:2], rtol=1e-8)
-    assert r["rank"] == 3 and r["n_observations"] == 240
+    assert r["rank"] == 3 and r["n_observations"] == N
 
 
 def test_pca_edges(spark):
@@ -145,22 +151,32 @@ def test_pca_edges(spark):
 
 def test_pca_transform_scores(frame):
     data, df = frame
-    rows = op.pca_transform(df.select("group", "a", "b"), ["a", "b"], 2, by="group").collect()
-    own = [r for r in rows if r["group"] == 1]
+    rows = op.pca_transform(df.select("shop", "width", "depth"), ["width", "depth"], 2, by="shop").collect()
+    own = [r for r in rows if r["shop"] == 1]
     scores = np.array([[r["component_1"], r["component_2"]] for r in own])
     assert abs(np.cov(scores.T)[0, 1]) < 1e-9 and np.allclose(scores.mean(0), 0, atol=1e-9)
-    fit = op.pca(df, ["a", "b"], by="group", flatten=True).where("group = 1").first()
+    fit = op.pca(df, ["width", "depth"], by="shop", flatten=True).where("shop = 1").first()
     np.testing.assert_allclose(np.diag(np.cov(scores.T)), fit["explained_variance"], rtol=1e-9)
 
 
+def test_pca_transform_moves_no_rows_for_small_models(spark, frame):
+    _, df = frame
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        plan = op.pca_transform(df, ["width", "depth"], 1, by="shop")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
 def test_solve_spd(spark):
-    rows = [(1, 1.0, 3.0, 2.0), (0, 4.0, 1.0, 1.0)]
+    rows = [(1, 2.0, 6.0, -1.0), (0, 5.0, 2.0, 3.0)]
     df = spark.createDataFrame(rows, "k int, m0 double, m1 double, b double")
     r = op.solve_spd(df, ["m0", "m1"], "b", row_index="k", flatten=True).first()
-    np.testing.assert_allclose(r["solution"][0], [1 / 11, 7 / 11], atol=1e-12)
+    np.testing.assert_allclose(r["solution"][0], [20 / 26, -11 / 26], atol=1e-12)
     assert r["rows"] == ["m0", "m1"] and r["size"] == 2 and r["symmetry_error"] == 0
-    fails(lambda: op.solve_spd(spark.createDataFrame([(0, 1.0, 2.0, 1.0), (1, 3.0, 1.0, 1.0)], df.schema), ["m0", "m1"], "b", row_index="k").collect(), "not symmetric")
-    fails(lambda: op.solve_spd(spark.createDataFrame([(0, 1.0, 2.0, 1.0), (1, 2.0, 1.0, 1.0)], df.schema), ["m0", "m1"], "b", row_index="k").collect(), "not positive definite")
+    fails(lambda: op.solve_spd(spark.createDataFrame([(0, 6.0, 0.5, 1.0), (1, 0.7, 6.0, 1.0)], df.schema), ["m0", "m1"], "b", row_index="k").collect(), "not symmetric")
+    fails(lambda: op.solve_spd(spark.createDataFrame([(0, 3.0, 4.0, 1.0), (1, 4.0, 3.0, 1.0)], df.schema), ["m0", "m1"], "b", row_index="k").collect(), "not positive definite")
     fails(lambda: op.solve_spd(df.withColumn("k", F.lit(0)), ["m0", "m1"], "b", row_index="k").collect(), "repeats a value")
     fails(lambda: op.solve_spd(df, ["m0", "m1"], "b", row_index="m0"), "not an integer")
     fails(lambda: op.solve_spd(df, ["m0", "m1", "b"], "b", row_index="k").collect(), "square")
@@ -169,49 +185,49 @@ def test_solve_spd(spark):
 
 def test_states_are_the_direct_fit_however_they_were_split(frame):
     data, df = frame
-    direct = op.least_squares(df, "y", ["a", "b", "c"], intercept=True, flatten=True).first()
-    cov = op.covariance(df, ["a", "b", "y"], flatten=True).first()
+    direct = op.least_squares(df, "load", ["width", "depth", "height"], intercept=True, flatten=True).first()
+    cov = op.covariance(df, ["width", "depth", "load"], flatten=True).first()
     for parts in (2, 17):
         split = df.withColumn("p", F.col("part") % parts)
-        states = op.least_squares_state(split, "y", ["a", "b", "c"], by="p", intercept=True)
+        states = op.least_squares_state(split, "load", ["width", "depth", "height"], by="p", intercept=True)
         fit = op.finalise_least_squares(op.merge_least_squares_states(states)).select("fit.*").first()
         np.testing.assert_allclose(fit["coefficients"], direct["coefficients"], atol=1e-9)
-        assert fit["n_observations"] == 240 and math.isclose(fit["residual_sum_of_squares"][0], direct["residual_sum_of_squares"][0], rel_tol=1e-9)
-        moments = op.merge_covariance_states(op.covariance_state(split, ["a", "b", "y"], by="p"))
+        assert fit["n_observations"] == N and math.isclose(fit["residual_sum_of_squares"][0], direct["residual_sum_of_squares"][0], rel_tol=1e-9)
+        moments = op.merge_covariance_states(op.covariance_state(split, ["width", "depth", "load"], by="p"))
         got = op.finalise_covariance(moments, out="m").select("m.*").first()
         np.testing.assert_allclose(got["covariance"], cov["covariance"], atol=1e-10)
         pca = op.finalise_pca(moments, n_components=2).select("pca.*").first()
-        want = op.pca(df, ["a", "b", "y"], n_components=2, flatten=True).first()
+        want = op.pca(df, ["width", "depth", "load"], n_components=2, flatten=True).first()
         np.testing.assert_allclose(pca["components"], want["components"], atol=1e-7)
         np.testing.assert_allclose(pca["singular_values"], want["singular_values"], rtol=1e-8)
         corr = op.finalise_correlation(moments, out="m").select("m.correlation").first()[0]
-        np.testing.assert_allclose(corr, np.corrcoef(column(data, "a", "b", "y").T), atol=1e-9)
+        np.testing.assert_allclose(corr, np.corrcoef(column(data, "width", "depth", "load").T), atol=1e-9)
 
 
 def test_states_travel_and_refuse(spark, frame, tmp_path):
     from ortholake.sources.states import read_merged, write_states
 
     _, df = frame
-    states = op.least_squares_state(df, "y", ["a", "b", "c"], by="group")
+    states = op.least_squares_state(df, "load", ["width", "depth", "height"], by="shop")
     write_states(states, str(tmp_path / "s"))
     assert read_merged(spark, str(tmp_path / "s"), "least_squares").count() == 1
     assert all(len(r["state"]) < 400 for r in states.collect())
-    cov = op.covariance_state(df, ["a", "b"], by="group")
+    cov = op.covariance_state(df, ["width", "depth"], by="shop")
     fails(lambda: op.finalise_least_squares(cov).collect(), "least-squares state, but a covariance")
-    fails(lambda: op.merge_least_squares_states(states.union(op.least_squares_state(df, "y", ["a", "b"], by="group"))).collect(), "different columns")
+    fails(lambda: op.merge_least_squares_states(states.union(op.least_squares_state(df, "load", ["width", "depth"], by="shop"))).collect(), "different columns")
     fails(lambda: op.finalise_covariance(cov.withColumn("state", F.expr("substring(state, 1, 60)"))).collect(), "truncated")
     fails(lambda: op.finalise_covariance(spark.createDataFrame([(bytearray(b"certainly not a state"),)], "state binary")).collect(), "not a state")
     none = spark.createDataFrame([(None,)], "state binary")
     fails(lambda: op.merge_covariance_states(none).collect(), "null")
     assert op.merge_covariance_states(cov.select("state").union(none)).count() == 1
-    fails(lambda: op.least_squares_state(df.withColumn("w", F.when(F.col("group") == 1, 0.0).otherwise(1.0)), "y", "a", by="group", weights="w").collect(), "no observation carries any weight")
+    fails(lambda: op.least_squares_state(df.withColumn("w", F.when(F.col("shop") == 1, 0.0).otherwise(1.0)), "load", "width", by="shop", weights="w").collect(), "no observation carries any weight")
 
 
 def test_plans_are_partial_and_native(frame):
     _, df = frame
-    plan = op.covariance(df, ["a", "b"], by="group")._jdf.queryExecution().executedPlan().toString()
+    plan = op.covariance(df, ["width", "depth"], by="shop")._jdf.queryExecution().executedPlan().toString()
     assert "partial_covar_pop" in plan and "Arrow" not in plan
-    plan = op.least_squares(df, "y", "a", by="group")._jdf.queryExecution().executedPlan().toString()
+    plan = op.least_squares(df, "load", "width", by="shop")._jdf.queryExecution().executedPlan().toString()
     assert plan.index("FlatMapGroupsInArrow") < plan.index("MapInArrow")
 
 
@@ -220,12 +236,12 @@ def test_streamed_states(spark, frame, tmp_path):
     from ortholake.streaming.states import stream_covariance_states
 
     data, df = frame
-    df.select("a", "b").repartition(3).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("a double, b double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = stream_covariance_states(stream, ["a", "b"], str(tmp_path / "out"), str(tmp_path / "check"), availableNow=True)
+    df.select("width", "depth").repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("width double, depth double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = stream_covariance_states(stream, ["width", "depth"], str(tmp_path / "out"), str(tmp_path / "check"), availableNow=True)
     query.awaitTermination()
     got = op.finalise_covariance(read_merged(spark, str(tmp_path / "out"), "covariance"), out="m").select("m.*").first()
-    np.testing.assert_allclose(got["covariance"], np.cov(column(data, "a", "b").T), atol=1e-10)
+    np.testing.assert_allclose(got["covariance"], np.cov(column(data, "width", "depth").T), atol=1e-10)
 
 
 def test_sql_and_aggregate_expressions(spark, frame):
@@ -233,15 +249,15 @@ def test_sql_and_aggregate_expressions(spark, frame):
 
     _, df = frame
     sql.register(spark)
-    op.least_squares_state(df, "y", ["a", "b"], by=["group", "part"], intercept=True).createOrReplaceTempView("states")
-    found = spark.sql("select group, finalise_least_squares(merge_least_squares_states(state)) as fit from states group by group").orderBy("group").collect()
-    want = op.least_squares(df, "y", ["a", "b"], by="group", intercept=True).orderBy("group").collect()
-    other = df.groupBy("group").agg(sql.least_squares(["y"], ["a", "b"], intercept=True).alias("fit"), sql.covariance(["a", "b"], weights="weight").alias("cov"), sql.pca(["a", "b"]).alias("pca")).orderBy("group").collect()
-    cov = op.covariance(df, ["a", "b"], by="group", weights="weight", out="cov").orderBy("group").collect()
-    pca = op.pca(df, ["a", "b"], by="group").orderBy("group").collect()
+    op.least_squares_state(df, "load", ["width", "depth"], by=["shop", "part"], intercept=True).createOrReplaceTempView("states")
+    found = spark.sql("select shop, finalise_least_squares(merge_least_squares_states(state)) as fit from states group by shop").orderBy("shop").collect()
+    want = op.least_squares(df, "load", ["width", "depth"], by="shop", intercept=True).orderBy("shop").collect()
+    other = df.groupBy("shop").agg(sql.least_squares(["load"], ["width", "depth"], intercept=True).alias("fit"), sql.covariance(["width", "depth"], weights="mass").alias("cov"), sql.pca(["width", "depth"]).alias("pca")).orderBy("shop").collect()
+    cov = op.covariance(df, ["width", "depth"], by="shop", weights="mass", out="cov").orderBy("shop").collect()
+    pca = op.pca(df, ["width", "depth"], by="shop").orderBy("shop").collect()
     for f, w, o, c, p in zip(found, want, other, cov, pca, strict=True):
         np.testing.assert_allclose(f["fit"]["coefficients"], w["fit"]["coefficients"], atol=1e-9)
         np.testing.assert_allclose(o["fit"]["coefficients"], w["fit"]["coefficients"], atol=1e-9)
         np.testing.assert_allclose(o["cov"]["covariance"], c["cov"]["covariance"], atol=1e-10)
         np.testing.assert_allclose(o["pca"]["components"], p["pca"]["components"], atol=1e-8)
-    fails(lambda: df.withColumn("a", F.lit(None).cast("double")).groupBy("group").agg(sql.covariance(["a", "b"])).collect(), "'a'", "null or non-finite")
+    fails(lambda: df.withColumn("width", F.lit(None).cast("double")).groupBy("shop").agg(sql.covariance(["width", "depth"])).collect(), "'width'", "null or non-finite")
