@@ -48,6 +48,33 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_documents(spark, sf_dir), links=True).select("doc_id", "n_shingles", "component_id", "class_id", "class_size", "n_links")
 
 
+OP3_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), member AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)
+), size AS (
+  SELECT doc_id, count(*) AS n FROM member GROUP BY doc_id
+), pair AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM member a JOIN member b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), link AS (
+  SELECT a, b, k = x.n AND k = y.n AS same FROM pair JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b
+  WHERE 100 * k >= 80 * (x.n + y.n - k)
+), linked AS (
+  SELECT a AS doc_id, count(*) AS n_links, count(*) FILTER (same) AS n_same, min(b) FILTER (same) AS least FROM link GROUP BY a
+), reached AS (
+  SELECT doc_id, doc_id AS c FROM documents UNION SELECT link.b, c FROM reached JOIN link ON link.a = reached.doc_id
+), component AS (
+  SELECT doc_id, min(c) AS c FROM reached GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c AS component_id, least(d.doc_id, coalesce(least, d.doc_id)) AS class_id,
+       CAST(1 + coalesce(n_same, 0) AS BIGINT) AS class_size, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links
+FROM d JOIN component USING (doc_id) LEFT JOIN size USING (doc_id) LEFT JOIN linked USING (doc_id)
+"""
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ortholake.llm.quality_rules import quality
 
@@ -113,6 +140,33 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_documents(spark, sf_dir)).drop("starts", "ends")
 
 
+OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, CAST(len(hex(encode(coalesce(text, '')))) // 2 AS BIGINT) AS n FROM documents
+), place AS (
+  SELECT doc_id, c + i AS i, substr(y, 2 * i + 1, 100) AS s
+  FROM (SELECT doc_id, c, y, unnest(range(least(500, n - 49 - c))) AS i FROM (
+    SELECT doc_id, n, c, substr(x, 2 * c + 1, 1098) AS y FROM (SELECT *, unnest(range(0, n - 49, 500)) AS c FROM d WHERE n >= 50)))
+), first AS (
+  SELECT s, min(doc_id) AS least FROM place GROUP BY s HAVING min(doc_id) < max(doc_id)
+), hit AS (
+  SELECT doc_id, i FROM place JOIN first USING (s) WHERE doc_id > least
+), begun AS (
+  SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM hit
+), run AS (
+  SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM begun
+), span AS (
+  SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM run GROUP BY doc_id, r
+), cut AS (
+  SELECT doc_id, count(*) AS k, sum(b - a) AS gone, list_concat([0], list(b ORDER BY a)) AS after, list(a ORDER BY a) AS before FROM span GROUP BY doc_id
+)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(k, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN k IS NULL THEN x ELSE array_to_string(list_transform(range(1, k + 2),
+         lambda j: substr(x, 2 * after[j] + 1, 2 * (coalesce(before[j], n) - after[j]))), '') END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ortholake.llm.line_dedup import dedup_lines
 
@@ -179,4 +233,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the rows of the queries that SQL can express."""
-    return {"op4_quality_rules": OP4_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op3_ngram_jaccard_join": OP3_SQL, "op4_quality_rules": OP4_SQL, "op8_suffix_dedup": OP8_SQL, "op9_line_dedup": OP9_SQL}

@@ -6,8 +6,8 @@ having to be sorted, or to be moved, at all:
 
 1. Each window belongs to its anchor, the gram of ``gram`` bytes in it whose hash is least: equal windows have equal
    anchors, and neighbouring windows share one, so that a text has an anchor for about every dozen bytes. Anchors go to
-   reducers, packed by hash range (the first digit): 9 bytes for the anchor and for its context, the bytes of all its
-   windows. What a slice of texts has twice goes once.
+   reducers, packed by hash range (the first digit): 12 bytes for the anchor and for its context, the bytes of all its
+   windows (a hash of 64 bits, among equal anchors only). What a slice of texts has twice goes once.
 2. An anchor found in one document only is done. Where a smaller document has the anchor with the same context, all of
    its windows are repeated, and done too. Just the contexts that differ though their anchors are equal go on.
 3. The bytes of these go to the reducers of their anchors, and their windows are sorted by digits of 8 bytes. A group
@@ -45,7 +45,7 @@ PLACE = np.uint64((1 << 22) - 1)
 #: Marks an anchor whose contexts are dealt out window by window.
 HOT_BIT = np.uint64(1 << 63)
 
-SENT = np.dtype([("key", "<u4"), ("low", "<u4"), ("high", "u1")])
+SENT = np.dtype([("key", "<u4"), ("context", "<u8")])
 FOUND = "doc_id long, h long, starts binary, ends binary, places binary, spans binary, keys binary"
 CONTEXTS = "part int, keys binary, docs binary, hashes binary, places binary, sizes binary, data binary, starts binary, ends binary"
 CUT = "doc_id long, h long, starts binary, ends binary"
@@ -129,7 +129,7 @@ def _send(df: DataFrame, depth: int, gram: int, parts: int) -> DataFrame:
                 repeated[order] = doc[order] > leader
                 keep = np.flatnonzero(~repeated)
                 sent = np.empty(len(keep), SENT)
-                sent["key"], sent["low"], sent["high"] = key[keep] >> np.uint64(32), context[keep] & np.uint64(0xFFFFFFFF), context[keep] >> np.uint64(56)
+                sent["key"], sent["context"] = key[keep] >> np.uint64(32), context[keep]
                 rows = []
                 for p, at in by_part(key[keep] << np.uint64(32), parts):
                     at_rows = row[keep[at]]
@@ -169,10 +169,8 @@ def _classify(hot_contexts: int):
             order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
             full, need, hot = np.zeros(len(every), bool), np.zeros(len(every), bool), np.zeros(len(every), bool)
             if len(order):
-                context = every["low"][order].astype(np.uint64) | (every["high"][order].astype(np.uint64) << np.uint64(32))
-                order = order[np.lexsort((doc[order], context, keys[order]))]
-                k, d = keys[order], doc[order]
-                context = every["low"][order].astype(np.uint64) | (every["high"][order].astype(np.uint64) << np.uint64(32))
+                order = order[np.lexsort((doc[order], every["context"][order], keys[order]))]
+                k, d, context = keys[order], doc[order], every["context"][order]
                 new_key = np.concatenate([[True], np.diff(k) != 0])
                 new_context = new_key | np.concatenate([[True], np.diff(context) != 0])
                 key_at, key_no = np.flatnonzero(new_key), np.cumsum(new_key) - 1
