@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from ortholake.llm._store import materialize
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+#: Edges that a task of a step gets, about.
+EDGES_A_TASK = 500_000
 
 
-#: Edges that one task takes whole; beyond, steps over all tasks.
-ONE_TASK = 2_000_000
+def _written(edges: DataFrame, n: int) -> tuple[DataFrame, tuple]:
+    """``edges`` in as many files as ``n`` of them ask for, and what they add up to."""
+    edges = materialize(edges.coalesce(max(1, n // EDGES_A_TASK)), "edges")
+    return edges, tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
 def components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,32 +50,25 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b: long): root is the smallest node that it is connected with.
 
-    Up to ``ONE_TASK`` edges go to one task. More are contracted within each task, and then large-star and small-star
-    steps go in turn over all of them: each keeps at most one row per edge, so the table never outgrows the input, and
-    the number of rounds grows with the logarithm of the longest path. Each round is written, which cuts its lineage.
+    Edges are contracted within each task, then large-star and small-star steps go in turn over all of them: each keeps
+    at most one row per edge, so the table never outgrows the input, and the number of rounds grows with the logarithm
+    of the longest path. Each step is written, which cuts its lineage, in as many files as its edges ask for.
     """
-    edges = materialize(edges.where(F.col("a") != F.col("b")).select("a", "b"), "edges")
-    schema = "a long, b long"
-    if edges.count() <= ONE_TASK:
-        return materialize(edges.coalesce(1).mapInArrow(_contracted, schema).toDF("node", "root"), "roots")
-    return star_components(edges.mapInArrow(_contracted, schema))
-
-
-def star_components(edges: DataFrame) -> DataFrame:
-    """``connected_components`` by steps over all tasks."""
-    edges = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = materialize(edges, "edges")
-    state = _state(edges)
+    edges = edges.where(F.col("a") != F.col("b")).select("a", "b").mapInArrow(_contracted, "a long, b long")
+    edges = materialize(edges.where(F.col("a") != F.col("b")), "edges")
+    n = edges.count()
+    # a contracted edge goes from a node to a smaller one
+    edges, state = _written(edges.distinct(), n)
     while state[0]:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = materialize(large.where(F.col("a") != F.col("b")).distinct(), "edges")
+        large, _ = _written(large.where(F.col("a") != F.col("b")), state[0])
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        edges = materialize(small.distinct(), "edges")
-        before, state = state, _state(edges)
+        before = state
+        edges, state = _written(small.distinct(), state[0])
         if state == before:
             break
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

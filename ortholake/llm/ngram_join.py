@@ -2,9 +2,9 @@
 
 Exact, by signature trees over candidates that no pair at the threshold can escape:
 
-1. Each task turns its texts into sets of 64-bit shingle hashes, and sends them, packed by hash range, to reducers
-   that count in how many documents each shingle lies. What comes back to each batch is only the shingles found
-   elsewhere too. Ordered from rare to frequent, two linked sets share one of their first ``size - need + 1`` members
+1. Each task turns its texts into sets of 64-bit shingle hashes, and sends them, packed by hash range and each once for
+   a slice of texts, to reducers that count in how many documents each shingle lies. What comes back to each slice is
+   only the shingles found elsewhere too. Ordered from rare to frequent, two linked sets share one of their first ``size - need + 1`` members
    (need: the overlap that the threshold asks for); a set in which all of these are found nowhere else is done.
 2. Equal sets become one node. Nodes with a shared prefix member are joined to the smallest node of that member (a row
    each, no pairs), and the connected components of that are the clusters: linked nodes never lie in two clusters.
@@ -84,7 +84,11 @@ def _send(df: DataFrame, width: int, parts: int) -> DataFrame:
                 own = [k for k, d in enumerate(digests) if first.setdefault(d, k) == k]
                 members = np.concatenate([sets[k] for k in own])
                 doc = np.repeat(np.array(own, np.int64), [len(sets[k]) for k in own])
-                rows = [(p, g, 0, members[at].tobytes(), squeeze(doc[at]), None) for p, at in by_part(members, parts)]
+                order = np.argsort(members, kind="stable")
+                members, doc = members[order], doc[order]
+                begin = np.flatnonzero(np.concatenate([[True], np.diff(members) != 0])[: len(members)])
+                held = np.diff(np.append(begin, len(members)))
+                rows = [(p, g, 0, members[begin[at]].tobytes(), squeeze(doc[ragged(begin[at], held[at])]), squeeze(held[at])) for p, at in by_part(members[begin], parts)]
                 meta = pa.table({"doc_id": ids.slice(i, j - i).cast(pa.int64()), "n": pa.array([len(x) for x in sets], pa.int64()), "digest": pa.array(digests, pa.binary(16))})
                 rows.append((g % parts, g, 1, table_bytes(meta), None, None))
                 yield rows_of(PACKED_ARROW, rows)
@@ -100,17 +104,19 @@ def _count(table: pa.Table) -> pa.Table:
     out = [(0, r["g"], 1, r["a"], None, None) for r in rows if r["kind"] == 1]
     if sent:
         members = np.concatenate([np.frombuffer(r["a"], np.uint64) for r in sent])
+        held = np.concatenate([unsqueeze(r["c"]) for r in sent])
         order = np.argsort(members)
-        new = np.concatenate([[True], np.diff(members[order]) != 0])
-        sizes = np.diff(np.append(np.flatnonzero(new), len(members)))
+        begin = np.flatnonzero(np.concatenate([[True], np.diff(members[order]) != 0]))
         found = np.empty(len(members), np.int64)
-        found[order] = np.repeat(sizes, sizes)
+        found[order] = np.repeat(np.add.reduceat(held[order], begin), np.diff(np.append(begin, len(members))))
         at = 0
         for r in sent:
             own = slice(at, at + len(r["a"]) // 8)
             at = own.stop
             if (more := found[own] > 1).any():
-                out.append((0, r["g"], 0, members[own][more].tobytes(), squeeze(unsqueeze(r["b"])[more]), found[own][more].astype(np.int32).tobytes()))
+                docs = squeeze(unsqueeze(r["b"])[np.repeat(more, held[own])])
+                counts = np.stack([held[own][more], found[own][more]]).astype(np.int32)
+                out.append((0, r["g"], 0, members[own][more].tobytes(), docs, counts.tobytes()))
     return pa.Table.from_batches([rows_of(PACKED_ARROW, out)] if out else [], schema=PACKED_ARROW)
 
 
@@ -123,9 +129,10 @@ def _gather(percent: int):
         rows = table.to_pylist()
         meta = bytes_table(next(r["a"] for r in rows if r["kind"] == 1))
         came = [r for r in rows if r["kind"] == 0]
-        members = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["a"], np.uint64) for r in came)])
+        counts = [np.frombuffer(r["c"], np.int32).reshape(2, -1) for r in came]
+        members = np.concatenate([np.zeros(0, np.uint64), *(np.repeat(np.frombuffer(r["a"], np.uint64), held) for r, (held, _) in zip(came, counts, strict=True))])
         doc = np.concatenate([np.zeros(0, np.int64), *(unsqueeze(r["b"]) for r in came)])
-        found = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(r["c"], np.int32) for r in came)])
+        found = np.concatenate([np.zeros(0, np.int32), *(np.repeat(found, held) for held, found in counts)])
         order = np.lexsort((members, found, doc))
         members, doc = members[order], doc[order]
         sizes = meta["n"].to_numpy()
