@@ -2,6 +2,10 @@
 
 Each stage takes every document that the one before it kept, and its decisions take effect in what it returns. All
 stages but the last return the columns of ``documents``; ``n_chars`` follows the text where a stage changes it.
+
+Defined results, for all stages: rows without an id are judged by the rules and packed, and the stages between them that
+compare documents leave them as they are; rows without text go in the first stage; columns that ``documents`` doesn't
+have go too; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,13 +30,15 @@ def _rewritten(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go. Each row is judged by itself, so repeated rows stay or go together."""
     return kept_documents(docs, "v1").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier line nearly equals go."""
-    return _rewritten(dedup_lines(docs, carry=("lang", "source")))
+    """Lines of ten characters or more that an earlier line nearly equals go; shorter ones, which give a text its form
+    (headings, brackets, numbers), stay. Lines of rows with the same id and line number aren't earlier than one another,
+    so repeated rows keep theirs. A document without a line left goes."""
+    return _rewritten(dedup_lines(docs, min_chars=10, carry=("lang", "source")))
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,12 +52,13 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 bytes or more that a smaller document has too go."""
+    """Passages of 50 bytes or more that a document of a smaller id has too go; rows that share an id don't count as each
+    other's. Bytes of a character that was cut in two go with it. A document without a byte left goes."""
     return _rewritten(remove_repeats(docs, keep_text=True, carry=("lang", "source")))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of at most 2048 ids."""
+    """A row for each piece of a document: token sequences of at most 2048 ids; repeated rows are packed each."""
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=0)
