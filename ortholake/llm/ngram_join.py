@@ -88,6 +88,8 @@ def _send(df: DataFrame, width: int, parts: int) -> DataFrame:
                 members, doc = members[order], doc[order]
                 begin = np.flatnonzero(np.concatenate([[True], np.diff(members) != 0])[: len(members)])
                 held = np.diff(np.append(begin, len(members)))
+                order = np.argsort(doc[begin], kind="stable")  # texts in turn take the least room
+                begin, held = begin[order], held[order]
                 rows = [(p, g, 0, members[begin[at]].tobytes(), squeeze(doc[ragged(begin[at], held[at])]), squeeze(held[at])) for p, at in by_part(members[begin], parts)]
                 meta = pa.table({"doc_id": ids.slice(i, j - i).cast(pa.int64()), "n": pa.array([len(x) for x in sets], pa.int64()), "digest": pa.array(digests, pa.binary(16))})
                 rows.append((g % parts, g, 1, table_bytes(meta), None, None))

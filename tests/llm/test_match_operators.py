@@ -372,26 +372,77 @@ def test_probing_finds_every_code_in_the_radius():
 # Pipeline
 
 
-def test_pipeline(spark, documents, odd, empty, tmp_path):
-    import corpus_pipeline
+def packed_pieces(rows):
+    import zlib
+    from collections import Counter
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
 
-    docs = documents
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before = {r["doc_id"] for r in docs.collect()}
-        docs = stage(spark, docs, "")
-        assert docs.columns == documents.columns, name
-        docs.write.parquet(str(tmp_path / name))
-        docs = spark.read.parquet(str(tmp_path / name))
-        after = [r["doc_id"] for r in docs.collect()]
-        assert set(after) <= before and len(after) == len(set(after))
-    documents.write.parquet(str(tmp_path / "in" / "documents.parquet"))
-    packed = corpus_pipeline.run(spark, str(tmp_path / "in"))
-    assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == set(after)
-    for df in (odd, empty):
-        rest = df
-        for _, stage in corpus_pipeline.STAGES:
-            rest = stage(spark, rest, "")
-        assert rest.count() >= 0
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    out = Counter()
+    for i, t in rows:
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        for n, start in enumerate(range(0, len(ids), 2048)):
+            out[i, n, start, zlib.crc32(ids[start : start + 2048].tobytes())] += 1
+    return out
+
+
+def brute_pipeline(rows, stages):
+    """(id, text) after each of the stages between the first and the last; rows are what the first keeps."""
+    rows = [(i, t) for i, t in dedup(rows, least=10) if t]
+    stages.append(rows)
+    known = [(i, t) for i, t in rows if i]
+    first = components(known)
+    rows = [(i, t) for i, t in rows if not i or first[i] == i]
+    stages.append(rows)
+    least, out = {}, []
+    for i, t in sorted(((i, t.encode()) for i, t in rows if i), key=lambda x: x[0]):
+        for k in range(len(t) - 49):
+            least.setdefault(t[k : k + 50], i)
+    for i, t in rows:
+        data, gone = t.encode(), bytearray(len(t.encode()))
+        for k in range(len(data) - 49):
+            if i and least[data[k : k + 50]] < i:
+                gone[k : k + 50] = b"\1" * 50
+        out.append((i, bytes(b for b, g in zip(data, gone, strict=True) if not g).decode(errors="ignore")))
+    stages.append([(i, t) for i, t in out if t])
+    return stages
+
+
+def test_pipeline_equals_brute_force(spark, odd, odd_rows, empty, tmp_path):
+    """Ids of 0 stand for null ones in the brute-force version."""
+    import corpus_pipeline
+    from ortholake.llm.quality_rules import quality
+
+    r = random.Random(21)
+    passages = [prose(900 + i, 30) for i in range(4)]
+    texts = [*near_copies(31, 12, 90, 4), *("\n".join(r.choice([prose(r.randrange(10**6), 14), r.choice(passages), "all rights are reserved here", f"page {r.randrange(9)} of the whole"]) for _ in range(5)) for _ in range(60)), "a b", None, ""]
+    made = spark.createDataFrame([(i + 1, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    for k, df in enumerate((made, odd.select("doc_id", "text", "lang", "source", "n_chars"))):
+        path = str(tmp_path / str(k))
+        df.write.parquet(f"{path}/documents.parquet")
+        docs = spark.read.parquet(f"{path}/documents.parquet")
+        kept = corpus_pipeline.quality_rules(spark, docs, path)
+        rows = [(x["doc_id"] or 0, x["text"]) for x in kept.collect()]
+        want = [x for x in quality(docs).where("kept").select("doc_id").collect()]
+        assert sorted(i for i, _ in rows) == sorted(x["doc_id"] or 0 for x in want) and rows
+        stages = brute_pipeline([(i or None, t) for i, t in rows], [])
+        for (_, stage), expected in zip(corpus_pipeline.STAGES[1:-1], stages, strict=True):
+            kept = stage(spark, kept, path)
+            assert kept.columns == docs.columns
+            got = kept.collect()
+            assert sorted((x["doc_id"] or 0, x["text"]) for x in got) == sorted(expected)
+            assert all(x["n_chars"] == len(x["text"]) or stage is corpus_pipeline.ngram_jaccard for x in got)
+        pieces = corpus_pipeline.run(spark, path).collect()
+        got = defaultdict(int)
+        for x in pieces:
+            got[x["doc_id"] or 0, x["piece"], x["start"], x["ids_crc32"]] += 1
+        assert got == packed_pieces(stages[-1])
+    rest = empty
+    for _, stage in corpus_pipeline.STAGES:
+        rest = stage(spark, rest, "")
+    assert rest.count() == 0
 
 
 def test_near_duplicates_go_and_rows_without_id_stay(spark, odd, odd_rows):
