@@ -116,8 +116,12 @@ class WordCache:
         return self.ids[ragged(self.starts[number], lengths)], ends[at]
 
 
+#: Words and white space of several kinds, to see whether a tokenizer takes words apart from one another.
+PROBE = "The quick  brown\tfox\njumps \r\nover 42 lazy dogs, d'accord; Ünï 漢字 a\x0bb\x0cc"
+
+
 class WordIds(WordCache):
-    """Ids by a tokenizer that never joins text across white space."""
+    """Ids by a tokenizer: word by word where it never joins text across white space, else of whole texts."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -129,6 +133,10 @@ class WordIds(WordCache):
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if suffix and token.endswith(suffix)]] = True
+        self.apart = all(self._ids(x) == [i for w in split_words(pa.array([x], pa.large_string()))[2].to_pylist() for i in self._ids(w)] for x in (PROBE, f" {PROBE} "))
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
         """(lengths, ids) of words of letters, encoded as one text: each is one run that ends where a word ends.
@@ -156,7 +164,11 @@ class WordIds(WordCache):
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts together, and where each text begins."""
-        return self.ids_of(*split_words(texts))
+        if self.apart:
+            return self.ids_of(*split_words(texts))
+        each = [self._ids(x.as_py()) for x in texts]
+        ends = np.cumsum([0, *map(len, each)])
+        return np.fromiter(chain.from_iterable(each), np.uint32, int(ends[-1])), ends
 
 
 def tidy() -> None:

@@ -409,6 +409,23 @@ def test_packing(documents, odd, empty):
     assert pack(empty, path).count() == 0
 
 
+def test_tokenizers_that_join_words_get_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    from ortholake.llm._text import WordIds
+
+    assert WordIds(public_tokenizers.path("word_bpe_49k.json")).apart
+    letters = sorted(pre_tokenizers.ByteLevel.alphabet())
+    vocab = {x: i for i, x in enumerate([*letters, "Ġa", "Ġb"])}
+    other = Tokenizer(models.BPE(vocab, [("Ġ", "a"), ("Ġ", "b")]))
+    other.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    other.save(str(tmp_path / "t.json"))
+    words = WordIds(str(tmp_path / "t.json"))
+    texts = ["a b  c\na", "", " b", "é a"]
+    ids, at = words.encode(pa.array(texts, pa.large_string()))
+    assert not words.apart and [ids[i:j].tolist() for i, j in zip(at[:-1], at[1:], strict=True)] == [other.encode(t).ids for t in texts]
+
+
 def test_words_are_found_as_bytes_part_them():
     from ortholake.llm._text import slices, split_words
 
