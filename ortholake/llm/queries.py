@@ -33,11 +33,15 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ortholake.llm.sentencepiece_codec import decode, encode
 
     model = _vocabulary("piece_bpe_32k.model")
-    coded = decode(encode(_documents(spark, sf_dir), model), model)
-    return coded.select(
+    coded = encode(_documents(spark, sf_dir), model, best=True)
+    best = F.size("best_ids").cast("long").alias("n_best"), "best_crc32", "best_score"
+    return decode(coded.select("doc_id", "text", "ids", "ids_crc32", *best), model).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_ids"),
         "ids_crc32",
+        "n_best",
+        "best_crc32",
+        "best_score",
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
     )
 

@@ -9,12 +9,15 @@ and each relaxes the best segmentation that ends there:
   candidate is admissible at each place, and the ids are those of merging without a merge being done over the text.
   What a pair gives is found once and kept.
 
+``encode(best=True)`` relaxes scores for BPE models as well and adds that segmentation beside the ids of merging.
+
 No piece holds a space mark after another character, so a text falls into words that are encoded apart, each distinct
 one once. Characters without a piece become bytes where the model has these, else the unknown id.
 
 Defined results: a null or empty text has no ids, and no ids decode to an empty text; a null list of ids counts as an
 empty one, ids that are null or that the model doesn't have are left out; null ids of documents stay; repeated rows are
-encoded each; an empty table gives no rows; other columns are not looked at.
+encoded each; an empty table gives no rows; other columns are not looked at. Of segmentations with the same score the
+one stays whose last piece comes first through the output links, the longest; a text without ids has score 0.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import ahocorasick
 import numpy as np
@@ -71,9 +75,10 @@ def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
 class Codec(WordCache):
     """A model's pieces with their scores, as an encoder and a decoder."""
 
-    def __init__(self, pieces: list[tuple[str, float, int]], kind: int, add_prefix: bool = True, collapse: bool = False):
-        super().__init__(2_000_000, 16_000_000)
+    def __init__(self, pieces: list[tuple[str, float, int]], kind: int, add_prefix: bool = True, collapse: bool = False, most_words: int = 2_000_000):
+        super().__init__(most_words, 8 * most_words)
         self.kind, self.add_prefix, self.collapse = kind, add_prefix, collapse
+        self.scores = np.array([s for _, s, _ in pieces], np.float64)
         self.score = {p: s for p, s, t in pieces if t == NORMAL}
         self.id = {p: i for i, (p, _, t) in enumerate(pieces) if t == NORMAL}
         self.byte_ids = [i for i, (_, _, t) in enumerate(pieces) if t == BYTE]
@@ -99,7 +104,8 @@ class Codec(WordCache):
         self.byte_starts = np.cumsum(self.byte_lengths) - self.byte_lengths
 
     @classmethod
-    def load(cls, path: str) -> Codec:
+    def load(cls, path: str, best: bool = False) -> Codec:
+        """The codec of a model file; with ``best`` its segmentations are those of the greatest score, whatever its kind."""
         with open(path, "rb") as f:
             model = f.read()
         pieces, kind, prefix, collapse = [], UNIGRAM, True, True
@@ -114,7 +120,7 @@ class Codec(WordCache):
                 if own.get(2) or not own.get(5, 1):
                     raise ValueError("models that rewrite characters are not supported")
                 prefix, collapse = bool(own.get(3, 1)), bool(own.get(4, 1))
-        return cls(pieces, kind, prefix, collapse)
+        return cls(pieces, UNIGRAM, prefix, collapse, 500_000) if best else cls(pieces, kind, prefix, collapse)
 
     def merged(self, text: str) -> list[str]:
         """The pieces of ``text`` by merging its best pair as long as there is one."""
@@ -238,22 +244,42 @@ class Codec(WordCache):
         return [self._text(data[a:b]) for a, b in zip(where[:-1], where[1:], strict=True)]
 
 
-def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, ids, ids_crc32): ids by the model file, their crc32 over little-endian unsigned 32-bit numbers."""
+def _crc32(ids: np.ndarray) -> int:
+    return zlib.crc32(ids.astype("<u4").tobytes())
+
+
+def _lists(ids: np.ndarray, at: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
+
+
+def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", best: bool = False) -> DataFrame:
+    """(doc_id, text, ids, ids_crc32): ids by the model file, their crc32 over little-endian unsigned 32-bit numbers.
+
+    ``best`` adds best_ids, best_crc32 and best_score: the segmentation with the greatest sum of the pieces' scores (which
+    for unigram models is that of the ids), and the sum of the scores that the model has for its ids.
+    """
+    schema = "doc_id long, text string, ids array<int>, ids_crc32 long" + ", best_ids array<int>, best_crc32 long, best_score double" * best
+    names = StructType.fromDDL(schema).names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = once(Codec.load, model)
+        other = once(Codec.load, model, True) if best else None
         for batch in tidied(batches):
             texts = text_column(batch)
             for i, j in slices(texts, SLICE_BYTES):
-                ids, at = codec.encode(texts.slice(i, j - i).to_pylist())
-                crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
-                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("text").slice(i, j - i), lists, pa.array(crc, pa.int64())], names=["doc_id", "text", "ids", "ids_crc32"])
+                own = texts.slice(i, j - i).to_pylist()
+                ids, at = codec.encode(own)
+                columns = [batch.column("doc_id").slice(i, j - i), batch.column("text").slice(i, j - i)]
+                columns += [_lists(ids, at), pa.array([_crc32(ids[a:b]) for a, b in pairwise(at)], pa.int64())]
+                if other:
+                    ids, at = other.encode(own)
+                    score = [float(other.scores[ids[a:b]].sum()) for a, b in pairwise(at)]
+                    columns += [_lists(ids, at), pa.array([_crc32(ids[a:b]) for a, b in pairwise(at)], pa.int64()), pa.array(score, pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     small_batches(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text string, ids array<int>, ids_crc32 long")
+    return rows.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:

@@ -98,6 +98,27 @@ def test_unigram_segmentation_is_the_best_of_all():
         assert codec.decode(ids.tolist()) == word
 
 
+def test_best_segmentation_of_a_model_by_merges():
+    from ortholake.llm.sentencepiece_codec import SPACE, Codec
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    codec, merging = Codec.load(path, True), Codec.load(path)
+    r = random.Random(11)
+    words = "there is another thing undecided, aaaa  bababa 漢字🙂 interesting\n misunderstandings 1009".split(" ")
+    texts = [" ".join(r.choice(words)[: r.randrange(1, 30)] for _ in range(r.randrange(0, 9))) for _ in range(300)] + ["", "x" * 3000]
+    ids, at = codec.encode(texts)
+    own, own_at = merging.encode(texts)
+    differ = 0
+    for k, text in enumerate(texts):
+        some, merged = ids[at[k] : at[k + 1]], own[own_at[k] : own_at[k + 1]]
+        assert codec.decode(some.tolist()) == text
+        differ += some.tolist() != merged.tolist()
+        if len(text) < 300 and len(set(some.tolist()) & set(codec.byte_ids)) == 0:
+            assert codec.scores[some].sum() == best_score(SPACE + text.replace(" ", SPACE) if text else "", codec.score, codec.least - 10)
+            assert codec.scores[some].sum() >= codec.scores[merged].sum()
+    assert differ
+
+
 def test_sentencepiece_tables(spark, odd, empty):
     from ortholake.llm.sentencepiece_codec import decode, encode
 
@@ -107,7 +128,11 @@ def test_sentencepiece_tables(spark, odd, empty):
     for r in rows:
         assert r["decoded"] == (r["text"] or "").replace("▁", " ")
         assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
-    assert decode(encode(empty, path), path).count() == 0
+    assert decode(encode(empty, path), path).count() == 0 and encode(empty, path, best=True).count() == 0
+    best = rows_of(encode(odd, path, best=True))
+    assert sorted((str(r["doc_id"]), r["ids_crc32"]) for r in best) == sorted((str(r["doc_id"]), r["ids_crc32"]) for r in rows)
+    assert all(r["best_crc32"] == zlib.crc32(np.array(r["best_ids"], "<u4").tobytes()) for r in best)
+    assert all((r["best_score"] == 0 and not r["best_ids"]) for r in best if not r["text"])
     given = spark.createDataFrame([(None,), ([],), ([None, 10**6, 300],)], "ids array<int>")
     assert [r["decoded"] for r in decode(given, path).collect()][:2] == ["", ""]
 
