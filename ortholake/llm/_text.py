@@ -100,8 +100,8 @@ class WordCache:
             self.old, self.young = self._merged(self.old, self.young), tuple(x[:0] for x in self.young)
         return numbers
 
-    def ids_of(self, words: np.ndarray, at: np.ndarray, dictionary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts together, and where each text begins: words by number, where texts begin among them."""
+    def numbers_of(self, words: np.ndarray, dictionary: pa.Array) -> np.ndarray:
+        """The places of words in the cache, by their numbers in the dictionary; what is new is encoded."""
         if len(self.starts) + len(dictionary) > self.most_words or len(self.ids) > self.most_ids:
             self.clear()
         hashes = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w.as_buffer()) for w in dictionary]), [("key", "<u8"), ("check", "<u4"), ("rest", "<u4")])
@@ -110,10 +110,16 @@ class WordCache:
         new = np.flatnonzero(number < 0)
         if len(new):
             number[new] = self._add(dictionary.take(pa.array(new)).to_pylist(), keys[new], checks[new])
-        number = number[words]
-        lengths = self.lengths[number]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        return self.ids[ragged(self.starts[number], lengths)], ends[at]
+        return number[words]
+
+    def gathered(self, starts: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids that words hold from ``starts`` on, one after the other, and where each text begins."""
+        return self.ids[ragged(starts, lengths)], np.concatenate([[0], np.cumsum(lengths)])[at]
+
+    def ids_of(self, words: np.ndarray, at: np.ndarray, dictionary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts together, and where each text begins: words by number, where texts begin among them."""
+        number = self.numbers_of(words, dictionary)
+        return self.gathered(self.starts[number], self.lengths[number], at)
 
 
 #: Words and white space of several kinds, to see whether a tokenizer takes words apart from one another.

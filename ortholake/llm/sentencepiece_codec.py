@@ -72,11 +72,37 @@ def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
             at += size
 
 
+def _traced(last: list[str]) -> list[str]:
+    """The pieces of the segmentation whose last piece at each place is ``last``."""
+    pieces, end = [], len(last) - 1
+    while end:
+        pieces.append(last[end])
+        end -= len(last[end])
+    return pieces[::-1]
+
+
+class _Scored:
+    """The greatest score at each place of a word and the piece that reaches it, while they are being relaxed."""
+
+    def __init__(self, codec: Codec, word: str):
+        self.best, self.last = [0.0] + [-np.inf] * len(word), [""] * (len(word) + 1)
+        self.unknown = codec.least - UNKNOWN_PENALTY
+        #: Characters without a piece of their own, those to come, the last first.
+        self.lone = [] if codec.alone.issuperset(word) else [i for i in reversed(range(len(word))) if word[i] not in codec.alone]
+
+    def pass_lone(self, word: str, to: int) -> None:
+        """Relax by the lone characters before ``to``, once all pieces that end there are in."""
+        while self.lone and self.lone[-1] < to:
+            at = self.lone.pop()
+            if (total := self.best[at] + self.unknown) > self.best[at + 1]:
+                self.best[at + 1], self.last[at + 1] = total, word[at]
+
+
 class Codec(WordCache):
     """A model's pieces with their scores, as an encoder and a decoder."""
 
-    def __init__(self, pieces: list[tuple[str, float, int]], kind: int, add_prefix: bool = True, collapse: bool = False, most_words: int = 2_000_000):
-        super().__init__(most_words, 8 * most_words)
+    def __init__(self, pieces: list[tuple[str, float, int]], kind: int, add_prefix: bool = True, collapse: bool = False):
+        super().__init__(2_000_000, 16_000_000)
         self.kind, self.add_prefix, self.collapse = kind, add_prefix, collapse
         self.scores = np.array([s for _, s, _ in pieces], np.float64)
         self.score = {p: s for p, s, t in pieces if t == NORMAL}
@@ -94,6 +120,7 @@ class Codec(WordCache):
             self.automaton.add_word(p, p)
         if self.score:
             self.automaton.make_automaton()
+        self.alone = {p for p in self.score if len(p) == 1}
         self.least = min(self.score.values(), default=0.0)
         self.stable: dict[str, dict[str, bool]] = {}
         self.n_stable = 0
@@ -105,7 +132,7 @@ class Codec(WordCache):
 
     @classmethod
     def load(cls, path: str, best: bool = False) -> Codec:
-        """The codec of a model file; with ``best`` its segmentations are those of the greatest score, whatever its kind."""
+        """The codec of a model file; with ``best`` one that keeps the best-scored segmentation beside the ids."""
         with open(path, "rb") as f:
             model = f.read()
         pieces, kind, prefix, collapse = [], UNIGRAM, True, True
@@ -120,7 +147,7 @@ class Codec(WordCache):
                 if own.get(2) or not own.get(5, 1):
                     raise ValueError("models that rewrite characters are not supported")
                 prefix, collapse = bool(own.get(3, 1)), bool(own.get(4, 1))
-        return cls(pieces, UNIGRAM, prefix, collapse, 500_000) if best else cls(pieces, kind, prefix, collapse)
+        return (BestCodec if best else cls)(pieces, kind, prefix, collapse)
 
     def merged(self, text: str) -> list[str]:
         """The pieces of ``text`` by merging its best pair as long as there is one."""
@@ -141,18 +168,30 @@ class Codec(WordCache):
         self.stable.setdefault(before, {})[piece] = known
         return known
 
-    def _by_merges(self, word: str) -> list[str]:
-        """``last``: the piece that ends at each place of the segmentation of what comes before it."""
+    def _by_merges(self, word: str, scored: _Scored | None = None) -> list[str]:
+        """``last``: the piece that ends at each place of the segmentation of what comes before it.
+
+        The same pass relaxes ``scored``, if given.
+        """
         last, filled, stable, none = [""] * (len(word) + 1), 0, self.stable, {}
-        for at, piece in self.automaton.iter(word) if self.score else ():
+        score = self.score
+        if scored:
+            best, ends, lone = scored.best, scored.last, scored.lone
+        for at, piece in self.automaton.iter(word) if score else ():
             end = at + 1
+            begin = end - len(piece)
+            if scored:
+                if lone and lone[-1] < at:
+                    scored.pass_lone(word, at)
+                if (total := best[begin] + score[piece]) > best[end]:
+                    best[end], ends[end] = total, piece
             if last[end]:
                 continue
             while filled < at:  # every place before has its piece by now, or is a character without one
                 filled += 1
                 if not last[filled]:
                     last[filled] = word[filled - 1]
-            before = last[end - len(piece)]
+            before = last[begin]
             known = stable.get(before, none).get(piece)
             if known is None:
                 known = self._leaves(before, piece)
@@ -162,49 +201,48 @@ class Codec(WordCache):
         for end in range(filled + 1, len(word) + 1):
             if not last[end]:
                 last[end] = word[end - 1]
+        if scored:
+            scored.pass_lone(word, len(word))
+        return last
+
+    def _by_scores(self, word: str) -> list[str]:
+        """``last``: the last piece of the best-scored segmentation that ends at each place."""
+        scored = _Scored(self, word)
+        best, last, lone, score = scored.best, scored.last, scored.lone, self.score
+        for at, piece in self.automaton.iter(word) if score else ():
+            if lone and lone[-1] < at:
+                scored.pass_lone(word, at)
+            end = at + 1
+            if (total := best[end - len(piece)] + score[piece]) > best[end]:
+                best[end], last[end] = total, piece
+        scored.pass_lone(word, len(word))
         return last
 
     def segment(self, word: str) -> list[str]:
         """The pieces of a word, in one pass."""
-        n = len(word)
-        if self.kind == BPE:
-            last = self._by_merges(word)
-        else:
-            best, last = [0.0] + [-np.inf] * n, [""] * (n + 1)
-            at = 0
-
-            def reach(end: int) -> None:  # a character without a piece of its own, once all pieces that end there are in
-                nonlocal at
-                for e in range(at + 1, end + 1):
-                    if (alone := best[e - 1] + self.least - UNKNOWN_PENALTY) > best[e] and word[e - 1] not in self.score:
-                        best[e], last[e] = alone, word[e - 1]
-                at = max(at, end)
-
-            for end, piece in self.automaton.iter(word) if self.score else ():
-                reach(end)
-                if (total := best[end + 1 - len(piece)] + self.score[piece]) > best[end + 1]:
-                    best[end + 1], last[end + 1] = total, piece
-            reach(n)
-        pieces, end = [], n
-        while end:
-            pieces.append(last[end])
-            end -= len(last[end])
-        return pieces[::-1]
+        return _traced(self._by_merges(word) if self.kind == BPE else self._by_scores(word))
+
+    def _ids(self, pieces: list[str]) -> list[int]:
+        ids = [*map(self.id.get, pieces)]
+        if None not in ids:
+            return ids
+        out, unknown = [], False
+        for piece, known in zip(pieces, ids, strict=True):
+            if known is not None:
+                out.append(known)
+            elif self.byte_ids:
+                out += [self.byte_ids[b] for b in piece.encode()]
+            elif not unknown:
+                out.append(self.unknown)
+            unknown = known is None
+        return out
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         out: list[int] = []
         lengths = np.empty(len(words), np.int64)
         for k, word in enumerate(words):
-            before, unknown = len(out), False
-            for piece in self.segment(word):
-                known = self.id.get(piece)
-                if known is not None:
-                    out.append(known)
-                elif self.byte_ids:
-                    out += [self.byte_ids[b] for b in piece.encode()]
-                elif not unknown:
-                    out.append(self.unknown)
-                unknown = known is None
+            before = len(out)
+            out += self._ids(self.segment(word))
             lengths[k] = len(out) - before
         return np.arange(len(words)), lengths, np.array(out, np.uint32)
 
@@ -214,8 +252,8 @@ class Codec(WordCache):
             text = re.sub(" +", " ", text).strip(" ")
         return (SPACE if self.add_prefix and text else "") + text.replace(" ", SPACE)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts together, and where each text begins."""
+    def _coded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """The texts' words by number, where each text begins among them, and the dictionary."""
         words: list[str] = []
         at = [0]
         for text in texts:
@@ -223,7 +261,11 @@ class Codec(WordCache):
             words += self.words.findall(text) if self.cuts else [text] * bool(text)
             at.append(len(words))
         coded = pa.array(words, pa.large_string()).dictionary_encode()
-        return self.ids_of(coded.indices.to_numpy().astype(np.int64), np.array(at), coded.dictionary)
+        return coded.indices.to_numpy().astype(np.int64), np.array(at), coded.dictionary
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts together, and where each text begins."""
+        return self.ids_of(*self._coded(texts))
 
     def _text(self, data: bytes) -> str:
         text = data.decode(errors="replace").replace(SPACE, " ")
@@ -244,6 +286,39 @@ class Codec(WordCache):
         return [self._text(data[a:b]) for a, b in zip(where[:-1], where[1:], strict=True)]
 
 
+class BestCodec(Codec):
+    """A codec whose cache holds the ids of each word and then those of its best-scored segmentation."""
+
+    def clear(self) -> None:
+        super().clear()
+        self.split = np.zeros(0, np.int64)
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        out: list[int] = []
+        split, lengths = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        for k, word in enumerate(words):
+            if self.kind == BPE:
+                scored = _Scored(self, word)
+                ids, best = self._ids(_traced(self._by_merges(word, scored))), self._ids(_traced(scored.last))
+            else:
+                ids = best = self._ids(self.segment(word))
+            out += ids
+            out += best
+            split[k], lengths[k] = len(ids), len(ids) + len(best)
+        self.split = np.concatenate([self.split, split])
+        return np.arange(len(words)), lengths, np.array(out, np.uint32)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self.encode_both(texts)[0]
+
+    def encode_both(self, texts: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """As ``encode``, of the ids and of the best-scored segmentation."""
+        words, at, dictionary = self._coded(texts)
+        number = self.numbers_of(words, dictionary)
+        starts, split = self.starts[number], self.split[number]
+        return self.gathered(starts, split, at), self.gathered(starts + split, self.lengths[number] - split, at)
+
+
 def _crc32(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
@@ -262,19 +337,16 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
     names = StructType.fromDDL(schema).names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = once(Codec.load, model)
-        other = once(Codec.load, model, True) if best else None
+        codec = once(Codec.load, model, best)
         for batch in tidied(batches):
             texts = text_column(batch)
             for i, j in slices(texts, SLICE_BYTES):
                 own = texts.slice(i, j - i).to_pylist()
-                ids, at = codec.encode(own)
                 columns = [batch.column("doc_id").slice(i, j - i), batch.column("text").slice(i, j - i)]
-                columns += [_lists(ids, at), pa.array([_crc32(ids[a:b]) for a, b in pairwise(at)], pa.int64())]
-                if other:
-                    ids, at = other.encode(own)
-                    score = [float(other.scores[ids[a:b]].sum()) for a, b in pairwise(at)]
-                    columns += [_lists(ids, at), pa.array([_crc32(ids[a:b]) for a, b in pairwise(at)], pa.int64()), pa.array(score, pa.float64())]
+                for ids, at in codec.encode_both(own) if best else (codec.encode(own),):
+                    columns += [_lists(ids, at), pa.array([_crc32(ids[a:b]) for a, b in pairwise(at)], pa.int64())]
+                if best:
+                    columns.append(pa.array([float(codec.scores[ids[a:b]].sum()) for a, b in pairwise(at)], pa.float64()))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     small_batches(df.sparkSession)

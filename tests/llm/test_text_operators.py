@@ -106,8 +106,9 @@ def test_best_segmentation_of_a_model_by_merges():
     r = random.Random(11)
     words = "there is another thing undecided, aaaa  bababa 漢字🙂 interesting\n misunderstandings 1009".split(" ")
     texts = [" ".join(r.choice(words)[: r.randrange(1, 30)] for _ in range(r.randrange(0, 9))) for _ in range(300)] + ["", "x" * 3000]
-    ids, at = codec.encode(texts)
+    (both, both_at), (ids, at) = codec.encode_both(texts)
     own, own_at = merging.encode(texts)
+    assert both.tolist() == own.tolist() and both_at.tolist() == own_at.tolist()
     differ = 0
     for k, text in enumerate(texts):
         some, merged = ids[at[k] : at[k + 1]], own[own_at[k] : own_at[k + 1]]
