@@ -68,7 +68,8 @@ def grams(frame: np.ndarray, begin: int, end: int, order: int) -> np.ndarray:
     padded = np.concatenate([np.full(max(0, order - begin), END, np.uint8), frame[max(0, begin - order) : end]])
     code = np.zeros(end - begin, np.uint64)
     for k in range(order + 1):
-        code = (code << np.uint64(8)) | padded[k : k + end - begin]
+        code <<= np.uint64(8)
+        code |= padded[k : k + end - begin]
     return code
 
 
@@ -171,7 +172,8 @@ def _summed(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np
     """The same of several that are in order each. Grams are sorted with the number of their source below them."""
     if len(counts) > 256:
         return _summed([_summed(counts[k : k + 256]) for k in range(0, len(counts), 256)])
-    keys = np.sort(np.concatenate([(c << np.uint64(8)) | np.uint64(k) for k, (c, _) in enumerate(counts)]))
+    keys = np.concatenate([(c << np.uint64(8)) | np.uint64(k) for k, (c, _) in enumerate(counts)])
+    keys.sort()
     source, n = keys.astype(np.uint8), np.empty(len(keys), np.int64)
     for k, (_, own) in enumerate(counts):
         n[source == k] = own
@@ -181,14 +183,16 @@ def _summed(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np
 
 
 def _distinct(codes: np.ndarray) -> np.ndarray:
-    """Grams in order, each once. Sorting numbers takes a tenth of the time of numpy's table of distinct ones."""
-    codes = np.sort(codes)
+    """Grams in order, each once; the given array is sorted in place. Sorting numbers takes a tenth of the time of numpy's table of distinct ones."""
+    codes.sort()
     return codes[np.concatenate([[True], codes[1:] != codes[:-1]])[: len(codes)]]
 
 
 def _tally(codes: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct grams in order; for each pair of one and a number below 256 in ``of``: which gram, the number, how often."""
-    keys = np.sort((codes << np.uint64(8)) | of)
+    keys = codes << np.uint64(8)
+    keys |= of
+    keys.sort()
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
     times = np.diff(np.append(first, len(keys)))
     keys = keys[first]
