@@ -31,7 +31,7 @@ def _ordered(order_by: Order) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in columns]
 
 
-def _values(column: pa.Array, name: str, policy: str) -> np.ndarray:
+def series_values(column: pa.Array, name: str, policy: str) -> np.ndarray:
     if column.null_count and policy == "raise":
         raise InputError(f"a null value in {name!r}; null_policy='zero' lets it deviate by nothing")
     values = column.to_numpy(zero_copy_only=False).astype(float)
@@ -53,7 +53,7 @@ def _fold(df: DataFrame, value: ColumnArg, order_by: Order, by, p: int, matrix:
             self.moments = seq.Moments(p, matrix)
 
         def step(self, piece: pa.RecordBatch) -> None:
-            self.moments.add(_values(piece.column("_value"), name, policy))
+            self.moments.add(series_values(piece.column("_value"), name, policy))
 
         def summary(self) -> tuple:
             return self.moments.summary()
@@ -67,18 +67,34 @@ def _fold(df: DataFrame, value: ColumnArg, order_by: Order, by, p: int, matrix:
     return (fold_spread if spread else fold_groups)(rows, keys, State, out, result)
 
 
+def check_lag(max_lag: int, least: int) -> int:
+    if isinstance(max_lag, bool) or not isinstance(max_lag, int) or max_lag < least:
+        raise ValueError(f"max_lag must be an integer of {least} or more")
+    return max_lag
+
+
+def lags_row(moments: seq.Moments, name: str, max_lag: int, kind: str, demean: bool, unbiased: bool) -> dict:
+    """The struct of ``autocovariance`` or ``autocorrelation``, by ``kind``."""
+    seq.check_lags(moments.n, max_lag)
+    gamma = moments.autocovariance(demean, unbiased)
+    if kind == "autocorrelation":
+        if not gamma[0] > 0:
+            raise InputError("the series does not move")
+        gamma = gamma / gamma[0]
+    return {"series": name, "lags": list(range(max_lag + 1)), kind: gamma.tolist(), "mean": moments.shift(demean)[0], "n_observations": moments.n}
+
+
+def partial_row(moments: seq.Moments, name: str, max_lag: int, method: str, demean: bool) -> dict:
+    """The struct of ``partial_autocorrelation``."""
+    found = seq.fit(moments, name, max_lag, max_lag, method, demean)
+    return {"series": name, "lags": list(range(1, max_lag + 1)), "partial_autocorrelation": found["partial_autocorrelations"], "n_observations": moments.n}
+
+
 def _lags(df, value, max_lag, order_by, by, demean, unbiased, policy, kind, out, flatten, spread) -> DataFrame:
-    if isinstance(max_lag, bool) or not isinstance(max_lag, int) or max_lag < 0:
-        raise ValueError("max_lag must be an integer of 0 or more")
+    check_lag(max_lag, 0)
 
     def finish(moments: seq.Moments, name: str) -> dict:
-        seq.check_lags(moments.n, max_lag)
-        gamma = moments.autocovariance(demean, unbiased)
-        if kind == "autocorrelation":
-            if not gamma[0] > 0:
-                raise InputError("the series does not move")
-            gamma = gamma / gamma[0]
-        return {"series": name, "lags": list(range(max_lag + 1)), kind: gamma.tolist(), "mean": moments.shift(demean)[0], "n_observations": moments.n}
+        return lags_row(moments, name, max_lag, kind, demean, unbiased)
 
     return flat(_fold(df, value, order_by, by, max_lag, False, policy, finish, schemas.sequence(kind), out, spread), out, flatten)
 
@@ -96,12 +112,10 @@ def autocorrelation(df: DataFrame, value: ColumnArg, *, max_lag: int, order_by:
 def partial_autocorrelation(df: DataFrame, value: ColumnArg, *, max_lag: int, order_by: Order, by: str | Sequence[str] | None = None, method: str = "yule_walker", demean: bool = True, null_policy: str = "raise", out: str = "partial_autocorrelation", flatten: bool = False, spread: bool | None = None) -> DataFrame:
     """One row per group: partial autocorrelations of lags 1 to ``max_lag``."""
     one_of(method, METHODS, "method")
-    if isinstance(max_lag, bool) or not isinstance(max_lag, int) or max_lag < 1:
-        raise ValueError("max_lag must be an integer of 1 or more")
+    check_lag(max_lag, 1)
 
     def finish(moments: seq.Moments, name: str) -> dict:
-        found = seq.fit(moments, name, max_lag, max_lag, method, demean)
-        return {"series": name, "lags": list(range(1, max_lag + 1)), "partial_autocorrelation": found["partial_autocorrelations"], "n_observations": moments.n}
+        return partial_row(moments, name, max_lag, method, demean)
 
     return flat(_fold(df, value, order_by, by, max_lag, method == "burg", null_policy, finish, schemas.PARTIAL, out, spread), out, flatten)
 
@@ -142,7 +156,7 @@ def transform(df: DataFrame, value: ColumnArg, *, order: int | str, order_by: Or
         def step(self, piece: pa.RecordBatch) -> list[pa.Array]:
             phi = np.array(piece.column("_phi")[0].as_py(), float)
             mean = piece.column("_mean")[0].as_py()
-            values = _values(piece.column("_value"), name, null_policy) - mean
+            values = series_values(piece.column("_value"), name, null_policy) - mean
             p = self.order = len(phi)
             joined = np.concatenate([np.full(p - len(self.tail), np.nan), self.tail, values])
             found = np.zeros(len(values))

@@ -170,3 +170,37 @@ def test_a_group_over_many_tasks(spark, series, method, rows):
                 assert a["n_observations"] == b["n_observations"]
             got, want = ([r["residual"] for r in ar.transform(df, "y", order=p, method=method, order_by="i", by=by, null_policy="zero", spread=s).orderBy("i").collect()] for s in (True, False))
             close(got, want, 1e-6)
+
+
+@pytest.mark.parametrize("method", ["yule_walker", "burg"])
+def test_aggregate_expressions(spark, series, method):
+    from ortholake.plans import sql
+
+    rows = [(i // 2, i % 2, float(v) if i % 11 else None, "a" if i % 3 else None) for i, v in enumerate(series[:300])]
+    df = spark.createDataFrame(rows, "i int, j int, y double, k string").repartition(3)
+    order = ["i", "j"]
+    got = df.groupBy("k").agg(
+        sql.autocovariance("y", max_lag=4, order_by=order, null_policy="zero").alias("c"),
+        sql.autocorrelation("y", max_lag=4, order_by=order, null_policy="zero", unbiased=True).alias("r"),
+        sql.partial_autocorrelation("y", max_lag=3, order_by=order, null_policy="zero", method=method).alias("p"),
+        sql.autoregression_fit("y", order="bic", max_order=4, order_by=order, null_policy="zero", method=method).alias("f"),
+    )
+    common = {"order_by": order, "by": "k", "null_policy": "zero", "flatten": True}
+    want = {
+        "c": ar.autocovariance(df, "y", max_lag=4, **common),
+        "r": ar.autocorrelation(df, "y", max_lag=4, unbiased=True, **common),
+        "p": ar.partial_autocorrelation(df, "y", max_lag=3, method=method, **common),
+        "f": ar.fit(df, "y", order="bic", max_order=4, method=method, **common),
+    }
+    got = {r["k"]: r for r in got.collect()}
+    field = {"c": "autocovariance", "r": "autocorrelation", "p": "partial_autocorrelation", "f": "coefficients"}
+    for out, rows in want.items():
+        rows = rows.collect()
+        assert {r["k"] for r in rows} == got.keys() == {"a", None}
+        for r in rows:
+            np.testing.assert_allclose(got[r["k"]][out][field[out]], r[field[out]], atol=1e-9)
+            assert got[r["k"]][out]["n_observations"] == r["n_observations"]
+    fails(lambda: df.groupBy("k").agg(sql.autocovariance("y", max_lag=1, order_by="i")).collect(), "'y'", "null")
+    fails(lambda: df.groupBy("k").agg(sql.autocovariance("i", max_lag=1, order_by=["j"], null_policy="zero"), sql.autocovariance("k", max_lag=1, order_by="j")).collect(), "'k'", "not numeric")
+    with pytest.raises(ValueError, match="order_by"):
+        sql.autocovariance("y", max_lag=1, order_by=[])

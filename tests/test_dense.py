@@ -261,3 +261,46 @@ def test_sql_and_aggregate_expressions(spark, frame):
         np.testing.assert_allclose(o["cov"]["covariance"], c["cov"]["covariance"], atol=1e-10)
         np.testing.assert_allclose(o["pca"]["components"], p["pca"]["components"], atol=1e-8)
     fails(lambda: df.withColumn("width", F.lit(None).cast("double")).groupBy("shop").agg(sql.covariance(["width", "depth"])).collect(), "'width'", "null or non-finite")
+
+
+def test_aggregate_expressions_equal_the_operators(spark, frame):
+    from pyspark.sql import Window
+
+    from ortholake.plans import sql
+
+    _, df = frame
+    features = ["width", "depth"]
+    made = df.groupBy("shop").agg(
+        sql.correlation(features).alias("r"),
+        sql.least_squares_state(["load"], features, weights="mass", intercept=True).alias("state"),
+        sql.covariance_state(features).alias("moments"),
+    )
+    pairs = [
+        (made.select("shop", F.col("r.correlation").alias("x")), op.correlation(df, features, by="shop", out="r").select("shop", F.col("r.correlation").alias("x"))),
+        (op.finalise_least_squares(made).select("shop", F.col("fit.coefficients").alias("x")), op.least_squares(df, "load", features, by="shop", weights="mass", intercept=True).select("shop", F.col("fit.coefficients").alias("x"))),
+        (op.finalise_covariance(made, "moments", out="m").select("shop", F.col("m.covariance").alias("x")), op.covariance(df, features, by="shop", out="m").select("shop", F.col("m.covariance").alias("x"))),
+    ]
+    for got, want in pairs:
+        got, want = (dict(map(tuple, rows.collect())) for rows in (got, want))
+        assert got.keys() == want.keys()
+        for k in got:
+            np.testing.assert_allclose(got[k], want[k], atol=1e-9)
+    over = df.select("shop", sql.covariance(features).over(Window.partitionBy("shop"))["covariance"].alias("x"))
+    assert over.count() == df.count()
+    assert over.distinct().count() == made.count()
+    fails(lambda: spark.createDataFrame([("3",)], "x string").groupBy().agg(sql.covariance(["x"])).collect(), "'x'", "not numeric")
+    with pytest.raises(ValueError, match="null_policy"):
+        sql.covariance(features, null_policy="skip")
+
+
+def test_systems_as_aggregate_expressions(spark):
+    from ortholake.plans import sql
+
+    rows = [(g, i, *(5.0 + i if i == j else 0.5 * g for j in range(3)), float(i - g), 0.8**i) for g in (1, 2) for i in (2, 0, 1)]
+    df = spark.createDataFrame(rows, "g int, i int, a double, b double, c double, right double, first double").repartition(2)
+    got = df.groupBy("g").agg(sql.solve_spd(["a", "b", "c"], ["right"], row_index="i").alias("s"), sql.solve_toeplitz("first", ["right"], row_index="i", diagonal_shift=0.5).alias("t"))
+    spd = op.solve_spd(df, ["a", "b", "c"], "right", row_index="i", by="g", out="s")
+    toeplitz = op.solve_toeplitz(df, "first", "right", row_index="i", by="g", diagonal_shift=0.5, out="t")
+    assert got.orderBy("g").collect() == spd.join(toeplitz, "g").orderBy("g").collect()
+    fails(lambda: df.withColumn("i", F.lit(0)).groupBy("g").agg(sql.solve_spd(["a", "b", "c"], ["right"], row_index="i")).collect(), "'i'", "repeats")
+    fails(lambda: df.groupBy("g").agg(sql.solve_spd(["b", "c"], ["right"], row_index="a")).collect(), "'a'", "not an integer")
