@@ -324,6 +324,81 @@ h AS (SELECT event_type, any_value(n) AS n, any_value(mean) AS mean, max(gamma)
 
 _VALUE, _GAPS = _gamma("value"), _gamma("CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END")
 
+
+def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events under their type, which a third of them don't have."""
+    return _events(spark, sf_dir).select("x", "y", F.expr("case when user_id % 3 > 0 then event_type end").alias("kind"))
+
+
+def least_squares_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fit = op.least_squares(_gaps(spark, sf_dir), "y", "x", by="kind", intercept=True, null_policy="drop")
+    return fit.select("kind", _r(F.col("fit.coefficients")[0][0], 7).alias("slope"), _r(F.col("fit.intercept")[0], 6).alias("intercept"), F.col("fit.n_observations").alias("n"))
+
+
+def covariance_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(op.covariance(_gaps(spark, sf_dir), ["x", "y"], by="kind", null_policy="drop", ddof=0.0, flatten=True), ["kind"], "covariance", 6)
+
+
+_KINDS = "SELECT CASE WHEN user_id % 3 > 0 THEN event_type END AS kind, value AS x, value * 0.5 + event_id % 11 AS y FROM events WHERE event_id % 7 <> 0"
+_FIT_DROP = f"SELECT kind, round(regr_slope(y, x), 7) AS slope, round(regr_intercept(y, x), 6) AS intercept, CAST(count(*) AS BIGINT) AS n FROM ({_KINDS}) GROUP BY 1"
+_COVARIANCE_DROP = "\nUNION ALL ".join(
+    f"SELECT kind, CAST({i} AS BIGINT) AS i, CAST({j} AS BIGINT) AS j, round(covar_pop({a}, {b}), 6) AS value FROM ({_KINDS}) GROUP BY 1" for i, a in enumerate("xy") for j, b in enumerate("xy")
+)
+
+
+def pca_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("pca")
+    found = op.pca(_plane(spark, sf_dir), ["x", "z"], by=FLAG, scale=True)
+    return found.select(FLAG, *(_r(p["scales"][j], 7).alias(f"s{j}") for j in range(2)), *(_r(p["explained_variance"][c], 7).alias(f"v{c}") for c in range(2)))
+
+
+def pca_uncentred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _components(op.pca(_plane(spark, sf_dir), ["x", "z"], by=FLAG, centre=False))
+
+
+_PCA_SCALED = """
+SELECT l_returnflag, round(stddev_samp(l_quantity), 7) AS s0, round(stddev_samp(l_discount * 200), 7) AS s1,
+       round(1 + abs(corr(l_quantity, l_discount)), 7) AS v0, round(1 - abs(corr(l_quantity, l_discount)), 7) AS v1 FROM lineitem GROUP BY 1
+"""
+_UNCENTRED = _PCA.replace("var_samp(l_quantity)", "sum(l_quantity * l_quantity) / (count(*) - 1)").replace("covar_samp(l_quantity, l_discount * 200)", "sum(l_quantity * l_discount * 200) / (count(*) - 1)").replace("var_samp(l_discount * 200)", "sum(pow(l_discount * 200, 2)) / (count(*) - 1)")
+
+
+def autocovariance_unbiased(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _per_lag(op.autoregression.autocovariance(_events(spark, sf_dir), "value", max_lag=6, unbiased=True, order_by=_SEQUENCE, by="event_type"), "autocovariance")
+
+
+def _selected(name: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = op.autoregression.fit(_events(spark, sf_dir), "value", order=name, max_order=2, order_by=_SEQUENCE, by="event_type", flatten=True)
+        return found.select("event_type", "order", *(_r(F.col("criterion")[k], 4).alias(f"c{k}") for k in range(3)))
+
+    query.__name__ = f"autoregression_fit_{name}"
+    return query
+
+
+def _selected_sql(penalty: str) -> str:
+    return _VALUE + f"""
+, v AS (SELECT *, g0 AS v0, g0*(1 - pow(g1/g0, 2)) AS v1, g0*(1 - pow(g1/g0, 2))*(1 - pow((g2/g0 - pow(g1/g0, 2)) / (1 - pow(g1/g0, 2)), 2)) AS v2 FROM h),
+a AS (SELECT *, n*ln(v0) AS c0, n*ln(v1) + {penalty} AS c1, n*ln(v2) + 2*{penalty} AS c2 FROM v)
+SELECT event_type, CAST(CASE WHEN c0 <= c1 AND c0 <= c2 THEN 0 WHEN c1 <= c2 THEN 1 ELSE 2 END AS BIGINT) AS "order", round(c0, 4) AS c0, round(c1, 4) AS c1, round(c2, 4) AS c2 FROM a"""
+
+
+def autoregression_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = op.autoregression.transform(_events(spark, sf_dir), "value", order=1, order_by=_SEQUENCE, by="event_type", output="prediction")
+    return rows.select("event_id", _r("prediction").alias("prediction"))
+
+
+def rolling_mean_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sequence of all events, in windows of 50 on a whole-number clock."""
+    rows = op.rolling_mean(_events(spark, sf_dir), "x", clock="event_id", window=50, out="value_out")
+    return rows.select("event_id", _r(F.col("value_out") + OFF_TIES, 5).alias("value"))
+
+
+_MEAN_NUMBER = f"""
+SELECT event_id, round(avg(CASE WHEN event_id % 7 <> 0 THEN value END) OVER (ORDER BY event_id RANGE BETWEEN 49 PRECEDING AND CURRENT ROW) + {OFF_TIES}, 5) AS value FROM events
+"""
+
+
 _SQL = {
     "least_squares": _FIT,
     "least_squares_ridge_weighted": _RIDGE,
@@ -358,6 +433,16 @@ SELECT event_type, CAST(o AS BIGINT) AS "order", round(mean, 6) AS mean, round(C
     "autoregression_transform": _VALUE + """
 SELECT a.event_id, round(a.c - g1/g0*b.c, 6) AS residual FROM d a LEFT JOIN d b ON a.event_type = b.event_type AND b.t = a.t - 1 JOIN h ON h.event_type = a.event_type""",
     "solve_toeplitz": _VALUE + "SELECT event_type, round((g1*g0 - g2*g1)/(g0*g0 - g1*g1), 7) AS phi1, round((g2*g0 - g1*g1)/(g0*g0 - g1*g1), 7) AS phi2 FROM h",
+    "least_squares_drop": _FIT_DROP,
+    "covariance_drop": _COVARIANCE_DROP,
+    "pca_scaled": _PCA_SCALED,
+    "pca_uncentred": _UNCENTRED,
+    "autocovariance_unbiased": _VALUE + "SELECT event_type, lag, round(gamma * n / (n - lag), 7) AS value FROM g",
+    "autoregression_fit_bic": _selected_sql("ln(n)"),
+    "autoregression_fit_hqic": _selected_sql("2*ln(ln(n))"),
+    "autoregression_prediction": _VALUE + """
+SELECT a.event_id, round(h.mean + g1/g0*b.c, 6) AS prediction FROM d a LEFT JOIN d b ON a.event_type = b.event_type AND b.t = a.t - 1 JOIN h ON h.event_type = a.event_type""",
+    "rolling_mean_number": _MEAN_NUMBER,
 }
 
 
@@ -366,7 +451,8 @@ def queries() -> dict[str, Query]:
         least_squares, least_squares_ridge_weighted, covariance, covariance_weighted, correlation, pca, pca_transform, solve_spd, least_squares_state,
         merge_least_squares_states, finalise_least_squares, covariance_state, merge_covariance_states, finalise_covariance, finalise_correlation,
         finalise_pca, autocovariance, autocorrelation, partial_autocorrelation, partial_autocorrelation_burg, autoregression_fit,
-        autoregression_transform, solve_toeplitz,
+        autoregression_transform, solve_toeplitz, least_squares_drop, covariance_drop, pca_scaled, pca_uncentred, autocovariance_unbiased,
+        _selected("bic"), _selected("hqic"), autoregression_prediction, rolling_mean_number,
     )
     clocked = [_clocked(kind, name, **({"min_samples": 3} if name == "correlation" else {})) for kind in ("rolling", "ewm") for name in ("sum", "mean", "variance", "covariance", "correlation")]
     return {q.__name__: q for q in (*plain, *clocked)}
