@@ -119,11 +119,14 @@ def halo_rows(rows: DataFrame, clock: str, reach: float) -> DataFrame | None:
     from pyspark.ml.feature import Bucketizer
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = rows.select(F.col(clock).cast("double").alias("c")).where("c is not null and not isnan(c)")
+    begin = F.col(clock).cast("double")
+    if isinstance(rows.schema[clock].dataType, T.TimestampNTZType):  # microseconds, whatever the session's zone
+        day, seconds = F.unix_date(F.to_date(clock)), F.hour(clock) * 3600 + F.minute(clock) * 60 + F.date_part(F.lit("SECOND"), clock)
+        begin = (day.cast("double") * 86400 + seconds.cast("double")) * 1e6
+    found = rows.select(begin.alias("c")).where("c is not null and not isnan(c)")
     edges = sorted(set(found.approxQuantile("c", [k / n for k in range(1, n)], 0.2 / n))) if n > 1 else []
     if not edges:
         return None
-    begin = F.col(clock).cast("double")
     rows = rows.withColumn("_begin", begin).withColumn("_end", begin + F.lit(float(reach)) + 1e-14 * F.abs(begin))
     splits = [-float("inf"), *edges, float("inf")]
     cut = Bucketizer(splitsArray=[splits, splits], inputCols=["_begin", "_end"], outputCols=["_first", "_last"], handleInvalid="keep").transform(rows)
