@@ -40,7 +40,9 @@ from ortholake.llm._store import materialize, replayable, small_batches
 from ortholake.llm._text import as_bytes, folding, once, ragged, slices, text_column, tidied
 
 SEGMENT = 1 << 20
-SLICE_BYTES = 2 << 20
+#: A slice sends a row to each hash range, so what rows cost besides their anchors grows with the square of the input.
+SLICE_BYTES = 4 << 20
+BATCH_BYTES = 4 << 20
 PLACE = np.uint64((1 << 22) - 1)
 #: Marks an anchor whose contexts are dealt out window by window.
 HOT_BIT = np.uint64(1 << 63)
@@ -134,19 +136,27 @@ def _send(df: DataFrame, depth: int, gram: int, parts: int) -> DataFrame:
                 for p, at in by_part(key[keep] << np.uint64(32), parts):
                     at_rows = row[keep[at]]
                     new = np.concatenate([[True], np.diff(at_rows) != 0])
-                    docs = _pack(np.frombuffer(squeeze(at_rows), np.uint8)), squeeze_long(own[at_rows[new]])
-                    rows.append((p, g, 0, sent[at].tobytes(), table_bytes(pa.table({"x": pa.array([docs[0], docs[1]], pa.binary())})), table_bytes(pa.table({"x": pa.array([squeeze(first[keep[at]]), _pack(span[keep[at]].astype(np.uint8))], pa.binary())}))))
+                    docs = _two(squeeze(at_rows), squeeze_long(own[at_rows[new]] - at_rows[new]))
+                    rows.append((p, g, 0, sent[at].tobytes(), docs, _two(squeeze(first[keep[at]]), _pack(span[keep[at]].astype(np.uint8)))))
                 meta = pa.table({"doc_id": pa.array(own), "h": hashes.slice(i, j - i), "at": pa.array(offsets[:-1])})
                 done = np.flatnonzero(repeated)
                 rows.append((g % parts, g, 1, table_bytes(meta), squeeze(first[done]), _pack(span[done].astype(np.uint8))))
-                yield rows_of(PACKED_ARROW, rows)
+                n = 1 + (12 * len(sent)) // BATCH_BYTES
+                for k in range(n):
+                    if some := rows[k::n]:
+                        yield rows_of(PACKED_ARROW, some)
                 g += 1
 
     return df.mapInArrow(send, PACKED)
 
 
+def _two(a: bytes, b: bytes) -> bytes:
+    return len(a).to_bytes(4, "little") + a + b
+
+
 def _pair(data: bytes) -> tuple[bytes, bytes]:
-    return tuple(bytes_table(data)["x"].to_pylist())
+    n = 4 + int.from_bytes(data[:4], "little")
+    return data[4:n], data[n:]
 
 
 def _classify(hot_contexts: int):
@@ -160,8 +170,8 @@ def _classify(hot_contexts: int):
             docs = []
             for r in came:
                 squeezed, ids = _pair(r["b"])
-                at_rows = unsqueeze(_unpack(squeezed, np.uint8).tobytes())
-                docs.append(unsqueeze_long(ids)[np.cumsum(np.diff(at_rows, prepend=at_rows[:1]) != 0)])
+                at_rows = unsqueeze(squeezed)
+                docs.append(unsqueeze_long(ids)[np.cumsum(np.diff(at_rows, prepend=at_rows[:1]) != 0)] + at_rows)
             doc, every = np.concatenate(docs), np.concatenate(sent)
             keys = every["key"]
             order = np.argsort(keys, kind="stable")
@@ -249,9 +259,21 @@ _CONTEXTS = pa.schema([("part", pa.int32()), *((x, pa.binary()) for x in ("keys"
 _CUT = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("starts", pa.binary()), ("ends", pa.binary())])
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
+def _expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Runs of rows with their texts: at most ``SLICE_BYTES`` of these, or one longer text, however small compressed ones are."""
     expand = zstandard.ZstdDecompressor()
-    return (expand.decompress(x.as_py()) for x in batch.column("z"))
+    for batch in tidied(batches):
+        texts: list[bytes] = []
+        at = size = 0
+        for z in batch.column("z"):
+            text = expand.decompress(z.as_buffer())
+            if texts and size + len(text) > SLICE_BYTES:
+                yield batch.slice(at, len(texts)), texts
+                at, size, texts = at + len(texts), 0, []
+            texts.append(text)
+            size += len(text)
+        if texts:
+            yield batch.slice(at), texts
 
 
 def _compress(df: DataFrame) -> DataFrame:
@@ -270,10 +292,10 @@ def _compress(df: DataFrame) -> DataFrame:
 def _contexts(depth: int, parts: int):
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The bytes of the contexts by hash range; windows of very frequent anchors one by one, equal ones once."""
-        for batch in tidied(batches):
+        for batch, texts in _expanded(batches):
             held: list[tuple] = []
             leaders: dict[bytes, tuple] = {}
-            for doc, h, text, places, spans, keys in zip(batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), _texts(batch), *(batch.column(c).to_pylist() for c in ("places", "spans", "keys")), strict=True):
+            for doc, h, text, places, spans, keys in zip(batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), texts, *(batch.column(c).to_pylist() for c in ("places", "spans", "keys")), strict=True):
                 for key, place, span in zip(_unpack(keys, np.uint64).tolist(), unsqueeze(places).tolist(), _unpack(spans, np.uint8).tolist(), strict=True):
                     if key < int(HOT_BIT):
                         held.append((key, doc, h, place, span, text[place : place + span + depth]))
@@ -382,9 +404,9 @@ def _apply(keep_text: bool):
     schema = pa.schema(_RESULT + [("text", pa.string())] * keep_text)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tidied(batches):
+        for batch, texts in _expanded(batches):
             out = []
-            for doc, text, cuts in zip(batch.column("doc_id").to_pylist(), _texts(batch), batch.column("cuts").to_pylist(), strict=True):
+            for doc, text, cuts in zip(batch.column("doc_id").to_pylist(), texts, batch.column("cuts").to_pylist(), strict=True):
                 begin, end, kept = np.zeros(0, np.int64), np.zeros(0, np.int64), text
                 if cuts:
                     begin, end = (np.concatenate([unsqueeze(c[x]) for c in cuts]) for x in ("starts", "ends"))
@@ -394,9 +416,8 @@ def _apply(keep_text: bool):
                     kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                 row = (doc, len(text), len(text) - len(kept), len(begin), hashlib.sha256(kept).hexdigest(), begin, end)
                 out.append((*row, kept.decode(errors="ignore")) if keep_text else row)
-            if out:
-                rows = rows_of(schema, out)
-                yield pa.RecordBatch.from_arrays([*rows.columns, batch.column("carried")], names=[*schema.names, "carried"])
+            rows = rows_of(schema, out)
+            yield pa.RecordBatch.from_arrays([*rows.columns, batch.column("carried")], names=[*schema.names, "carried"])
 
     return apply
 

@@ -253,6 +253,40 @@ def test_passages_of_odd_tables(odd, odd_rows, empty):
     assert remove_repeats(empty).count() == 0
 
 
+def test_rows_of_many_hash_ranges_cost_little_besides_their_anchors(spark):
+    from ortholake.llm.suffix_dedup import SENT, _send
+
+    df = table(spark, [prose(k, 3000) for k in range(12)]).coalesce(1).selectExpr("doc_id", "text", "xxhash64(text) as h")
+    rows = _send(df, 50, 24, 2000).where("kind = 0").selectExpr("length(a) as a", "length(b) + length(c) as rest").collect()
+    anchors = sum(r["a"] for r in rows) // SENT.itemsize
+    assert len(rows) > 1500 and sum(r["rest"] for r in rows) < 100 * len(rows) + 6 * anchors
+
+
+def test_compressed_texts_are_expanded_in_bounded_runs():
+    import pyarrow as pa
+    import zstandard
+
+    from ortholake.llm.suffix_dedup import SLICE_BYTES, _apply
+
+    texts = [bytes([97 + k]) * (3 << 20) for k in range(9)] + [b"", b"z" * (9 << 20), b"y"]
+    batch = pa.record_batch({"doc_id": range(len(texts)), "z": [zstandard.compress(t) for t in texts], "cuts": pa.nulls(len(texts)), "carried": [{"_": k} for k in range(len(texts))]})
+    found = list(_apply(True)(iter([batch])))
+    assert max(b.column("n_bytes").to_numpy().sum() for b in found) <= max(SLICE_BYTES, 9 << 20)
+    assert [(x["doc_id"], x["text"].encode(), x["carried"]["_"]) for b in found for x in b.to_pylist()] == [(k, t, k) for k, t in enumerate(texts)]
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    from ortholake.llm._store import materialize
+
+    def shuffles():
+        return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ").count("shuffle_")
+
+    before = shuffles()
+    df = spark.range(1000).selectExpr("id % 7 as k").repartition(5, "k")
+    written = materialize(df, "test")
+    assert shuffles() <= before and written.count() == 1000
+
+
 def test_anchors_do_not_depend_on_where_a_window_lies():
     from ortholake.llm.suffix_dedup import find_anchors
 
