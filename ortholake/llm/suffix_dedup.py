@@ -39,10 +39,12 @@ from ortholake.llm._exchange import PACKED, PACKED_ARROW, by_part, bytes_table,
 from ortholake.llm._store import materialize, replayable, small_batches
 from ortholake.llm._text import as_bytes, folding, once, ragged, slices, text_column, tidied
 
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 #: A slice sends a row to each hash range, so what rows cost besides their anchors grows with the square of the input.
 SLICE_BYTES = 4 << 20
 BATCH_BYTES = 4 << 20
+#: Bytes of contexts that are sorted at once; equal windows have equal keys, so any set of keys can be sorted by itself.
+BLOCK_BYTES = 2 << 20
 PLACE = np.uint64((1 << 22) - 1)
 #: Marks an anchor whose contexts are dealt out window by window.
 HOT_BIT = np.uint64(1 << 63)
@@ -378,11 +380,18 @@ def _radix(depth: int):
             key, doc, h, place, data = column("keys", np.uint64), column("docs", np.int64), column("hashes", np.int64), column("places", np.int32).astype(np.int64), column("data", np.uint8)
             n = column("sizes", np.uint8).astype(np.int64) + 1
             begin = np.cumsum(n + depth - 1) - (n + depth - 1)
-            which = np.repeat(np.arange(len(n)), n)
-            first = ragged(begin, n)
-            hit = radix_repeats(key[which], doc[which], first, data, depth)
-            start = (first - begin[which] + place[which])[hit]
-            doc, h = doc[which[hit]], h[which[hit]]
+            blocks = 1 + len(data) // BLOCK_BYTES
+            block = mix(key) % np.uint64(blocks)
+            found = []
+            for k in range(blocks):
+                own = np.flatnonzero(block == k)
+                which = np.repeat(own, n[own])
+                some = data[ragged(begin[own], n[own] + depth - 1)] if blocks > 1 else data
+                first = ragged(np.cumsum(n[own] + depth - 1) - (n[own] + depth - 1), n[own])
+                at = ragged(place[own], n[own])
+                hit = radix_repeats(key[which], doc[which], first, some, depth)
+                found.append((doc[which[hit]], h[which[hit]], at[hit]))
+            doc, h, start = (np.concatenate(x) for x in zip(*found, strict=True))
             order = np.lexsort((start, h, doc))
             doc, h, start = doc[order], h[order], start[order]
             row = np.cumsum(np.concatenate([[False], (np.diff(doc) != 0) | (np.diff(h) != 0)])[: len(doc)])

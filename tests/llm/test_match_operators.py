@@ -275,6 +275,27 @@ def test_compressed_texts_are_expanded_in_bounded_runs():
     assert [(x["doc_id"], x["text"].encode(), x["carried"]["_"]) for b in found for x in b.to_pylist()] == [(k, t, k) for k, t in enumerate(texts)]
 
 
+def test_contexts_of_a_hash_range_are_sorted_in_bounded_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from ortholake.llm.suffix_dedup import _CONTEXTS, _pack, _radix
+
+    r, n, size = np.random.default_rng(3), 150_000, 62
+    data = r.integers(97, 123, (n, size), np.uint8)
+    key = np.arange(n, dtype=np.uint64)
+    key[1::1000], data[1::1000] = key[::1000], data[::1000]  # text 2 k + 1 repeats some of what 2 k has
+    column = {"keys": key, "docs": np.arange(n), "hashes": np.zeros(n, np.int64), "places": np.full(n, 7, np.int32), "sizes": np.full(n, size - 50, np.uint8), "data": data.ravel()}
+    table = pa.Table.from_pylist([{"part": 0, **{c: _pack(x) for c, x in column.items()}}], schema=_CONTEXTS)
+    tracemalloc.start()
+    found = _radix(50)(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found["doc_id"].to_pylist() == list(range(1, n, 1000))
+    assert peak < 12 * data.size
+
+
 def test_written_tables_leave_no_shuffle_files(spark):
     from ortholake.llm._store import materialize
 
