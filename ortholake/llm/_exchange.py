@@ -46,9 +46,16 @@ def rows_of(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
 PACKED_ARROW = pa.schema([("part", pa.int32()), ("g", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 
 
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    return ((keys >> np.uint64(33)) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
+
+
 def by_part(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
     """(part, positions in order) for each part that ``keys`` fall into."""
-    part = ((keys >> np.uint64(33)) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
+    yield from grouped_parts(part_of(keys, parts))
+
+
+def grouped_parts(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(part, kind="stable")
     which, first = np.unique(part[order], return_index=True)
     for p, own in zip(which.tolist(), np.split(order, first[1:]), strict=True):

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ortholake.llm._exchange import PACKED, PACKED_ARROW, by_part, bytes_table, mix, number_of_parts, rows_of, squeeze, squeeze_long, table_bytes, unsqueeze, unsqueeze_long
+from ortholake.llm._exchange import PACKED, PACKED_ARROW, by_part, bytes_table, grouped_parts, mix, number_of_parts, part_of, rows_of, squeeze, squeeze_long, table_bytes, unsqueeze, unsqueeze_long
 from ortholake.llm._store import materialize, replayable, small_batches
 from ortholake.llm._text import as_bytes, folding, slices, split_words, text_column, tidied
 
@@ -189,16 +189,21 @@ def _distinct(codes: np.ndarray) -> np.ndarray:
 
 
 def _tally(codes: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct grams in order; for each pair of one and a number below 256 in ``of``: which gram, the number, how often."""
-    keys = codes << np.uint64(8)
+    """Distinct grams in order; for each pair of one and a number below 256 in ``of``: which gram, the number, how often.
+
+    The given array is overwritten.
+    """
+    keys = np.left_shift(codes, np.uint64(8), out=codes)
     keys |= of
     keys.sort()
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
-    times = np.diff(np.append(first, len(keys)))
+    times = np.diff(first, append=len(keys)).astype(np.int32)
     keys = keys[first]
-    codes = keys >> np.uint64(8)
-    new = np.concatenate([[True], codes[1:] != codes[:-1]])[: len(codes)]
-    return codes[new], np.cumsum(new) - 1, keys.astype(np.uint8), times
+    del codes, first
+    of = keys.astype(np.uint8)
+    keys >>= np.uint64(8)
+    new = np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]
+    return keys[new], np.cumsum(new, dtype=np.int32) - np.int32(1), of, times
 
 
 def _among(codes: np.ndarray, some: np.ndarray) -> np.ndarray:
@@ -284,9 +289,13 @@ def context_bytes(codes: np.ndarray, order: int, hot: Contexts) -> np.ndarray:
 
 def _ranges(codes: np.ndarray, order: int, parts: int, hot: Contexts) -> Iterator[tuple[int, np.ndarray]]:
     """Grams by the hash range of the bytes before the last."""
-    used = context_bytes(codes, order, hot).astype(np.uint64)
     low = np.array([_low(k) for k in range(order + 1)], np.uint64)
-    return by_part(mix((codes >> np.uint64(8) & low[used]) | used << np.uint64(56)), parts)
+    found = [part_of(np.zeros(0, np.uint64), parts)]
+    for s in range(0, len(codes), 1 << 18):
+        some = codes[s : s + (1 << 18)]
+        used = context_bytes(some, order, hot).astype(np.uint64)
+        found.append(part_of(mix((some >> np.uint64(8) & low[used]) | used << np.uint64(56)), parts))
+    return grouped_parts(np.concatenate(found))
 
 
 def pack_counts(x: np.ndarray) -> bytes:
@@ -317,8 +326,8 @@ def _send(order: int, parts: int, hot):
                 frame, coded, starts = framed(some, order)
                 learnt = np.repeat(learns, np.diff(np.append(starts, len(frame))))
                 found = []
-                for s in range(0, len(frame), 2 * SEGMENT):
-                    e = min(len(frame), s + 2 * SEGMENT)
+                for s in range(0, len(frame), SEGMENT):
+                    e = min(len(frame), s + SEGMENT)
                     codes, gram, learns_it, times = _tally(grams(frame, s, e, order)[coded[s:e]], learnt[s:e][coded[s:e]])
                     found.append((codes, np.bincount(gram, weights=times * learns_it, minlength=len(codes)).astype(np.int64)))
                 codes, n = found[0] if len(found) == 1 else _summed(found)
@@ -442,7 +451,7 @@ def _gather(order: int, parts: int, hot):
         segments, s = [], 0
         while s < len(frame):  # of less than 256 texts, and some bytes
             first = int(np.searchsorted(starts, s, side="right")) - 1
-            e = min(s + SEGMENT, int(edges[min(len(starts), first + 255)]))
+            e = min(s + SEGMENT // 2, int(edges[min(len(starts), first + 255)]))
             sizes = np.diff(np.clip(edges[first : first + 256], s, e))
             of = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
             segments.append((first, *_tally(grams(frame, s, e, order)[coded[s:e]], of[coded[s:e]])))

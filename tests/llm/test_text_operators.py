@@ -177,6 +177,27 @@ def test_quality_rules(documents, odd, empty):
 # Language-model scores
 
 
+def test_ppm_slices_are_sent_in_bounded_memory(monkeypatch):
+    import tracemalloc
+    from types import SimpleNamespace
+
+    from ortholake.llm import ppm
+    from tests.llm.conftest import prose
+
+    monkeypatch.setattr(ppm, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    hot = SimpleNamespace(value={k: np.zeros(0, np.uint64) for k in range(3, 6)})
+    texts = [prose(k, 30_000) for k in range(36)]
+    size = sum(map(len, texts))
+    batch = pa.record_batch({"doc_id": range(len(texts)), "text": texts, "held_out": [False] * len(texts)})
+    assert 5_000_000 < size < ppm.SENT_BYTES
+    tracemalloc.start()
+    rows = [r for b in ppm._send(6, 64, hot)(iter([batch])) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(ppm.unpack_counts(r["b"]).sum() for r in rows if r["kind"] == 3) == size + len(texts)
+    assert peak < 18 * size, peak / size
+
+
 def test_ppm(spark, documents, odd, empty):
     from ortholake.llm import ppm
 
