@@ -70,15 +70,15 @@ class WordCache:
         raise NotImplementedError
 
     def clear(self) -> None:
-        none = (np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int32))
         self.old, self.young = none, none
         self.starts, self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     @staticmethod
     def _merged(*parts: tuple) -> tuple:
-        keys, checks, numbers = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(keys)
-        return keys[order], checks[order], numbers[order]
+        keys, checks, numbers = zip(*parts, strict=True)
+        order = np.argsort(np.concatenate(keys))
+        return tuple(np.concatenate(x)[order] for x in (keys, checks, numbers))  # one after the other, for less at once
 
     def _find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
         found = np.full(len(keys), -1, np.int64)
@@ -91,7 +91,7 @@ class WordCache:
 
     def _add(self, words: list[str], keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
         order, lengths, ids = self.encode_words(words)
-        numbers = np.empty(len(words), np.int64)
+        numbers = np.empty(len(words), np.int32)
         numbers[order] = len(self.starts) + np.arange(len(words))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
         self.lengths, self.ids = np.concatenate([self.lengths, lengths]), np.concatenate([self.ids, ids])
@@ -134,7 +134,7 @@ class WordIds(WordCache):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        super().__init__()
+        super().__init__(most_words=1_000_000, most_ids=5_000_000)
 
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -163,7 +163,7 @@ class WordIds(WordCache):
             else:
                 order += some
                 done.append(found)
-        apart = [x.ids for x in self.tokenizer.encode_batch_fast([words[k] for k in rest], add_special_tokens=False)]
+        apart = [x.ids for i in range(0, len(rest), 4096) for x in self.tokenizer.encode_batch_fast([words[k] for k in rest[i : i + 4096]], add_special_tokens=False)]
         lengths = np.fromiter(map(len, apart), np.int64, len(apart))
         done.append((lengths, np.fromiter(chain.from_iterable(apart), np.uint32, int(lengths.sum()))))
         return np.array(order + rest, np.int64), *(np.concatenate(x) for x in zip(*done, strict=True))

@@ -177,6 +177,20 @@ def test_quality_rules(documents, odd, empty):
 # Language-model scores
 
 
+def test_a_cache_of_words_grows_in_bounded_memory():
+    import tracemalloc
+
+    from ortholake.llm._text import WordCache
+
+    some = [(np.arange(k, n, 2, dtype=np.uint64), np.zeros((n - k + 1) // 2, np.uint32), np.arange(k, n, 2)) for k, n in ((0, 1_000_000), (1, 250_001))]
+    tracemalloc.start()
+    keys, checks, numbers = WordCache._merged(*some)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (np.diff(keys.astype(np.int64)) > 0).all() and (keys == numbers).all() and len(checks) == len(keys)
+    assert peak < 44 * len(keys), peak / len(keys)
+
+
 def test_ppm_slices_are_sent_in_bounded_memory(monkeypatch):
     import tracemalloc
     from types import SimpleNamespace
